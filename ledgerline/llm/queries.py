@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, ngram_join, packing, sharding
+from . import chat, exact_dedup, knn, langid, licenses, mixing, ngram_join, packing, sharding, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag_copies(read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.summarise(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), JOIN_RULE).drop("text_key")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, domains, _ = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    best = F.expr("array_position(posterior, array_max(posterior))").cast("int")
+    return mixed.select("doc_id", "tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), "posterior", "rate")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))[1]
 
@@ -38,8 +52,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_exact_dedup, op4_ngram_jaccard_join, op6_best_fit_packing, op7_license_scan, op8_sharding)
+    found = (
+        op1_exact_dedup, op2_language_id, op3_chat_formatting, op4_ngram_jaccard_join, op5_source_mixing,
+        op6_best_fit_packing, op7_license_scan, op8_sharding, op9_warc, op10_exact_top_k,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -48,5 +73,21 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from documents window g as (partition by coalesce(text, ''))"""
 
 
+OP9_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+f as (select page_id, octet_length(b) as n, sha256(b) as d, min(page_id) over (partition by b) as first from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to
+from f"""
+
+OP10_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q, v d where q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
+    return {"op9_warc": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
