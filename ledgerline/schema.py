@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-TRANSACTION = T.StructType.fromDDL("src string, dst string, ts timestamp_ntz, amount double, label boolean")
+TRANSACTION = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("amount", T.DoubleType()), T.StructField("label", T.BooleanType())])
 EDGE_COLUMNS = ["snapshot_id", "src", "dst", "weight", "amount_trans", "num_trans"]
 
 BLOCKS = [f"{i}{j}" for i in range(3) for j in range(3)]
