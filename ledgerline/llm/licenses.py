@@ -6,7 +6,9 @@ identifiers that follow each other without a gap; where rules overlap, the earli
 listed first (longer ones come first) counts. No text is exploded or shuffled.
 
 Normalising: characters other than ASCII letters, digits, '.' and line ends become one space,
-letters lower case, sentences end at '.' before a space and at line ends, outer spaces and dots go.
+letters lower case, sentences end at '.' before a space, outer spaces and dots go. A text is read
+twice, with line ends as ends of sentences and, for wrapped notices, with blank lines alone as ends;
+the reading with more rule matches counts (on a tie the first).
 
 Defined results: a null or empty text has no sentence and no licence; repeated rows each get their
 result; a known sentence that no rule uses counts as unresolved; other columns are ignored.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -101,7 +103,7 @@ RULES = [
 
 
 def sentences_of(text: str | None) -> list[str]:
-    """The normalised sentences of a text, as the plan below has them."""
+    """The normalised sentences of a text by its lines, as the plan below has them."""
     flat = re.sub(r"[^A-Za-z0-9.\n]+", " ", text or "").lower()
     parts = re.sub(r"\. ", "\n", flat).split("\n")
     return [s for s in (p.strip(" .") for p in parts) if s]
@@ -111,8 +113,7 @@ def _known() -> dict[str, str]:
     known: dict[str, str] = {}
     for name, texts in SENTENCES.items():
         for text in texts:
-            whole = " ".join(sentences_of(text))
-            known.setdefault(sentences_of(text)[0] if len(sentences_of(text)) == 1 else whole, name)
+            known.setdefault(sentences_of(text)[0], name)
     return known
 
 
@@ -127,17 +128,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sentence_ids: the identifiers in order, '-' for each gap; licenses: distinct, in order of place.
     """
     flat = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^A-Za-z0-9.\n]+", " "))
-    parts = F.split(F.regexp_replace(flat, r"\. ", "\n"), "\n")
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "").alias("sentences"))
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    ids = F.transform("sentences", lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(F.lit("-")))
-    seen = cut.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join(ids, ""), "-+", "-").alias("seq"))
-    hits = seen.withColumn("hits", F.regexp_extract_all("seq", F.lit(f"({PATTERN})"), F.lit(1)))
     licence = F.create_map(*[F.lit(x) for pair in MARK.items() for x in pair])
     count = lambda c: F.length(F.regexp_replace(c, "[^<]+", "")).cast("long")
+
+    def reading(text: Column) -> Column:
+        """An identifier or a gap for each sentence."""
+        parts = F.split(F.regexp_replace(text, r"\. ", "\n"), "\n")
+        sentences = F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
+        return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(F.lit("-")))
+
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("flat", r"\n(?: ?\n)+", ". "), r"\n", " "), " +", " ")
+    cut = docs.select(F.col(id_col).alias("doc_id"), flat.alias("flat")).select("doc_id", reading(F.col("flat")).alias("a"), reading(joined).alias("b"))
+    both = cut.select("doc_id", *[x for r in "ab" for x in (F.size(r).cast("long").alias(f"n_{r}"), F.regexp_replace(F.array_join(r, ""), "-+", "-").alias(f"seq_{r}"))])
+    found = both.select("*", *[F.regexp_extract_all(f"seq_{r}", F.lit(f"({PATTERN})"), F.lit(1)).alias(f"hits_{r}") for r in "ab"])
+    wrapped = F.size("hits_b") > F.size("hits_a")
+    hits = found.select("doc_id", *[F.when(wrapped, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in ("n", "seq", "hits")])
     return hits.select(
         "doc_id",
-        "n_sentences",
+        F.col("n").alias("n_sentences"),
         F.when(F.col("seq") == "-", "").otherwise(F.col("seq")).alias("sentence_ids"),
         F.size("hits").cast("long").alias("rule_matches"),
         F.array_join(F.array_distinct(F.transform("hits", lambda m: F.element_at(licence, m))), ",").alias("licenses"),
@@ -153,12 +162,15 @@ def oracle_sql() -> str:
     """The same over the whole table in DuckDB."""
     known = "MAP {" + ", ".join(f"{_sql_text(k)}: {_sql_text(f'<{v}>')}" for k, v in KNOWN.items()) + "}"
     licence = "MAP {" + ", ".join(f"{_sql_text(k)}: {_sql_text(v)}" for k, v in MARK.items()) + "}"
+    ids = lambda t: f"list_transform(list_filter(list_transform(string_split(regexp_replace({t}, '\\. ', chr(10), 'g'), chr(10)), lambda s: trim(s, ' .')), lambda s: s <> ''), lambda s: coalesce({known}[s], '-'))"
+    seq = lambda r: f"regexp_replace(array_to_string({r}, ''), '-+', '-', 'g')"
     return f"""
-with flat as (select doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.\\n]+', ' ', 'g')), '\\. ', chr(10), 'g') as t from documents),
-cut as (select doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s, ' .')), lambda s: s <> '') as sentences from flat),
-seen as (select doc_id, cast(len(sentences) as bigint) as n_sentences, regexp_replace(array_to_string(list_transform(sentences, lambda s: coalesce({known}[s], '-')), ''), '-+', '-', 'g') as seq from cut),
-hits as (select *, regexp_extract_all(seq, {_sql_text(PATTERN)}) as hits from seen)
-select doc_id, n_sentences, case when seq = '-' then '' else seq end as sentence_ids, cast(len(hits) as bigint) as rule_matches,
+with flat as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.\\n]+', ' ', 'g')) as t from documents),
+cut as (select doc_id, {ids('t')} as a, {ids("regexp_replace(replace(regexp_replace(t, '\\n(?: ?\\n)+', '. ', 'g'), chr(10), ' '), ' +', ' ', 'g')")} as b from flat),
+readings as (select doc_id, a, b, {seq('a')} as seq_a, {seq('b')} as seq_b from cut),
+found as (select *, regexp_extract_all(seq_a, {_sql_text(PATTERN)}) as hits_a, regexp_extract_all(seq_b, {_sql_text(PATTERN)}) as hits_b from readings),
+hits as (select doc_id, case when w then len(b) else len(a) end as n, case when w then seq_b else seq_a end as seq, case when w then hits_b else hits_a end as hits from (select *, len(hits_b) > len(hits_a) as w from found))
+select doc_id, cast(n as bigint) as n_sentences, case when seq = '-' then '' else seq end as sentence_ids, cast(len(hits) as bigint) as rule_matches,
   coalesce(array_to_string(list_transform(list_filter(list_zip(hits, range(len(hits))), lambda x: list_position(list_transform(hits, lambda h: {licence}[h]), {licence}[x[1]]) = x[2] + 1), lambda x: {licence}[x[1]]), ','), '') as licenses,
   cast(length(regexp_replace(seq, '[^<]+', '', 'g')) - length(regexp_replace(array_to_string(hits, ''), '[^<]+', '', 'g')) as bigint) as unresolved
 from hits"""
