@@ -49,11 +49,6 @@ def block_sums(inside: DataFrame) -> DataFrame:
     return inside.groupBy(KEY, "ego", "i", "j").agg(F.count("*").alias("nnz"), F.sum("weight").alias("weight"), *per)
 
 
-def _cells(i: int, j: int) -> Column:
-    """Cells of the dense block."""
-    return F.col(f"n{i}") * F.col(f"n{j}")
-
-
 def size(block: str) -> Column:
     """The size column: possible edges of the block."""
     n0, n1, n2 = (F.col(f"n{i}") for i in range(3))
@@ -85,19 +80,18 @@ def dense_stat(stat: str, cells: Column, nnz: Column, total: Column, largest: Co
 def features(edges: DataFrame, egos: DataFrame, ball: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, node, 90 features) of every ego. ``edges`` are the pruned ones."""
     ball = members(edges, egos) if ball is None else ball
-    sums = block_sums(block_edges(edges, ball))
-    block = F.concat(F.col("i").cast("string"), F.col("j").cast("string"))
-    fields = [c for c in sums.columns if c not in (KEY, "ego", "i", "j")]
-    cells = sums.groupBy(KEY, "ego").agg(F.map_from_entries(F.collect_list(F.struct(block, F.struct(*fields)))).alias("b"))
-    wide = sizes(ball).join(cells, [KEY, "ego"], "left")
-    at = lambda b, f: F.coalesce(F.try_element_at("b", F.lit(b))[f], F.lit(0.0))
-    out = [density(b, at(b, "weight")).alias(f"measure_{b}") for b in BLOCKS] + [size(b).alias(f"size_{b}") for b in BLOCKS]
-    for v in VALUES:
-        for s in STATS:
-            for b in BLOCKS:
-                stat = dense_stat(s, _cells(int(b[0]), int(b[1])), at(b, "nnz"), at(b, f"{v}_sum"), at(b, f"{v}_max"), at(b, f"{v}_avg"), at(b, f"{v}_var"))
-                out.append(stat.alias(f"transaction_{v}_summary_{s}_{b}"))
-    return wide.select(KEY, F.col("ego").alias("node"), *out).select(KEY, "node", *FEATURES)
+    count = sizes(ball)
+    pick = lambda i: F.when(F.col(i) == 0, F.col("n0")).when(F.col(i) == 1, F.col("n1")).otherwise(F.col("n2"))
+    sums = block_sums(block_edges(edges, ball)).join(count, [KEY, "ego"]).withColumn("cells", pick("i") * pick("j"))
+    stats = [dense_stat(s, F.col("cells"), F.col("nnz"), *[F.col(f"{v}_{k}") for k in ("sum", "max", "avg", "var")]) for v in VALUES for s in STATS]
+    # a block is one short array; nine of them are laid out in the frozen order by one expression
+    cells = sums.groupBy(KEY, "ego").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * 3 + F.col("j"), F.array("weight", *stats)))).alias("b"))
+    none, last = F.array_repeat(F.lit(0.0), 1 + len(stats)), 9 * (1 + len(stats)) - 1
+    lay = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.coalesce(F.try_element_at("b", k % 9), none)[F.floor(k / 9).cast("int")])
+    wide = count.join(cells, [KEY, "ego"], "left").select(KEY, F.col("ego").alias("node"), "n0", "n1", "n2", lay.alias("x"))
+    out = [density(b, F.coalesce(F.col("x")[k], F.lit(0.0))).alias(f"measure_{b}") for k, b in enumerate(BLOCKS)] + [size(b).alias(f"size_{b}") for b in BLOCKS]
+    rest = FEATURES[len(out) :]
+    return wide.select(KEY, "node", *out, *[F.coalesce(F.col("x")[9 + k], F.lit(0.0)).alias(c) for k, c in enumerate(rest)])
 
 
 def block_order_stats(edges: DataFrame, ball: DataFrame, value: str = "amount_trans") -> DataFrame:
