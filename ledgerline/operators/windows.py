@@ -185,3 +185,43 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], stratum: str |
     return ranked.withColumn("split", split.otherwise(names[-1])).drop("__r", "__all")
 
 
+
+
+def encode(df: DataFrame, codes: DataFrame, column: str = "node") -> DataFrame:
+    """Adds node_code; a node without a code fails the query and is named."""
+    own = df.join(codes.withColumnRenamed("node", column) if column != "node" else codes, column, "left")
+    stop = F.raise_error(F.concat(F.lit("unknown node: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("int")
+    return own.withColumn("node_code", F.coalesce("node_code", stop))
+
+
+def appearance_codes(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """(column, code): codes 0.. in the order in which values first appear."""
+    first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
+    ranged = first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id())
+    return _numbered(ranged, "__part", ["__first"]).select(column, F.col("__n").cast("int").alias("code"))
+
+
+def labels_in_order(order: DataFrame, labels: DataFrame, position: str = "position") -> DataFrame:
+    """Labels of the nodes of ``order`` (position, node), sorted by position; null where there is none."""
+    return order.join(labels, "node", "left").orderBy(position)
+
+
+def channel_stats(df: DataFrame, column: str, channels: int, size: int = 9) -> DataFrame:
+    """(channel, mean, std) over all values of each run of ``size`` of a flat vector; sample std."""
+    own = df.select(F.posexplode(F.slice(column, 1, channels * size)).alias("at", "v"))
+    return own.groupBy(F.floor(F.col("at") / size).cast("int").alias("channel")).agg(F.avg(F.col("v").cast("double")).alias("mean"), F.stddev_samp(F.col("v").cast("double")).alias("std"))
+
+
+def rounded_class_ratio(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """One row: negatives over positives, rounded half to even, times ``scale``."""
+    return class_ratio(df).select((F.bround(F.col("negatives") / F.greatest(F.col("positives"), F.lit(1))) * F.lit(float(scale))).alias("weight"))
+
+
+def cached(spark: SparkSession, folder: str, key: tuple, build) -> DataFrame:
+    """The table kept in ``folder`` under ``key``, such as (tag, snapshots, K, task); built on first use."""
+    from ..sources.tables import exists
+
+    path = f"{folder}/" + "_".join(map(str, key))
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -560,6 +560,38 @@ def stratified_split_counts(spark, sf_dir):
     return own.groupBy("toxic", "split").agg(F.count("*").alias("n"))
 
 
+@_query(f"with {_ROWS}, d as (select node, row_number() over (order by node) - 1 as c from (select distinct node from rows_)) select row_id, node, cast(c as integer) as node_code from rows_ join d using (node)")
+def encoded_nodes(spark, sf_dir):
+    rows = _rows(spark, sf_dir).select("row_id", "node")
+    return windows.encode(rows, windows.node_codes(rows))
+
+
+@_query("select user_id, cast(row_number() over (order by t, i) - 1 as integer) as code from (select user_id, min(ts) as t, min_by(event_id, (ts, event_id)) as i from events group by all)")
+def appearance_codes(spark, sf_dir):
+    return windows.appearance_codes(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
+
+
+@_query("select doc_id as position, cast(doc_id as varchar) as node, toxic from documents left join labels using (doc_id)")
+def labels_in_order(spark, sf_dir):
+    order = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.col("doc_id").cast("string").alias("node"))
+    return windows.labels_in_order(order, _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("node"), "toxic"))
+
+
+@_query("select cast((i - 1) // 9 as integer) as channel, round(avg(cast(embedding[i] as double)), 9) as mean, round(stddev_samp(cast(embedding[i] as double)), 9) as std from embeddings, (select unnest(range(1, 64)) as i) group by all")
+def channel_stats(spark, sf_dir):
+    return _rounded(windows.channel_stats(_table(spark, sf_dir, "embeddings"), "embedding", 7), 9)
+
+
+@_query("select round_even(count(*) filter (toxic = 0) / count(*) filter (toxic = 1), 0) * 0.01::double as weight from labels")
+def rounded_class_ratio(spark, sf_dir):
+    return windows.rounded_class_ratio(_table(spark, sf_dir, "labels").select(F.col("toxic").alias("y")), 0.01)
+
+
+@_query()
+def sampled_nodes(spark, sf_dir):
+    return results.sample_nodes(_labels(spark, sf_dir).filter("snapshot_id = 3"), 20, 40)
+
+
 # --- metrics -----------------------------------------------------------------------------------------
 
 

@@ -114,3 +114,22 @@ def test_outliers_score_higher(spark):
     data = [(i, rng.normal(0, 1, 3).tolist()) for i in range(200)] + [(999, [9.0, 9.0, 9.0])]
     df = spark.createDataFrame(data, "row_id long, f array<double>")
     assert models.isolation_forest(df, df, trees=30).orderBy(F.desc("score")).first().row_id == 999
+
+
+def test_unknown_nodes_are_named(spark):
+    codes = spark.createDataFrame([("a", 0)], "node string, node_code int")
+    assert windows.encode(spark.createDataFrame([("a",)], "node string"), codes).first().node_code == 0
+    with pytest.raises(Exception, match="unknown node: b"):
+        windows.encode(spark.createDataFrame([("b",)], "node string"), codes).collect()
+
+
+def test_cached_tables_are_built_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert windows.cached(spark, str(tmp_path), ("d1_w1", 8, 3, "nowcast"), build).count() == 3
+    assert len(calls) == 1
