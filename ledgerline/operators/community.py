@@ -9,23 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import KEY, arcs, nodes, within
+from .pin import pinned
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(snapshot_id, node, community): the smallest node that edges reach, by label propagation with
     pointer jumping; each round's labels are checkpointed, so lineage stays short and rounds few."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
-    near = arcs(edges).select(KEY, F.col("u").alias("node"), F.col("v").alias("other")).checkpoint()
-    now = nodes(edges).withColumn("community", F.col("node")).checkpoint()
+    near = pinned(arcs(edges).select(KEY, F.col("u").alias("node"), F.col("v").alias("other")))
+    now = pinned(nodes(edges).withColumn("community", F.col("node")))
     for _ in range(max_rounds):
         heard = near.join(now.select(KEY, F.col("node").alias("other"), "community"), [KEY, "other"]).groupBy(KEY, "node").agg(F.min("community").alias("heard"))
         moved = now.join(heard, [KEY, "node"]).select(KEY, "node", F.least("community", "heard").alias("mid"))
         onward = now.select(KEY, F.col("node").alias("mid"), F.col("community").alias("onward"))
-        after = moved.join(onward, [KEY, "mid"]).select(KEY, "node", F.least("mid", "onward").alias("community")).checkpoint()
+        after = pinned(moved.join(onward, [KEY, "mid"]).select(KEY, "node", F.least("mid", "onward").alias("community")))
         changed = after.join(now.withColumnRenamed("community", "before"), [KEY, "node"]).filter("community <> before").limit(1).count()
         now = after
         if not changed:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import scrub
 from ..schema import FEATURES, missing_features
 from .graph import KEY
+from .pin import pinned
 
 VERSION = 1
 
@@ -28,7 +29,7 @@ def node_codes(df: DataFrame, column: str = "node") -> DataFrame:
     Ranges of nodes are numbered on their own and shifted by the rows before them, so no single task
     sees all nodes.
     """
-    ranged = df.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
+    ranged = pinned(df.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id()))
     return _numbered(ranged, "__part", [column]).select(column, F.col("__n").cast("int").alias("node_code"))
 
 
@@ -173,16 +174,23 @@ def class_ratio(df: DataFrame, *keys: str) -> DataFrame:
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], stratum: str | None = None, seed: int = 7) -> DataFrame:
     """Adds split: exact shares by the rank of a hash, within each stratum if given."""
     groups = [stratum] if stratum else []
-    order = Window.partitionBy(*groups).orderBy(F.xxhash64(F.lit(seed), key), key)
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("__all")) if groups else df.agg(F.count("*").alias("__all"))
-    ranked = df.withColumn("__r", F.row_number().over(order))
-    ranked = ranked.join(F.broadcast(sizes), groups) if groups else ranked.crossJoin(F.broadcast(sizes))
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), key))
+    ranged = pinned(hashed.repartitionByRange(*groups, "__h", key).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*groups).agg(F.count("*").alias("__all")) if groups else ranged.agg(F.count("*").alias("__all"))
+    above = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # a row a stratum
+    sizes = sizes.withColumn("__from", F.coalesce(F.sum("__all").over(above), F.lit(0)) if groups else F.lit(0))
+    ranked = _numbered(ranged, "__part", [*groups, "__h", key])
+    if groups:
+        ranked = ranked.join(F.broadcast(sizes.withColumnRenamed(stratum, "__g")), F.col(stratum).eqNullSafe(F.col("__g"))).drop("__g")
+    else:
+        ranked = ranked.crossJoin(F.broadcast(sizes))  # one row
+    ranked = ranked.withColumn("__r", F.col("__n") - F.col("__from") + 1)
     split, upto, names = None, 0.0, list(shares)
     for name in names[:-1]:
         upto += shares[name]
         hit = F.col("__r") <= F.round(F.col("__all") * upto)
         split = F.when(hit, name) if split is None else split.when(hit, name)
-    return ranked.withColumn("split", split.otherwise(names[-1])).drop("__r", "__all")
+    return ranked.withColumn("split", split.otherwise(names[-1])).select(*df.columns, "split")
 
 
 
@@ -197,7 +205,7 @@ def encode(df: DataFrame, codes: DataFrame, column: str = "node") -> DataFrame:
 def appearance_codes(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """(column, code): codes 0.. in the order in which values first appear."""
     first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
-    ranged = first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id())
+    ranged = pinned(first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id()))
     return _numbered(ranged, "__part", ["__first"]).select(column, F.col("__n").cast("int").alias("code"))
 
 
