@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .graph import KEY, arcs, nodes, within
 from .pin import pinned
 
@@ -100,6 +101,7 @@ def louvain(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, resolution
 
 def louvain_communities(edges: DataFrame, resolution: float = 10.0, seed: int = 1997, sweeps: int = 1000, max_level: int | None = None) -> DataFrame:
     """(snapshot_id, node, community), a snapshot a task; of a reciprocal pair one direction's weight counts."""
+    ship(edges.sparkSession)
     kind = edges.schema["src"].dataType
     schema = T.StructType([T.StructField(KEY, edges.schema[KEY].dataType), T.StructField("node", kind), T.StructField("community", kind)])
 

@@ -15,6 +15,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def _vectors(df: DataFrame, features: str, weight: float | None) -> DataFrame:
     own = df.withColumn("features", array_to_vector(F.col(features).cast("array<double>"))).withColumn("y", F.col("y").cast("double"))
@@ -101,6 +103,7 @@ def score_with(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], featu
 
     from pyspark.sql import types as T
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 

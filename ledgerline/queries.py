@@ -519,11 +519,11 @@ def window_flatten(spark, sf_dir):
 
 
 def _banded_sql(k: int) -> str:
-    return f"{_windows_sql(k, 'nowcast')}, t as (select max(anchor) as top from probe), banded as (select probe.*, case when anchor > top - 3 then 'test' when anchor > top - 6 then 'val' else 'train' end as band from probe, t)"
+    return f"{_windows_sql(k, 'nowcast')}, t as (select max(anchor) as top from probe), banded as (select probe.*, case when anchor > top - 8 then 'test' when anchor > top - 16 then 'val' else 'train' end as band from probe, t)"
 
 
 def _banded(spark, sf_dir):
-    return windows.bands(_nowcast(spark, sf_dir), 3, 3)
+    return windows.bands(_nowcast(spark, sf_dir), 8, 8)
 
 
 @_query(f"with {_banded_sql(4)} select band, anchor, count(*) as n, cast(sum(y) as bigint) as positives from banded where slot = 0 group by all")
