@@ -4,14 +4,15 @@
    cost nothing further.
 2. Sets go to size bands in which a band and the next hold every possible partner. In the tile of
    two bands at most H shingles can differ, so when the hash range is cut into more than H parts, a
-   linked pair agrees on a whole part: parts are signed, equal signatures name candidates. A set with
-   so many empty parts that these could be all that it shares signs its empty parts as well.
-3. Candidates form groups (connected components, distributed). A group's sets meet in size-banded
-   tiles: one tile if the group is small; else its bands are cut into blocks and each pair of blocks
-   that can hold partners is a tile, so no task holds more than two blocks.
-4. In a tile, hashed bitmaps bound the overlap from above (differing bits cannot exceed differing
-   shingles); pairs that pass are intersected exactly as sorted arrays. Links are counted and unions
-   kept in the tile; pairs are never emitted.
+   linked pair agrees on a whole part: parts are signed, and sets with equal signatures meet. A set
+   with so many empty parts that these could be all that it shares signs its empty parts as well.
+3. Sets that meet are compared by hashed bitmaps (a bit is the parity of the shingles hashed to it):
+   differing bits cannot exceed differing shingles, which bounds the overlap from above. What passes
+   connects; the connected groups (found without leaving the executors) hold all links.
+4. A group's sets meet in size-banded tiles: one tile if the group is small; else its bands are cut
+   into blocks and each pair of blocks that can hold partners is a tile, so no task holds more than
+   two blocks. In a tile, pairs that pass the bitmap bound are intersected exactly as sorted arrays.
+   Links are counted and unions kept in the tile; pairs are never emitted.
 
 Defined results: a null or wordless text has no shingles, is its own component and has no link;
 repeated rows are linked; a null id is a component's id only if it has no other; an empty table
@@ -26,17 +27,20 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions, prepare
+from .common import Scratch, free_name, partitions, prepare
 from .components import components
 from .shingles import U, digest, mix, shingle_set
 
 #: Postings that a worker holds before it hands them on, bytes of postings a tile task is to read,
-#: shingles in a block, words of a bitmap, parts beyond those that the bound asks for.
-FLUSH, TASK_BYTES, BLOCK, BITMAP, SPARE = 1_000_000, 24 << 20, 1_000_000, 16, 2
+#: shingles in a block, least bits of a bitmap, parts beyond those that the bound asks for, sets that
+#: meet and are still compared (more are connected as they are, and tiles part them).
+FLUSH, TASK_BYTES, BLOCK, BITS, SPARE, MEETING = 1_000_000, 24 << 20, 2_000_000, 256, 2, 20_000
+#: Bits of the bitmap that tells which texts a join may need.
+FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -86,14 +90,17 @@ def signatures(rule: Rule, edges: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) -> (id, key, n, digest)."""
+    """(id, key, text) -> (id, key, n, digest, bits)."""
     for b in batches:
         sets = [shingle_set(t or b"", k) for t in b.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary())], names=["id", "key", "n", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["id", "key", "n", "digest", "bits"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[int]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (key, sigs, who, refs): signatures of many sets, dealt by signature, as packed arrays."""
+    """(text) -> (key, sigs, who, refs): signatures of many sets, dealt by signature, as packed arrays.
+
+    48 bits of a signature are enough among those dealt to one task: what meets by chance is parted later.
+    """
     edges, seen = rule.edges(), set()
     sigs: list[np.ndarray] = []
     refs: list[np.ndarray] = []
@@ -105,9 +112,10 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[int]) ->
         cut = np.searchsorted(to[order], np.arange(len(keys) + 1))
         rows: list[list] = [[], [], [], []]
         for key, a, z in zip(keys, cut[:-1], cut[1:], strict=True):
-            if a < z:
-                own, who = np.unique(ref[order[a:z]], return_inverse=True)
-                for column, value in zip(rows, (key, sig[order[a:z]].tobytes(), who.astype(np.uint32).tobytes(), own.tobytes()), strict=True):
+            for i in range(a, z, 65_535):
+                part = order[i : min(z, i + 65_535)]
+                own, who = np.unique(ref[part], return_inverse=True)
+                for column, value in zip(rows, (key, sig[part].view(np.uint16).reshape(-1, 4)[:, :3].tobytes(), who.astype(np.uint16).tobytes(), own.tobytes()), strict=True):
                     column.append(value)
         sigs.clear()
         refs.clear()
@@ -133,13 +141,34 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[int]) ->
         yield flush()
 
 
+def width(size: int) -> int:
+    """Bits of the bitmap of a set: a power of two, at least three quarters of its size."""
+    return max(BITS, 1 << (3 * size // 4).bit_length())
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the numbers of shingles hashed to each bit, packed."""
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(U)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap brought to fewer words."""
+    # packed bit b of 2w bits falls on bit b mod w: the halves are xor-ed
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed postings of one task -> edges (a, b) from the first set of every signature to the others."""
+    """Packed postings of one task -> (meeting, ref): sets that share a signature, each such group once."""
     sigs, refs = [], []
     for b in batches:
         for sig, who, own in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-            sigs.append(np.frombuffer(sig, U))
-            refs.append(np.frombuffer(own, np.int64)[np.frombuffer(who, np.uint32)])
+            whole = np.zeros((len(who) // 2, 4), np.uint16)
+            whole[:, :3] = np.frombuffer(sig, np.uint16).reshape(-1, 3)
+            sigs.append(whole.view(U).ravel())
+            refs.append(np.frombuffer(own, np.int64)[np.frombuffer(who, np.uint16)])
     if not sigs:
         return
     sig, ref = np.concatenate(sigs), np.concatenate(refs)
@@ -147,18 +176,85 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, ref = sig[order], ref[order]
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
     many = ~(new & np.concatenate((new[1:], [True])))
-    sig, ref, new = sig[many], ref[many], new[many]
-    if not len(sig):
+    order = np.lexsort((ref[many], sig[many]))
+    sig, ref = sig[many][order], ref[many][order]
+    once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])))[: len(sig)]
+    sig, ref = sig[once], ref[once]
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)])
+    if not len(start):
         return
-    lead = np.repeat(np.minimum.reduceat(ref, np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(sig))))
-    pairs = np.unique(np.stack([lead, ref])[:, lead != ref], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    size = np.diff(np.append(start, len(sig)))
+    name = np.add.reduceat(mix(ref.view(U)), start) + size.astype(U)
+    _, first = np.unique(name, return_index=True)
+    keep = np.zeros(len(start), bool)
+    keep[first] = True
+    keep &= size > 1
+    rows = np.repeat(keep, size)
+    meeting, ref = np.repeat(name.view(np.int64), size)[rows], ref[rows]
+    for a in range(0, len(ref), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(meeting[a : a + 100_000]), pa.array(ref[a : a + 100_000])], names=["meeting", "ref"])
+
+
+def connect(rule: Rule, n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """For sets of sizes ``n`` the place of the first set that pairs within the bitmap bound connect it to."""
+    order = np.argsort(n, kind="stable")
+    n, label = n[order], np.arange(len(n))
+    words = [len(m) for m in maps]
+    least = min(words)
+    if max(words) == least:
+        whole = np.stack(maps)[order]
+    else:  # nearby sizes have at most two widths; the rest cannot be partners
+        whole = None
+    for i in range(len(n) - 1):
+        to = int(np.searchsorted(n, rule.partner(int(n[i])), "right"))
+        j = np.arange(i + 1, to)
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        if whole is not None:
+            apart = np.bitwise_count(whole[j] ^ whole[i]).sum(1, dtype=np.int64)
+        else:
+            own = maps[order[i]]
+            apart = np.array([np.bitwise_count(fold(maps[order[x]], len(own)) ^ own).sum() for x in j], np.int64)
+        j = j[apart <= (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)]
+        for x in np.unique(label[j]):
+            if x != label[i]:
+                low, high = min(x, label[i]), max(x, label[i])
+                label[label == high] = low
+    found = np.empty_like(label)
+    found[order] = order[label]
+    return found
+
 
+def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(meeting, ref, n, bits) sorted by meeting -> edges (a, b) that connect what may be linked."""
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP * 64, bool)
-    bits[(s % U(BITMAP * 64)).astype(np.int64)] = True
-    return np.packbits(bits).view(U)
+    def edges(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        refs, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        to = connect(rule, n, [np.frombuffer(r[2], U) for r in rows])
+        some = to != np.arange(len(to))
+        return refs[some], refs[to[some]]
+
+    now, rows, crowd = None, [], None
+    for b in batches:
+        out: list[tuple] = []
+        for meeting, ref, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if meeting != now:
+                if len(rows) > 1:
+                    out.append(edges(rows))
+                now, rows, crowd = meeting, [], None
+            if crowd is None:
+                rows.append((ref, n, bits))
+                if len(rows) > MEETING:
+                    crowd = rows[0][0]
+                    out.append((np.array([r[0] for r in rows[1:]]), np.full(len(rows) - 1, crowd)))
+                    rows = []
+            else:
+                out.append((np.array([ref]), np.array([crowd])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+    if len(rows) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges(rows)], names=["a", "b"])
 
 
 def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -177,7 +273,9 @@ def solve(rule: Rule, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarr
     """
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    n, maps, across = n[order], np.stack([_bitmap(sets[i]) for i in order]), int(sides[0]) != 2
+    n, across = n[order], int(sides[0]) != 2
+    bits = width(int(n[-1]))
+    maps = np.stack([bitmap(sets[i], bits) for i in order])
     side, copies = sides[order], copies[order]
     links, label = np.zeros(len(n), np.int64), np.arange(len(n))
     for i in range(len(n) - 1):
@@ -203,33 +301,27 @@ def solve(rule: Rule, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarr
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(tile, side, digest, copies, shingles) sorted by tile -> (digest, leader, links)."""
+    """(tile, side, digest, copies, text) sorted by tile -> (digest, leader, links)."""
 
     def solved(rows: dict) -> pa.RecordBatch:
         digests = list(rows)
-        sides, copies, blobs = (list(c) for c in zip(*rows.values(), strict=True))
-        leader, links = solve(rule, np.array(sides), np.array(copies), [np.frombuffer(x, U) for x in blobs])
+        sides, copies, sets = (list(c) for c in zip(*rows.values(), strict=True))
+        leader, links = solve(rule, np.array(sides), np.array(copies), sets)
         return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([digests[i] for i in leader], pa.binary()), pa.array(links)], names=["digest", "leader", "links"])
 
     now, rows = None, {}
     for b in batches:
-        for tile, side, name, copies, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for tile, side, name, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if tile != now and rows:
                 yield solved(rows)
                 rows = {}
             now = tile
-            rows[name] = (side, copies, blob)  # repeated rows are one set
+            if name not in rows:  # repeated rows are one set
+                rows[name] = (side, copies, shingle_set(text.encode(), rule.k))
     if rows:
         yield solved(rows)
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(tiles, digest, copies, text) -> (tiles, digest, copies, shingles)."""
-    for b in batches:
-        sets = [shingle_set(t or b"", k).tobytes() for t in b.column(3).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=["tiles", "digest", "copies", "shingles"])
-
-
 def _dealt_keys(df: DataFrame, parts: int) -> list[int]:
     """For each of ``parts`` partitions an integer that repartition() sends there."""
     where = df.sparkSession.range(parts * 40 + 200).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id"))
@@ -261,6 +353,20 @@ def _with_tiles(members: DataFrame, edges: np.ndarray) -> DataFrame:
     return cut.withColumn("tiles", F.when(F.col("cuts").isNull(), one).otherwise(many))
 
 
+def maybe(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key).
+
+    ``keys`` become a bitmap of 2**FILTER_BITS bits, broadcast in words of 64: its size never grows.
+    """
+    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
+    bit = keys.select(word(F.col("key")).alias(f"{name}_word"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
+    words = bit.groupBy(f"{name}_word").agg(F.bit_or("bit").alias(f"{name}_mask"))
+    marked = df.withColumn(f"{name}_key", key)
+    joined = marked.join(F.broadcast(words), word(F.col(f"{name}_key")) == F.col(f"{name}_word"), "left")
+    hit = F.expr(f"({name}_mask & shiftleft(1L, cast({name}_key & 63L as int))) <> 0L")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(f"{name}_key", f"{name}_word", f"{name}_mask")
+
+
 def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, text_key) per row of ``docs``.
 
@@ -273,28 +379,40 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
     edges = rule.edges()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType())])
     sets = scratch.table(texts.mapInArrow(lambda b, k=rule.k: _sets(b, k), schema), "sets")
-    reps = scratch.table(sets.filter("n > 0").groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("rep")), "classes")
+    reps = scratch.table(sets.filter("n > 0").groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("rep"), F.first("bits").alias("bits")), "classes")
 
     total = reps.agg(F.sum("n")).first()[0] or 0
-    parts = max(partitions(spark), -(-total // 2 * 12 // TASK_BYTES))
+    parts = max(partitions(spark), -(-total // 2 * 8 // TASK_BYTES))
     keys = _dealt_keys(docs, parts)
     postings = texts.select("text").mapInArrow(lambda b: _postings(b, rule, keys), "key long, sigs binary, who binary, refs binary")
-    near = postings.repartition(parts, "key").mapInArrow(_meet, "a long, b long")
-    groups = components(scratch, near, "near")
-
     ref = F.conv(F.concat(*[F.substring(F.hex("digest"), 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")  # its first 8 bytes, little-endian
+    met = scratch.table(postings.repartition(parts, "key").mapInArrow(_meet, "meeting long, ref long").distinct(), "met")
+    sketches = reps.select(ref.alias("ref"), "n", "bits")
+
+    def near(meetings: DataFrame) -> DataFrame:
+        rows = meetings.join(sketches, "ref").select("meeting", "ref", "n", "bits").repartition("meeting").sortWithinPartitions("meeting")
+        return rows.mapInArrow(lambda b: _near(b, rule), "a long, b long")
+
+    # copies of one text meet many times: an eighth of the meetings settles most of their groups, and of
+    # the rest only meetings across groups are compared
+    early = F.pmod(F.xxhash64("meeting"), F.lit(8)) == 0
+    first = components(scratch, near(met.filter(early)), "first")
+    known = met.filter(~early).join(first.withColumnRenamed("node", "ref"), "ref", "left").withColumn("grp", F.coalesce("label", "ref"))
+    across = known.groupBy("meeting").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("meeting")
+    later = near(met.filter(~early).join(across, "meeting"))
+    groups = components(scratch, later.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near")
+
     members = reps.withColumn("node", ref).join(groups.withColumnRenamed("label", "grp"), "node").select("grp", "n", "digest", "copies", "rep")
     cut = scratch.table(_with_tiles(members, edges), "tiles")
     wanted = cut.select(F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"), "tiles", "digest", "copies")
-    found = wanted.join(texts, wanted.rid.eqNullSafe(texts.id) & (wanted.rkey == texts.key)).select("tiles", "digest", "copies", "text")
-    tile_type = cut.schema["tiles"].dataType
-    blobs = found.mapInArrow(lambda b, k=rule.k: _blobs(b, k), T.StructType([T.StructField("tiles", tile_type), T.StructField("digest", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("shingles", T.BinaryType())]))
-    dealt = blobs.select(F.explode("tiles").alias("t"), "digest", "copies", "shingles").select("t.tile", "t.side", "digest", "copies", "shingles")
+    likely = maybe(texts, F.col("key"), wanted.select(F.col("rkey").alias("key")), "likely").filter("likely")
+    found = wanted.join(likely, wanted.rid.eqNullSafe(likely.id) & (wanted.rkey == likely.key)).select("tiles", "digest", "copies", "text")
+    dealt = found.select(F.explode("tiles").alias("t"), "digest", "copies", "text").select("t.tile", "t.side", "digest", "copies", "text")
     checked = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _tiles(b, rule), "digest binary, leader binary, links long")
     checked = scratch.table(checked, "checked")
-    scratch.free("near")
+    scratch.free("met")
 
     if cut.filter("cuts is not null").isEmpty():
         labels = checked.select("digest", F.col("leader").alias("label"))
@@ -322,4 +440,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_
     first = found.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("text_key").alias("first"))
     gone = found.filter("n_shingles > 0 and n_links > 0").join(first, "component_id", "left").filter("not (doc_id <=> component_id) or text_key <> first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     gone = Scratch(spark, "keep-one").table(gone.distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__key"]), "left_anti")
+    key = F.xxhash64(F.col(text_col))
+    flagged = maybe(docs, key, gone.select(F.col("__key").alias("key")), flag := free_name(docs, "__gone"))
+    unsure = flagged.filter(flag).drop(flag)
+    kept = unsure.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    return flagged.filter(~F.col(flag)).drop(flag).unionByName(kept)
