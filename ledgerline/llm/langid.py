@@ -192,15 +192,20 @@ def fold_key(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Net | None:
     """Trains on rows with a language and outside the held-out fold; a bounded sample of each language.
 
-    The sample is cut to its window before it is ranked, and ranked before it is shuffled.
+    Rows are picked by a hash of their id and cut to their window before they are ranked.
     """
     own = docs.filter((fold_key(id_col) % FOLDS != 0) & F.col(lang_col).isNotNull())
-    picked = F.xxhash64(F.lit("lang"), F.col(id_col))
+    lang, picked = F.col(lang_col).cast("string"), F.xxhash64(F.lit("lang"), F.col(id_col))
+    common = {r.lang: r["count"] for r in own.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not common:
+        return None
+    # a share of each language's rows that holds a few times the sample, so that ranking it stays small
+    share = F.create_map(*[F.lit(x) for k, n in common.items() for x in (k, min(1.0, 4 * per_language / n))])
     start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.lit(1), F.length(text_col) - CHARS)).cast("int") + 1
-    rows = own.select(F.col(lang_col).cast("string").alias("lang"), picked.alias("h"), F.col(text_col).substr(start, F.lit(CHARS)).alias("t")).filter("length(t) > 0")
-    common = [r.lang for r in own.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = own.filter(F.shiftrightunsigned(picked, 11) / F.lit(float(1 << 53)) < F.try_element_at(share, lang))
+    rows = rows.select(lang.alias("lang"), picked.alias("h"), F.col(text_col).substr(start, F.lit(CHARS)).alias("t")).filter("length(t) > 0")
     first = Window.partitionBy("lang").orderBy("h", "t")
-    sample = rows.filter(F.col("lang").isin(common)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
     return train(sorted((r.lang, r.t) for r in sample.select("lang", "t").collect()))
 
 
