@@ -396,6 +396,24 @@ def intra_component_edges(spark, sf_dir):
     return graph.within(edges, community.components(edges).filter("node % 3 <> 0")).select("snapshot_id", "src", "dst", "num_trans")
 
 
+@_query()
+def components_whole(spark, sf_dir):
+    """Components of whole one-day snapshots; recursive SQL over these is too slow, tests use union-find."""
+    return community.components(_edges(spark, sf_dir))
+
+
+@_query()
+def intra_component_edges_whole(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return graph.within(edges, community.components(edges)).select("snapshot_id", "src", "dst", "num_trans")
+
+
+@_query()
+def intra_community_edges(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return graph.within(edges, community.louvain_communities(edges)).select("snapshot_id", "src", "dst", "num_trans")
+
+
 @_query()
 def louvain_edges(spark, sf_dir):
     return community.prune(_edges(spark, sf_dir), "louvain")
