@@ -2,10 +2,13 @@
 
 1. A softmax classifier over hashed words, fitted on a bounded sample of labelled rows, gives every
    document a posterior over the domains (the label classes).
-2. Nonnegative document rates w are fitted by distributed projected gradient least squares: the
-   expected tokens of each domain, sum of w * tokens * posterior, are to match the targets. An
-   iterate is a function of the residuals so far, so an iteration is one pass over (tokens,
-   posterior) that returns one number a domain; nothing else reaches the driver.
+2. Nonnegative document rates w are fitted by distributed least squares: the expected tokens of each
+   domain, sum of w * tokens * posterior, are to match the targets with rates as near to 1 as can be.
+   Such rates are max(0, 1 + a . m) for one multiplier m a domain, which Newton steps find; a step is
+   one pass over (tokens, posterior) that returns a value, a gradient and a Hessian of the size of the
+   domains for each of a few step lengths; nothing else reaches the driver. The steps end when each
+   domain is within CLOSE of its goal or the residual stalls, as where targets cannot be met;
+   ``Fit.errors`` has what is missed, and a miss is warned of.
 3. ``apply_rates`` repeats or drops documents: a rate r gives floor(r) copies and one more with
    probability r - floor(r), decided by a hash of the id and text.
 
@@ -17,6 +20,7 @@ or with the results' are not touched.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +37,8 @@ from .common import Scratch, free_name, prepare
 SAMPLE, FEATURES, STEPS = 4000, 1 << 13, 200
 #: Passes of the rate fit, and the relative error at which it ends.
 PASSES, CLOSE = 40, 1e-4
+#: Step lengths that a pass tries, and the passes without a residual less by 1 % after which the fit has stalled.
+LENGTHS, STALL = (4.0, 1.0, 0.5, 0.25, 0.0625, 0.01), 8
 #: Domain of a label row, and the share of tokens that each domain is to have.
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'high' when quality = 0 then 'low' end"
 TARGETS = {"high": 0.80, "low": 0.18, "toxic": 0.02}
@@ -125,11 +131,8 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
 
 
 def rates(a: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """The iterate after the steps in ``history``: w <- max(0, w - a . step), from 1."""
-    w = np.ones(len(a))
-    for step in history:
-        w = np.maximum(0.0, w - a @ step)
-    return w
+    """The iterate after the steps in ``history``, the multipliers so far: max(0, 1 + a . last), from 1."""
+    return np.maximum(0.0, 1.0 + a @ history[-1]) if history else np.ones(len(a))
 
 
 @dataclass
@@ -139,6 +142,7 @@ class Fit:
     mean: float  # tokens of a document
     totals: np.ndarray
     goal: np.ndarray
+    errors: np.ndarray  # of each domain, relative to its goal
 
 
 def _matrix(b: pa.RecordBatch, scale: np.ndarray, mean: float) -> np.ndarray:
@@ -150,13 +154,13 @@ def _matrix(b: pa.RecordBatch, scale: np.ndarray, mean: float) -> np.ndarray:
 def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], passes: int = PASSES) -> Fit:
     """Rates whose expected domain tokens come closest to shares ``targets`` of all tokens.
 
-    Steps are scaled by the Gram matrix of the documents (domains x domains), which makes each one the
-    projection on the targets; domains without a target keep their tokens.
+    Domains without a target keep their tokens. Where targets cannot be met, the iterate of the least
+    residual counts and a warning says by how much each domain misses.
     """
     d = len(domains)
     sums = soft.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(d)]).first()
     if not sums.tokens:
-        return Fit([], np.ones(d), 1.0, np.zeros(d), np.zeros(d))
+        return Fit([], np.ones(d), 1.0, np.zeros(d), np.zeros(d), np.zeros(d))
     totals = np.array([sums[f"t{i}"] for i in range(d)])
     shares = np.array([targets.get(x, t / totals.sum()) for x, t in zip(domains, totals, strict=True)])
     goal = shares / shares.sum() * totals.sum()
@@ -164,36 +168,47 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], pa
     scale = mean / np.maximum(totals, 1e-9 * totals.sum())
     want = goal / mean * scale  # in the units of a
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((d, d))
+    def measure(batches: Iterator[pa.RecordBatch], tries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(tries), 1 + d + d * d))
         for b in batches:
             a = _matrix(b, scale, mean)
-            g += a.T @ a
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d), pa.int32()), pa.array(g.ravel())], names=["i", "v"])
-
-    def sums_of(batches: Iterator[pa.RecordBatch], history: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros(d)
-        for b in batches:
-            a = _matrix(b, scale, mean)
-            s += rates(a, history) @ a
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array(s)], names=["i", "v"])
-
-    def gather(f, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for r in soft.select("tokens", "posterior").mapInArrow(f, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            for k, m in enumerate(tries):
+                w = rates(a, [m])
+                out[k] += np.concatenate([[w @ w / 2], w @ a, (a[w > 0].T @ a[w > 0]).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
+
+    def at(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(value to be least, multipliers, sums, Hessian) for each of ``tries``."""
+        out = np.zeros(len(tries) * (1 + d + d * d))
+        for r in soft.select("tokens", "posterior").mapInArrow(lambda b: measure(b, tries), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             out[r.i] = r.v
-        return out
+        return [(x[0] - m @ want, m, x[1 : 1 + d], x[1 + d :].reshape(d, d)) for m, x in zip(tries, out.reshape(len(tries), -1), strict=True)]
 
-    g = gather(gram, d * d).reshape(d, d)
-    inverse = np.linalg.pinv(g + 1e-9 * np.trace(g) / d * np.eye(d))
+    value, now, got, hessian = at([np.zeros(d)])[0]
+    ridge = 1e-9 * np.trace(hessian) / d * np.eye(d)
     history: list[np.ndarray] = []
+    errors, misses = [(got - want) / np.maximum(want, 1e-9)], [np.linalg.norm(got - want)]
     for _ in range(passes):
-        got = gather(lambda b, h=tuple(history): sums_of(b, list(h)), d)
-        apart = got - want
-        if np.abs(apart / np.maximum(want, 1e-9)).max() < CLOSE:
+        stalled = len(misses) > STALL and min(misses[-STALL:]) > 0.99 * min(misses[:-STALL])
+        if np.abs(errors[-1]).max() < CLOSE or stalled:
             break
-        history.append(np.array([float(f"{x:.9g}") for x in inverse @ apart]))  # sums differ in their last digits between runs
-    return Fit(history, scale, mean, totals, goal)
+        step = np.linalg.solve(hessian + ridge, want - got)
+        # sums differ in their last digits between runs
+        tried = at([np.array([float(f"{x:.12g}") for x in now + t * step]) for t in LENGTHS])
+        best = min(tried, key=lambda x: x[0])
+        if not best[0] < value:  # near the end the value is flat to its last digits, the residual is not
+            best = min(tried, key=lambda x: np.linalg.norm(x[2] - want))
+            if not np.linalg.norm(best[2] - want) < misses[-1]:
+                break
+        value, now, got, hessian = best
+        history.append(now)
+        errors.append((got - want) / np.maximum(want, 1e-9))
+        misses.append(np.linalg.norm(got - want))
+    if np.abs(errors[-1]).max() >= CLOSE:
+        last = int(np.argmin(misses))
+        history, errors = history[:last], errors[: last + 1]
+        warnings.warn(f"targets missed after {len(misses) - 1} steps, relative errors: " + ", ".join(f"{x} {e:.3g}" for x, e in zip(domains, errors[-1], strict=True)), stacklevel=2)
+    return Fit(history, scale, mean, totals, goal, errors[-1])
 
 
 def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
