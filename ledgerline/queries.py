@@ -733,6 +733,12 @@ def missing_cells(spark, sf_dir):
     return results.missing_cells(results.sweep_grid(spark, *_GRID), have, ["cell"], 2)
 
 
+@_query(f"with {_GRID_SQL}, have as (select cast(floor(value / 25) as integer) as cell, count(*) as n from events group by all) select cell, timing, K, task, coalesce(n, 0) as n, case when n is null then 'missing' else 'top-up' end as state from grid left join have using (cell) where coalesce(n, 0) < 10")
+def missing_cells_whole(spark, sf_dir):
+    have = _table(spark, sf_dir, "events").select(F.floor(F.col("value") / 25).cast("int").alias("cell"))
+    return results.missing_cells(results.sweep_grid(spark, *_GRID), have, ["cell"], 10)
+
+
 @_query("select event_type, count(distinct user_id) filter (value > 100) as n_have, count(distinct user_id) as n_total from events group by all")
 def coverage(spark, sf_dir):
     ev = _table(spark, sf_dir, "events")

@@ -47,3 +47,13 @@ def test_edges_inside_communities_are_those_of_equal_communities(spark):
     want = sorted(e for e in all_ if home[e[0], e[1]] == home[e[0], e[2]])
     assert 0 < len(want) < len(all_)
     assert sorted(tuple(r) for r in core.queries()["intra_community_edges"](spark, SF).collect()) == want
+
+
+def test_missing_cells_counts_every_event(spark):
+    n = {i: 0 for i in range(24)}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("value").collect():
+        if r.value is not None and int(r.value // 25) in n:
+            n[int(r.value // 25)] += 1
+    got = {r.cell: (r.n, r.state) for r in core.queries()["missing_cells_whole"](spark, SF).collect()}
+    assert got == {i: (k, "top-up" if k else "missing") for i, k in n.items() if k < 10}
+    assert {s for _, s in got.values()} == {"missing", "top-up"}
