@@ -10,6 +10,9 @@ letters lower case, sentences end at '.' before a space, outer spaces and dots g
 twice, with line ends as ends of sentences and, for wrapped notices, with blank lines alone as ends;
 the reading with more rule matches counts (on a tie the first).
 
+A sentence that only numbers a list item ("1", "a", "iv") is no gap between two identifiers, and a line
+that begins with one begins a sentence; it still counts in n_sentences.
+
 Defined results: a null or empty text has no sentence and no licence; repeated rows each get their
 result; a known sentence that no rule uses counts as unresolved; other columns are ignored.
 """
@@ -120,6 +123,8 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 MARK = {"<" + "><".join(rule.split()) + ">": licence for rule, licence in RULES}
 PATTERN = "|".join(MARK)
+#: A sentence that only numbers what follows: digits, a letter or a roman numeral.
+ENUMERATOR = "(?:[0-9]{1,3}|[a-z]|[ivxlc]{1,6})"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,11 +141,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         """An identifier or a gap for each sentence."""
         parts = F.split(F.regexp_replace(text, r"\. ", "\n"), "\n")
         sentences = F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
-        return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).otherwise(F.lit("-")))
+        return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).when(s.rlike(f"^{ENUMERATOR}$"), "#").otherwise(F.lit("-")))
 
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("flat", r"\n(?: ?\n)+", ". "), r"\n", " "), " +", " ")
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("flat", rf"\n(?: ?\n)+|\n(?= ?{ENUMERATOR}\. )", ". "), r"\n", " "), " +", " ")
     cut = docs.select(F.col(id_col).alias("doc_id"), flat.alias("flat")).select("doc_id", reading(F.col("flat")).alias("a"), reading(joined).alias("b"))
-    both = cut.select("doc_id", *[x for r in "ab" for x in (F.size(r).cast("long").alias(f"n_{r}"), F.regexp_replace(F.array_join(r, ""), "-+", "-").alias(f"seq_{r}"))])
+    both = cut.select("doc_id", *[x for r in "ab" for x in (F.size(r).cast("long").alias(f"n_{r}"), F.regexp_replace(F.regexp_replace(F.array_join(r, ""), "(?<=>)#+(?=<)", ""), "[-#]+", "-").alias(f"seq_{r}"))])
     found = both.select("*", *[F.regexp_extract_all(f"seq_{r}", F.lit(f"({PATTERN})"), F.lit(1)).alias(f"hits_{r}") for r in "ab"])
     wrapped = F.size("hits_b") > F.size("hits_a")
     hits = found.select("doc_id", *[F.when(wrapped, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in ("n", "seq", "hits")])
