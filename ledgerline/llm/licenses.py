@@ -6,9 +6,10 @@ identifiers that follow each other without a gap; where rules overlap, the earli
 listed first (longer ones come first) counts. No text is exploded or shuffled.
 
 Normalising: characters other than ASCII letters, digits, '.' and line ends become one space,
-letters lower case, sentences end at '.' before a space, outer spaces and dots go. A text is read
-twice, with line ends as ends of sentences and, for wrapped notices, with blank lines alone as ends;
-the reading with more rule matches counts (on a tie the first).
+letters lower case, sentences end at '.' before a space, outer spaces and dots go. Each
+paragraph (between blank lines) is read twice, with line ends as ends of sentences and, for wrapped
+notices, as one run; the reading with more known sentences counts (on a tie the first), and what the
+paragraphs give is put together before rules are looked for.
 
 A sentence that only numbers a list item ("1", "a", "iv") is no gap between two identifiers, and a line
 that begins with one begins a sentence; it still counts in n_sentences.
@@ -143,12 +144,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         sentences = F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
         return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).when(s.rlike(f"^{ENUMERATOR}$"), "#").otherwise(F.lit("-")))
 
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("flat", rf"\n(?: ?\n)+|\n(?= ?{ENUMERATOR}\. )", ". "), r"\n", " "), " +", " ")
-    cut = docs.select(F.col(id_col).alias("doc_id"), flat.alias("flat")).select("doc_id", reading(F.col("flat")).alias("a"), reading(joined).alias("b"))
-    both = cut.select("doc_id", *[x for r in "ab" for x in (F.size(r).cast("long").alias(f"n_{r}"), F.regexp_replace(F.regexp_replace(F.array_join(r, ""), "(?<=>)#+(?=<)", ""), "[-#]+", "-").alias(f"seq_{r}"))])
-    found = both.select("*", *[F.regexp_extract_all(f"seq_{r}", F.lit(f"({PATTERN})"), F.lit(1)).alias(f"hits_{r}") for r in "ab"])
-    wrapped = F.size("hits_b") > F.size("hits_a")
-    hits = found.select("doc_id", *[F.when(wrapped, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in ("n", "seq", "hits")])
+    def joined(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, rf"\n(?= ?{ENUMERATOR}\. )", ". "), r"\n", " "), " +", " ")
+
+    known = lambda r: F.size(F.filter(r, lambda s: s.startswith("<")))
+    readings = F.transform(F.split("flat", r"\n(?: ?\n)+"), lambda t: F.array(reading(t), reading(joined(t))))
+    chosen = F.flatten(F.transform(readings, lambda r: F.when(known(r[1]) > known(r[0]), r[1]).otherwise(r[0])))
+    cut = docs.select(F.col(id_col).alias("doc_id"), flat.alias("flat")).select("doc_id", chosen.alias("ids"))
+    seq = F.regexp_replace(F.regexp_replace(F.array_join("ids", ""), "(?<=>)#+(?=<)", ""), "[-#]+", "-")
+    hits = cut.select("doc_id", F.size("ids").cast("long").alias("n"), seq.alias("seq")).select("*", F.regexp_extract_all("seq", F.lit(f"({PATTERN})"), F.lit(1)).alias("hits"))
     return hits.select(
         "doc_id",
         F.col("n").alias("n_sentences"),

@@ -20,3 +20,11 @@ def test_numbered_bsd_texts(spark):
     cases = [(n, a, w) for n in (two, three) for a, w in (("\n\n", True), ("\n\n", False), ("\n", False))]
     got = scanned(spark, *(bsd(*c) for c in cases), "Released under the MIT License. 1. Foo.")
     assert [(r.licenses, r.rule_matches, r.unresolved) for r in got] == [("BSD-2-Clause", 1, 0)] * 3 + [("BSD-3-Clause", 1, 0)] * 3 + [("MIT", 1, 0)]
+
+
+def test_notices_of_lines_and_wrapped_ones_in_one_text(spark):
+    gpl = textwrap.fill(licenses.SENTENCES["Gpl3Plus"][0], 60)
+    lines = "Notes for users\nReleased under the MIT License\nSee below"
+    got = scanned(spark, f"{lines}\n\n{gpl}", f"{gpl}\n\n{lines}")
+    assert [r.licenses for r in got] == ["MIT,GPL-3.0-or-later", "GPL-3.0-or-later,MIT"]
+    assert all((r.rule_matches, r.unresolved) == (2, 0) for r in got)
