@@ -398,7 +398,7 @@ def intra_component_edges(spark, sf_dir):
 
 @_query()
 def components_whole(spark, sf_dir):
-    """Components of whole one-day snapshots; recursive SQL over these is too slow, tests use union-find."""
+    """Components of whole one-day snapshots; no SQL is registered, tests use union-find."""
     return community.components(_edges(spark, sf_dir))
 
 
