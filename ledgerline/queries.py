@@ -775,7 +775,7 @@ def parse_metric_text(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     emb = _table(spark, sf_dir, "embeddings")
-    return emb.select(F.col("vec_id").alias("row_id"), (F.col("label") == 0).cast("int").alias("y"), F.slice("embedding", 1, 8).alias("f"))
+    return emb.select(F.col("vec_id").alias("row_id"), (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").alias("f"))
 
 
 @_query()
@@ -787,19 +787,19 @@ def logreg_scores(spark, sf_dir):
 @_query()
 def gbt_scores(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
-    return models.boosted(rows, rows, trees=5, depth=3, weight=9.0).select("row_id", "y", "score")
+    return models.boosted(rows, rows, weight=9.0).select("row_id", "y", "score")
 
 
 @_query()
 def mlp_scores(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
-    return models.perceptron(rows, rows, 8, hidden=(8,), max_iter=20).select("row_id", "y", "score")
+    return models.perceptron(rows, rows, 64).select("row_id", "y", "score")
 
 
 @_query()
 def iforest_scores(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
-    return models.isolation_forest(rows, rows, trees=25).select("row_id", "score")
+    return models.isolation_forest(rows, rows).select("row_id", "score")
 
 
 @_query("select vec_id, cast(i as integer) as i, case when embedding[i + 1] > 0 then 1 else 0 end as bit from embeddings, (select unnest(range(13)) as i)")
