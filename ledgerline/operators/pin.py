@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from ..shared import shared_folder
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: lineage is cut and later reads see the same rows in the same parts.
 
-    The folder is the one in spark.checkpoint.dir; a temporary one only where that is unset.
-    """
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: lineage is cut and later reads see the same rows in the same parts."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
