@@ -2,55 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+from ..ship import ship as prepare  # noqa: F401
+
 #: Rows handed to a Python worker at once; texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 256
-
-_own_folder: dict[str, str] = {}
-_shipped: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own_folder:
-        _own_folder[key] = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-    return _own_folder[key]
+@contextmanager
+def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Bounds what a Python worker holds at once in the jobs that run inside; the session's setting comes back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 class Scratch:
     """Tables of one operator call, written to the shared folder so that lost executors cost nothing.
 
-    ``table`` writes a frame and reads it back; ``free`` deletes tables that no later step reads.
-    Tables behind a returned frame stay until the caller's cluster clears the folder.
+    ``table`` writes a frame and reads it back; ``free`` deletes tables that no later step reads. What
+    stays behind returned frames goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        where, files = self._at(self.root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:
+        with batches(self.spark, rows):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def free(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = self._at(self.path(name))
+            files.delete(where, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -65,21 +72,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker holds of a table with long texts, and give workers this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if _shipped.get("to") == context.applicationId:
-        return
-    package = Path(__file__).resolve().parent.parent
-    where = Path(tempfile.mkdtemp(prefix="ledgerline-code-")) / "ledgerline_code.zip"
-    with zipfile.ZipFile(where, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(where))
-    _shipped["to"] = context.applicationId
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,10 +5,15 @@
 2. Sets go to size bands in which a band and the next hold every possible partner. In the tile of
    two bands at most H shingles can differ, so when the hash range is cut into more than H parts, a
    linked pair agrees on a whole part: parts are signed, and sets with equal signatures meet. A set
-   with so many empty parts that these could be all that it shares signs its empty parts as well.
+   with so many empty parts that these could be all that it shares also signs its first shingles in
+   hash order, as many as it takes for linked sets to have one in common.
 3. Sets that meet are compared by hashed bitmaps (a bit is the parity of the shingles hashed to it):
    differing bits cannot exceed differing shingles, which bounds the overlap from above. What passes
-   connects; the connected groups (found without leaving the executors) hold all links.
+   connects; the connected groups (found without leaving the executors) hold all links. This is done
+   in two rounds. Round one takes an eighth of the meetings and deals a crowded one over tasks that
+   each compare a part of it with one common set. Round two takes what round one has not settled and
+   compares only sets of different groups: those outside a meeting's largest group, in blocks, with
+   all of it. No task holds more than two blocks, and all pairs across groups are compared.
 4. A group's sets meet in size-banded tiles: one tile if the group is small; else its bands are cut
    into blocks and each pair of blocks that can hold partners is a tile, so no task holds more than
    two blocks. In a tile, pairs that pass the bitmap bound are intersected exactly as sorted arrays.
@@ -16,7 +21,8 @@
 
 Defined results: a null or wordless text has no shingles, is its own component and has no link;
 repeated rows are linked; a null id is a component's id only if it has no other; an empty table
-gives an empty result; other columns are ignored. Shingles are compared by 64-bit hashes.
+gives an empty result; other columns are ignored (``join``) or kept, whatever their names
+(``keep_one``). Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,10 +41,12 @@ from .common import Scratch, free_name, partitions, prepare
 from .components import components
 from .shingles import U, digest, mix, shingle_set
 
-#: Postings that a worker holds before it hands them on, bytes of postings a tile task is to read,
-#: shingles in a block, least bits of a bitmap, parts beyond those that the bound asks for, sets that
-#: meet and are still compared (more are connected as they are, and tiles part them).
-FLUSH, TASK_BYTES, BLOCK, BITS, SPARE, MEETING = 1_000_000, 24 << 20, 2_000_000, 256, 2, 20_000
+#: Postings that a worker holds before it hands them on, bytes of postings a task is to read, least
+#: bits of a bitmap, parts beyond those that the bound asks for, digests a worker remembers.
+FLUSH, TASK_BYTES, BITS, SPARE, SEEN = 1_000_000, 24 << 20, 256, 2, 300_000
+#: Most shingles of a block of a tile, and most sets of a block of a meeting: a task's fair share of
+#: all, within these bounds. They decide how work is dealt, not what is compared.
+BLOCK, CROWD = (4_000, 2_000_000), (64, 4096)
 #: Bits of the bitmap that tells which texts a join may need.
 FILTER_BITS = 24
 
@@ -84,8 +92,8 @@ def signatures(rule: Rule, edges: np.ndarray, s: np.ndarray) -> np.ndarray:
         salt = mix(part[start] + U(tile << 40))
         out.append(mix(sums ^ salt))
         if n - len(start) > SPARE:
-            empty = np.setdiff1d(np.arange(n, dtype=U), part[start])
-            out.append(mix(mix(empty + U(tile << 40)) + U(1)))
+            first = s[: len(s) - -(-rule.num * len(s) // rule.den) + 1]
+            out.append(mix(mix(first + U(tile << 40)) + U(1)))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
@@ -127,7 +135,7 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[int]) ->
             s = shingle_set(text or b"", rule.k)
             if not len(s) or (d := digest(s)) in seen:
                 continue  # the same set, already signed here
-            if len(seen) >= 300_000:
+            if len(seen) >= SEEN:
                 seen.clear()
             seen.add(d)
             own = signatures(rule, edges, s)
@@ -195,20 +203,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(meeting[a : a + 100_000]), pa.array(ref[a : a + 100_000])], names=["meeting", "ref"])
 
 
-def connect(rule: Rule, n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-    """For sets of sizes ``n`` the place of the first set that pairs within the bitmap bound connect it to."""
+def connect(rule: Rule, n: np.ndarray, maps: list[np.ndarray], group: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Places of sets to be connected, of sizes ``n``: pairs of different groups within the bitmap bound.
+
+    Sides 0 and 1: only pairs across are compared; side 2: all pairs.
+    """
     order = np.argsort(n, kind="stable")
-    n, label = n[order], np.arange(len(n))
-    words = [len(m) for m in maps]
-    least = min(words)
-    if max(words) == least:
+    n, side, across = n[order], side[order], int(side[0]) != 2
+    _, first, label = np.unique(group[order], return_index=True, return_inverse=True)
+    label = first[label]
+    least = min(len(m) for m in maps)
+    if max(len(m) for m in maps) == least:
         whole = np.stack(maps)[order]
     else:  # nearby sizes have at most two widths; the rest cannot be partners
         whole = None
+    found = []
     for i in range(len(n) - 1):
         to = int(np.searchsorted(n, rule.partner(int(n[i])), "right"))
         j = np.arange(i + 1, to)
         j = j[label[j] != label[i]]
+        if across:
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
         if whole is not None:
@@ -221,40 +236,34 @@ def connect(rule: Rule, n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
             if x != label[i]:
                 low, high = min(x, label[i]), max(x, label[i])
                 label[label == high] = low
-    found = np.empty_like(label)
-    found[order] = order[label]
+                found.append((int(order[high]), int(order[low])))
     return found
 
 
 def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(meeting, ref, n, bits) sorted by meeting -> edges (a, b) that connect what may be linked."""
+    """(meeting, tile, ref, grp, side, n, bits) sorted by the first two -> edges (a, b) that connect what may be linked."""
+
+    def edges(rows: list[tuple]) -> list[tuple[int, int]]:
+        ref, group, side, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
+        return [(int(ref[a]), int(ref[b])) for a, b in connect(rule, n, [np.frombuffer(r[4], U) for r in rows], group, side)]
 
-    def edges(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        refs, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        to = connect(rule, n, [np.frombuffer(r[2], U) for r in rows])
-        some = to != np.arange(len(to))
-        return refs[some], refs[to[some]]
+    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    now, rows, crowd = None, [], None
+    now, rows = None, []
     for b in batches:
-        out: list[tuple] = []
-        for meeting, ref, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if meeting != now:
+        out: list[tuple[int, int]] = []
+        for meeting, tile, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (meeting, tile) != now:
                 if len(rows) > 1:
-                    out.append(edges(rows))
-                now, rows, crowd = meeting, [], None
-            if crowd is None:
-                rows.append((ref, n, bits))
-                if len(rows) > MEETING:
-                    crowd = rows[0][0]
-                    out.append((np.array([r[0] for r in rows[1:]]), np.full(len(rows) - 1, crowd)))
-                    rows = []
-            else:
-                out.append((np.array([ref]), np.array([crowd])))
+                    out += edges(rows)
+                now, rows = (meeting, tile), []
+            rows.append(rest)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
-    if len(rows) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges(rows)], names=["a", "b"])
+            yield batch(out)
+    if len(rows) > 1 and (out := edges(rows)):
+        yield batch(out)
 
 
 def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -328,101 +337,163 @@ def _dealt_keys(df: DataFrame, parts: int) -> list[int]:
     return [r.id for r in where.collect()]
 
 
-def _with_tiles(members: DataFrame, edges: np.ndarray) -> DataFrame:
+def _upto(n: Column) -> Column:
+    return F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+
+
+def _with_tiles(members: DataFrame, edges: np.ndarray, block: int) -> DataFrame:
     """Adds tiles, an array of (tile, side), to (grp, n, digest, ...)."""
     sorted_edges = F.array(*[F.lit(int(e)) for e in edges])
     banded = members.withColumn("band", F.size(F.filter(sorted_edges, lambda e: e <= F.col("n"))) - 1)
     sizes = banded.groupBy("grp", "band").agg(F.sum("n").alias("w"))
     large = (
         sizes.groupBy("grp")
-        .agg(F.sum("w").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / BLOCK).cast("int")))).alias("cuts"))
-        .filter(F.col("all") > BLOCK)
+        .agg(F.sum("w").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / block).cast("int")))).alias("cuts"))
+        .filter(F.col("all") > block)
         .drop("all")
     )
     cut = banded.join(large, "grp", "left")
     blocks = lambda off: F.coalesce(F.try_element_at("cuts", F.col("band") + off), F.lit(0))
-    upto = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
     own = F.pmod(F.xxhash64("digest"), F.greatest(blocks(0), F.lit(1))).cast("int")
     tile = lambda kind, band, i, j: F.concat_ws(".", F.col("grp").cast("string"), F.lit(kind), band, i, j)
     many = F.concat(
-        F.transform(upto(blocks(0)), lambda j: F.struct(tile("s", F.col("band"), F.least(own, j), F.greatest(own, j)).alias("tile"), F.when(own == j, 2).otherwise((own > j).cast("int")).alias("side"))),
-        F.transform(upto(blocks(1)), lambda j: F.struct(tile("x", F.col("band"), own, j).alias("tile"), F.lit(0).alias("side"))),
-        F.transform(upto(blocks(-1)), lambda j: F.struct(tile("x", F.col("band") - 1, j, own).alias("tile"), F.lit(1).alias("side"))),
+        F.transform(_upto(blocks(0)), lambda j: F.struct(tile("s", F.col("band"), F.least(own, j), F.greatest(own, j)).alias("tile"), F.when(own == j, 2).otherwise((own > j).cast("int")).alias("side"))),
+        F.transform(_upto(blocks(1)), lambda j: F.struct(tile("x", F.col("band"), own, j).alias("tile"), F.lit(0).alias("side"))),
+        F.transform(_upto(blocks(-1)), lambda j: F.struct(tile("x", F.col("band") - 1, j, own).alias("tile"), F.lit(1).alias("side"))),
     )
     one = F.array(F.struct(F.col("grp").cast("string").alias("tile"), F.lit(2).alias("side")))
     return cut.withColumn("tiles", F.when(F.col("cuts").isNull(), one).otherwise(many))
 
 
+def _parts(crowd: int, of: Column) -> Column:
+    return F.ceil(of / crowd).cast("int")
+
+
+def _first_look(met: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
+    """(meeting, tile, ref, grp, side): meetings as they are, ``crowded`` ones (meeting, m, anchor) in parts.
+
+    Every part of a crowded meeting holds its anchor, so parts that it connects come together.
+    """
+    alone = {"grp": F.col("ref"), "side": F.lit(2)}
+    tile = F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("ref"), _parts(crowd, F.col("m"))).cast("int"))
+    rows = met.join(crowded, "meeting", "left").filter("anchor is null or ref <> anchor").select("meeting", tile.alias("tile"), "ref")
+    anchors = crowded.select("meeting", F.explode(_upto(_parts(crowd, F.col("m")))).alias("tile"), F.col("anchor").alias("ref"))
+    return rows.unionByName(anchors).withColumns(alone)
+
+
+def _second_look(known: DataFrame, unsettled: DataFrame, crowd: int) -> DataFrame:
+    """(meeting, tile, ref, grp, side): what of ``known`` (meeting, ref, grp) is to be compared across groups.
+
+    ``unsettled``: (meeting, m, top, minor), minor of m sets being outside its largest group ``top``.
+    """
+    rows = known.join(unsettled, "meeting")
+    outside = F.col("grp") != F.col("top")
+    q, r = _parts(crowd, F.col("minor")), _parts(crowd, F.col("m") - F.col("minor"))
+    own = F.pmod(F.xxhash64("ref"), F.when(outside, q).otherwise(r)).cast("int")
+    entry = lambda a, b, side: F.struct(F.concat_ws(".", a, b).alias("tile"), side.cast("int").alias("side"))
+    minors = F.concat(
+        F.transform(_upto(q), lambda j: entry(F.least(own, j), F.greatest(own, j), F.when(own == j, 2).otherwise((own > j).cast("int")))),
+        F.transform(_upto(r), lambda j: F.struct(F.concat_ws("x", own, j).alias("tile"), F.lit(0).alias("side"))),
+    )
+    majors = F.transform(_upto(q), lambda i: F.struct(F.concat_ws("x", i, own).alias("tile"), F.lit(1).alias("side")))
+    one = F.array(F.struct(F.lit("all").alias("tile"), F.lit(2).alias("side")))
+    tiles = F.when(F.col("m") <= crowd, one).when(outside, minors).otherwise(majors)
+    return rows.select("meeting", F.explode(tiles).alias("t"), "ref", "grp").select("meeting", "t.tile", "ref", "grp", "t.side")
+
+
 def maybe(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key).
 
     ``keys`` become a bitmap of 2**FILTER_BITS bits, broadcast in words of 64: its size never grows.
     """
+    own, at, mask = (free_name(df, f"__{x}") for x in ("key", "word", "mask"))
     word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
-    bit = keys.select(word(F.col("key")).alias(f"{name}_word"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
-    words = bit.groupBy(f"{name}_word").agg(F.bit_or("bit").alias(f"{name}_mask"))
-    marked = df.withColumn(f"{name}_key", key)
-    joined = marked.join(F.broadcast(words), word(F.col(f"{name}_key")) == F.col(f"{name}_word"), "left")
-    hit = F.expr(f"({name}_mask & shiftleft(1L, cast({name}_key & 63L as int))) <> 0L")
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(f"{name}_key", f"{name}_word", f"{name}_mask")
+    bit = keys.select(word(F.col("key")).alias(at), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
+    words = bit.groupBy(at).agg(F.bit_or("bit").alias(mask))
+    marked = df.withColumn(own, key)
+    joined = marked.join(F.broadcast(words), word(F.col(own)) == F.col(at), "left")
+    hit = F.expr(f"(`{mask}` & shiftleft(1L, cast(`{own}` & 63L as int))) <> 0L")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(own, at, mask)
 
 
-def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, text_key) per row of ``docs``.
+def _fair(total: int, tasks: int, bounds: tuple[int, int]) -> int:
+    return min(max(2 * total // tasks, bounds[0]), bounds[1])
 
-    component_id: the smallest id that links reach; n_links: documents linked with this one, copies
-    included; text_key: xxhash64 of the text, which with the id names the row.
-    """
+
+def _groups(texts: DataFrame, reps: DataFrame, ref: Column, rule: Rule, scratch: Scratch, parts: int) -> DataFrame:
+    """(node, label): groups of sets, named by ``ref``, that hold all links."""
+    spark = texts.sparkSession
+    keys = _dealt_keys(texts, parts)
+    postings = texts.select("text").mapInArrow(lambda b: _postings(b, rule, keys), "key long, sigs binary, who binary, refs binary")
+    met = scratch.table(postings.repartition(parts, "key").mapInArrow(_meet, "meeting long, ref long").distinct(), "met")
+    crowd = _fair(met.count(), partitions(spark), CROWD)
+    sketches = reps.select(ref.alias("ref"), "n", "bits")
+
+    def near(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sketches, "ref").select("meeting", "tile", "ref", "grp", "side", "n", "bits")
+        return rows.repartition("meeting", "tile").sortWithinPartitions("meeting", "tile").mapInArrow(lambda b: _near(b, rule), "a long, b long")
+
+    # copies of one text meet many times: an eighth of the meetings settles most of their groups
+    early = F.pmod(F.xxhash64("meeting"), F.lit(8)) == 0
+    crowded = scratch.table(met.filter(early).groupBy("meeting").agg(F.count("*").alias("m"), F.min("ref").alias("anchor")).filter(F.col("m") > crowd), "crowded")
+    first = scratch.table(components(scratch, near(_first_look(met.filter(early), crowded, crowd)), "first"), "first")
+    open_ = met.join(crowded.select("meeting", F.lit(True).alias("again")), "meeting", "left").filter(~early | F.col("again")).select("meeting", "ref")
+    known = scratch.table(open_.join(first.withColumnRenamed("node", "ref"), "ref", "left").select("meeting", "ref", F.coalesce("label", "ref").alias("grp")), "known")
+    scratch.free("met")
+    by_group = known.groupBy("meeting", "grp").agg(F.count("*").alias("c")).groupBy("meeting")
+    unsettled = by_group.agg(F.sum("c").alias("m"), F.count("*").alias("groups"), F.max(F.struct("c", "grp")).alias("top")).filter("groups > 1")
+    unsettled = scratch.table(unsettled.select("meeting", "m", F.col("top.grp").alias("top"), (F.col("m") - F.col("top.c")).alias("minor")), "unsettled")
+    later = near(_second_look(known, unsettled, crowd))
+    found = components(scratch, later.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near")
+    scratch.free("known")
+    return found
+
+
+def _joined(docs: DataFrame, rule: Rule, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, key, n, digest, component_id, n_links, label) per row of ``docs``; label: a digest that names the component."""
     spark = docs.sparkSession
     prepare(spark)
-    scratch = Scratch(spark, "ngram-join")
     edges = rule.edges()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType())])
     sets = scratch.table(texts.mapInArrow(lambda b, k=rule.k: _sets(b, k), schema), "sets")
-    reps = scratch.table(sets.filter("n > 0").groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("rep"), F.first("bits").alias("bits")), "classes")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("rep")
+    reps = scratch.table(sets.filter("n > 0").groupBy("digest", "n").agg(F.count("*").alias("copies"), smallest, F.first("bits").alias("bits")), "classes")
 
     total = reps.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), -(-total // 2 * 8 // TASK_BYTES))
-    keys = _dealt_keys(docs, parts)
-    postings = texts.select("text").mapInArrow(lambda b: _postings(b, rule, keys), "key long, sigs binary, who binary, refs binary")
     ref = F.conv(F.concat(*[F.substring(F.hex("digest"), 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")  # its first 8 bytes, little-endian
-    met = scratch.table(postings.repartition(parts, "key").mapInArrow(_meet, "meeting long, ref long").distinct(), "met")
-    sketches = reps.select(ref.alias("ref"), "n", "bits")
-
-    def near(meetings: DataFrame) -> DataFrame:
-        rows = meetings.join(sketches, "ref").select("meeting", "ref", "n", "bits").repartition("meeting").sortWithinPartitions("meeting")
-        return rows.mapInArrow(lambda b: _near(b, rule), "a long, b long")
-
-    # copies of one text meet many times: an eighth of the meetings settles most of their groups, and of
-    # the rest only meetings across groups are compared
-    early = F.pmod(F.xxhash64("meeting"), F.lit(8)) == 0
-    first = components(scratch, near(met.filter(early)), "first")
-    known = met.filter(~early).join(first.withColumnRenamed("node", "ref"), "ref", "left").withColumn("grp", F.coalesce("label", "ref"))
-    across = known.groupBy("meeting").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("meeting")
-    later = near(met.filter(~early).join(across, "meeting"))
-    groups = components(scratch, later.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near")
+    groups = _groups(texts, reps, ref, rule, scratch, parts)
 
     members = reps.withColumn("node", ref).join(groups.withColumnRenamed("label", "grp"), "node").select("grp", "n", "digest", "copies", "rep")
-    cut = scratch.table(_with_tiles(members, edges), "tiles")
+    cut = scratch.table(_with_tiles(members, edges, _fair(total, partitions(spark), BLOCK)), "tiles")
     wanted = cut.select(F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"), "tiles", "digest", "copies")
     likely = maybe(texts, F.col("key"), wanted.select(F.col("rkey").alias("key")), "likely").filter("likely")
     found = wanted.join(likely, wanted.rid.eqNullSafe(likely.id) & (wanted.rkey == likely.key)).select("tiles", "digest", "copies", "text")
     dealt = found.select(F.explode("tiles").alias("t"), "digest", "copies", "text").select("t.tile", "t.side", "digest", "copies", "text")
     checked = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _tiles(b, rule), "digest binary, leader binary, links long")
     checked = scratch.table(checked, "checked")
-    scratch.free("met")
 
     if cut.filter("cuts is not null").isEmpty():
         labels = checked.select("digest", F.col("leader").alias("label"))
     else:
         labels = components(scratch, checked.select(F.col("digest").alias("a"), F.col("leader").alias("b")), "links").select(F.col("node").alias("digest"), "label")
     links = checked.groupBy("digest").agg(F.sum("links").alias("links"))
-    classed = reps.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    lows = classed.groupBy("label").agg(F.min("rep.id").alias("component_id"))
-    final = scratch.table(classed.join(lows, "label").join(links, "digest", "left").select("digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "final")
-    return sets.join(final, "digest", "left").select(
+    classed = scratch.table(reps.select("digest", "copies", "rep.id").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "classed")
+    lows = scratch.table(classed.groupBy("label").agg(F.min("id").alias("component_id")), "lows")
+    final = classed.join(lows, "label").join(links, "digest", "left")
+    final = scratch.table(final.select("digest", "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "final")
+    return sets.select("id", "key", "n", "digest").join(final, "digest", "left")
+
+
+def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, text_key) per row of ``docs``.
+
+    component_id: the smallest id that links reach; n_links: documents linked with this one, copies
+    included; text_key: xxhash64 of the text, which with the id names the row.
+    """
+    return _joined(docs, rule, id_col, text_col, Scratch(docs.sparkSession, "ngram-join")).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
@@ -432,16 +503,17 @@ def join(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that whose id the component has.
+    """``docs`` with one document of each component: that with the smallest id, null ids last, then by text hash.
 
     Rows alike in id and text stay together; exact dedup is what parts them."""
-    spark = docs.sparkSession
-    found = join(docs, rule, id_col, text_col)
-    first = found.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("text_key").alias("first"))
-    gone = found.filter("n_shingles > 0 and n_links > 0").join(first, "component_id", "left").filter("not (doc_id <=> component_id) or text_key <> first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    gone = Scratch(spark, "keep-one").table(gone.distinct(), "gone")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.table(_joined(docs, rule, id_col, text_col, scratch).filter("n > 0 and n_links > 0").select("id", "key", "label"), "linked")
+    stays = scratch.table(found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("stays")), "stays")
+    gone = found.join(stays, "label").filter("not (id <=> stays.id and key = stays.key)").select("id", "key").distinct()
+    own, text = (free_name(docs, f"__{x}") for x in ("own", "text"))
+    gone = scratch.table(gone.select(F.col("id").alias(own), F.col("key").alias(text)), "gone")
     key = F.xxhash64(F.col(text_col))
-    flagged = maybe(docs, key, gone.select(F.col("__key").alias("key")), flag := free_name(docs, "__gone"))
+    flagged = maybe(docs, key, gone.select(F.col(text).alias("key")), flag := free_name(docs, "__gone"))
     unsure = flagged.filter(flag).drop(flag)
-    kept = unsure.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    kept = unsure.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (key == F.col(text)), "left_anti")
     return flagged.filter(~F.col(flag)).drop(flag).unionByName(kept)

@@ -53,32 +53,45 @@ def near_texts(seed, n=350):
 
 
 @pytest.mark.parametrize("rule", [Rule(2, 85, 100), Rule(3, 60, 100), Rule(4, 85, 100)])
-@pytest.mark.parametrize("block", [2_000_000, 60])
-def test_join_equals_all_pairs(spark, monkeypatch, rule, block):
+@pytest.mark.parametrize("block,crowd", [((2_000_000, 2_000_000), (4096, 4096)), ((60, 60), (3, 3))])
+def test_join_equals_all_pairs(spark, monkeypatch, rule, block, crowd):
+    """Whole meetings and tiles, and meetings and tiles cut into small blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
     rows = near_texts(rule.num + rule.k)
     got = ngram_join.join(spark.createDataFrame(rows, SCHEMA).repartition(3), rule).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, rule)
 
 
-def test_crowded_meetings(spark, monkeypatch):
-    """Groups too large to compare where they meet are still settled exactly."""
-    monkeypatch.setattr(ngram_join, "MEETING", 3)
-    rows, rule = near_texts(9, 150), Rule(2, 85, 100)
-    edges = []
-
-    class Batch(list):
-        pass
+def test_very_short_texts_that_share_few_shingles(spark):
+    """Sets of 1 to 12 shingles, where parts are often empty and first shingles are signed."""
+    rnd, rule = random.Random(4), Rule(1, 60, 100)
+    rows = [(i, " ".join(rnd.sample("abcdefghijklmnopqrst", rnd.randrange(1, 13)))) for i in range(400)]
+    got = ngram_join.join(spark.createDataFrame(rows, SCHEMA).repartition(3), rule).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, rule)
 
-    import pyarrow as pa
 
-    maps = [ngram_join.bitmap(np.arange(i, i + 5, dtype=np.uint64), 256).tobytes() for i in range(10)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 10), pa.array(list(range(10))), pa.array([5] * 10), pa.array(maps, pa.binary())], names=["meeting", "ref", "n", "bits"])
-    for out in ngram_join._near(iter([batch]), rule):
-        edges += list(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
-    assert {a for a, _ in edges} == set(range(1, 10)) and {b for _, b in edges} == {0}
-    got = ngram_join.join(spark.createDataFrame(rows, SCHEMA), rule).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, rule)
+@pytest.mark.parametrize("crowd", [1, 2, 3, 7, 100])
+def test_crowded_meetings_compare_all_pairs_across_groups(spark, crowd):
+    """Every pair of different groups meets in a tile of the second look, with sides that let it be compared."""
+    rnd = random.Random(crowd)
+    rows = [(1, i, 0 if i < 12 else 100 + rnd.randrange(6)) for i in range(20)] + [(2, i, i) for i in range(9)] + [(3, i, i % 2) for i in range(4)]
+    known = spark.createDataFrame(rows, "meeting long, ref long, grp long")
+    open_ = []
+    for m in (1, 2, 3):
+        groups = [g for x, _, g in rows if x == m]
+        c, top = max((groups.count(g), g) for g in groups)
+        open_.append((m, len(groups), top, len(groups) - c))
+    tiles = {}
+    for r in ngram_join._second_look(known, spark.createDataFrame(open_, "meeting long, m long, top long, minor long"), crowd).collect():
+        tiles.setdefault((r.meeting, r.tile), []).append(r)
+    met = {(m, frozenset((a.ref, b.ref))) for (m, _), t in tiles.items() for a in t for b in t if a.ref < b.ref and (a.side == 2 or a.side != b.side)}
+    for m in (1, 2, 3):
+        own = [(i, g) for x, i, g in rows if x == m]
+        assert {(m, frozenset((i, j))) for i, g in own for j, h in own if i < j and g != h} <= met
+    first = ngram_join._first_look(known.select("meeting", "ref"), spark.createDataFrame([(1, 20, 0)], "meeting long, m long, anchor long"), crowd).collect()
+    assert {(r.meeting, r.ref) for r in first} == {(m, i) for m, i, _ in rows}
+    assert {r.tile for r in first if r.meeting == 1 and r.ref == 0} == set(range(-(-20 // crowd)))
 
 
 def test_bitmaps_bound_what_differs():
@@ -110,6 +123,25 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert ngram_join.join(no_docs, Rule()).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_null_ids_lose_to_others(spark):
+    a, b, c = ("one two three four five six seven", "red green blue cyan pink grey gold", "north south east west up down left")
+    rows = [(None, a), (5, a), (None, b), (None, b + " !"), (9, c), (None, c)]
+    got = ngram_join.join(spark.createDataFrame(rows, SCHEMA), Rule(5, 60, 100)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, Rule(5, 60, 100))
+    assert {r.component_id for r in got if r.n_shingles == 3 and r.doc_id == 5} == {5}
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA), Rule(5, 60, 100)).collect()
+    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [5, 9] and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_helper_names_do_not_clash(spark):
+    names = ["__id", "__key", "__gone", "__gone_key", "__own", "__text", "__word", "__mask", "likely", "label", "stays"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f", "a b c d e f", "x y z", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted(rows[i] for i in (0, 2, 3))
+    assert ngram_join.join(df).count() == 4
+
+
 def test_components(spark):
     rnd = random.Random(2)
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)]
