@@ -2,8 +2,9 @@
 
 Ids hash to cells of a ring, on which every shard owns many virtual nodes; a row's home is the
 next node clockwise. No shard takes more than its bound: rows over it continue clockwise to the
-next shard with room. Only the ring's cell counts (at most cells x salts rows, whatever the input)
-reach the driver, which plans runs of ranks; every row then finds its run by a broadcast join.
+next shard with room. A cell with more rows than a fair share of all is cut into parts. Only counts of
+cells and parts (at most cells + PARTS rows, whatever the input) reach the driver, which plans runs of
+ranks; every row then finds its run by a broadcast join.
 
 With ``slack`` 0 the bounds are the even shares, so counts differ by at most one. Rows at home
 within the bound never move, so the rows moved are as few as these bounds allow.
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
 
-#: Ring cells (a power of two), parts of each cell so that a hot id is spread, nodes per shard.
-CELL_BITS, SALTS, NODES = 12, 8, 64
+#: Ring cells (a power of two), nodes per shard.
+CELL_BITS, NODES = 12, 64
+#: Rows of a part of a cell: at least LEAST, and at most a PARTS-th of all rows, so that a hot id is spread.
+LEAST, PARTS = 1000, 1 << 14
 
 
 def plan_runs(nodes: list[tuple[int, int]], counts: dict[tuple[int, int], int], shards: int, slack: float) -> list[tuple[int, int, int, int, int, int]]:
@@ -83,14 +86,19 @@ def ring_shards(docs: DataFrame, shards: int = 24, slack: float = 0.0, nodes: in
             F.crc32(text).alias("text_crc32"),
             place.alias("place"),
             F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int").alias("cell"),
-            F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("salt"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "rows",
     )
-    spot = F.xxhash64(F.lit("node"), F.col("id"))
-    ring = spark.range(shards * nodes).select(F.shiftrightunsigned(spot, 64 - CELL_BITS).alias("cell"), spot.alias("spot"), (F.col("id") % shards).alias("shard"))
+    shard = F.floor(F.col("id") / nodes)  # a shard's nodes stay where they are when another is added
+    spot = F.xxhash64(F.lit("node"), shard, F.col("id") % nodes)
+    ring = spark.range(shards * nodes).select(F.shiftrightunsigned(spot, 64 - CELL_BITS).alias("cell"), spot.alias("spot"), shard.alias("shard"))
     ring_nodes = [(r.cell, r.shard) for r in ring.orderBy("cell", "spot").collect()]
+    by_cell = {r.cell: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    share = max(LEAST, -(-sum(by_cell.values()) // PARTS))
+    crowded = spark.createDataFrame([(c, -(-n // share)) for c, n in by_cell.items() if n > share], "cell int, parts int")
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = rows.join(F.broadcast(crowded), "cell", "left").withColumn("salt", salt).drop("parts")
     counts = {(r.cell, r.salt): r["n"] for r in rows.groupBy("cell", "salt").agg(F.count("*").alias("n")).collect()}
     runs = spark.createDataFrame(plan_runs(ring_nodes, counts, shards, slack), "cell int, salt int, first long, last long, shard int, slot0 long")
     homes = spark.createDataFrame([(c, next((s for at, s in ring_nodes if at >= c), ring_nodes[0][1])) for c in range(1 << CELL_BITS)], "cell int, home_shard int")

@@ -95,6 +95,25 @@ def test_bounded_loads_move_little(spark):
     assert sum(r["shard"] != r.home_shard for r in rows) == sum(max(0, n - 375) for n in home.values())
 
 
+def test_a_hot_id_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST", 20)
+    rows = [(i, "x") for i in range(200)] + [(7, f"again {i}") for i in range(400)]
+    got = sharding.ring_shards(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == 600 and max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r.slot for r in got if r["shard"] == s) == list(range(counts[s]))
+
+
+@pytest.mark.parametrize("slack,most", [(0.0, 0.1), (0.25, 0.06)])
+def test_one_more_shard_moves_few_rows(spark, slack, most):
+    """Of 24,000 rows, 24 to 25 shards: all would move 0.96; a new shard's own share is 0.04."""
+    df = spark.createDataFrame([(i, "x") for i in range(24_000)], SCHEMA)
+    one, two = ({r.doc_id: r["shard"] for r in sharding.ring_shards(df, n, slack=slack).collect()} for n in (24, 25))
+    moved = sum(one[i] != two[i] for i in one) / len(one)
+    assert moved < most
+
+
 def test_odd_rows_and_none(odd_docs, no_docs):
     got = sharding.ring_shards(odd_docs, 5).collect()
     assert len(got) == 13 and max(Counter(r["shard"] for r in got).values()) == 3
