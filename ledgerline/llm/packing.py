@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from .common import Scratch, prepare
 from .tokens import tokens
 
-#: Parts of the pieces of one length, so that a frequent length is spread; texts tokenized at once.
-SALTS, ROWS = 64, 128
+#: Pieces of one length that are ranked together: at least LEAST, and at most a PARTS-th of all, so that
+#: a frequent length is spread and at most PARTS + capacity counts reach the driver. Texts tokenized at once.
+LEAST, PARTS, ROWS = 1000, 1 << 16, 128
 
 
 class _Gaps:
@@ -136,45 +137,59 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, paths: t
 
 def cut(docs: DataFrame, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", paths: tuple = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids): the documents' tokens in pieces of at most ``capacity``."""
-    prepare(docs.sparkSession, ROWS)
+    prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), *T.StructType.fromDDL("piece int, start long, length long, ids binary").fields])
     return own.mapInArrow(lambda b: _pieces(b, capacity, end, paths), schema)
 
 
+def number(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with a number of each row, to be stored with it: later jobs may split their scans differently."""
+    return pieces.withColumn("row", F.monotonically_increasing_id())
+
+
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (stored; with length) plus sequence_id and offset. Only lengths and ranks are planned."""
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("__row", F.monotonically_increasing_id()).withColumn("__salt", part)
-    counted = {(r.length, r["__salt"]): r["n"] for r in salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()}
+    """``pieces`` (stored; with length and row, unique numbers) plus sequence_id and offset, without row.
+
+    Full pieces are sequences of their own, numbered after all others. The rest are ranked among those of
+    their length, in parts of a fair share of all rows, so only lengths, parts and ranks are planned.
+    """
+    by_length = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect() if r.length < capacity}
+    share = max(LEAST, -(-sum(by_length.values()) // PARTS))
+    crowded = pieces.sparkSession.createDataFrame([(k, -(-n // share)) for k, n in by_length.items() if n > share], "length long, parts int")  # at most capacity rows
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("long")
+    short = pieces.filter(F.col("length") < capacity).join(F.broadcast(crowded), "length", "left").withColumn("part", part).drop("parts")
+    counted = {(r.length, r.part): r["n"] for r in short.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = defaultdict(int)
     for length, salt in sorted(counted):
         before[length, salt] = counts[length]
         counts[length] += counted[length, salt]
-    found = runs(plan(counts, capacity))
-    fields = [f for f in salted.schema.fields if not f.name.startswith("__")]
+    bins = plan(counts, capacity)
+    found, used = runs(bins), sum(n for n, _ in bins)
+    fields = [f for f in pieces.schema.fields if f.name != "row"]
     schema = T.StructType([*fields, *T.StructType.fromDDL("sequence_id long, offset long").fields])
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, salt, rank = (b.column(c).to_numpy() for c in ("length", "__salt", "__rank"))
+            length, salt, rank = (b.column(c).to_numpy() for c in ("length", "part", "rank"))
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             rank = rank + np.array([before[k] for k in zip(length.tolist(), salt.tolist(), strict=True)], np.int64)
             for k in np.unique(length):
                 own = np.flatnonzero(length == k)
-                first, bins, at = found[int(k)]
+                first, first_bin, at = found[int(k)]
                 run = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own] = bins[run] + rank[own] - first[run]
+                sequence[own] = first_bin[run] + rank[own] - first[run]
                 offset[own] = at[run]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    ranked = salted.withColumn("__rank", (F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1).cast("long"))
-    prepare(pieces.sparkSession, 10_000)
-    return ranked.drop("__row").mapInArrow(seat, schema)
+    ranked = short.withColumn("rank", (F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1).cast("long"))
+    full = pieces.filter(F.col("length") == capacity).select(*[f.name for f in fields], (F.lit(used) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.drop("row").mapInArrow(seat, schema).unionByName(full)
 
 
 def pack(docs: DataFrame, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", paths: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """The pieces with their ids, stored; and (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    stored = Scratch(docs.sparkSession, "packing").table(cut(docs, capacity, end, id_col, text_col, paths), "pieces")
-    return stored, place(stored.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)
+    stored = Scratch(docs.sparkSession, "packing").table(number(cut(docs, capacity, end, id_col, text_col, paths)), "pieces", ROWS)
+    placed = place(stored.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row"), capacity)
+    return stored.drop("row"), placed

@@ -9,7 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from ledgerline.llm import packing
+from ledgerline.llm.common import Scratch
 from ledgerline.llm.tokens import tokens
 
 REF = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -83,6 +86,31 @@ def test_pack(spark):
         assert r.length == 64 or r.piece == 0
 
 
+def test_seats_do_not_depend_on_how_stored_pieces_are_split(spark, monkeypatch):
+    """Executors that come or go between the jobs change how a scan is split."""
+    rnd = random.Random(8)
+    rows = [(i, "one two three") if i % 3 else (i, " ".join(rnd.choice("the cat sat on a mat".split()) for _ in range(rnd.randrange(200)))) for i in range(600)]
+    scratch = Scratch(spark, "t")
+    stored = scratch.table(packing.number(packing.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(24), 64)), "pieces")
+    monkeypatch.setattr(packing, "LEAST", 10)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+        slim = stored.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row")
+        placed = packing.place(slim, 64)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "12")
+        check(stored, placed, rows, 64)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 2, 3, 4)], "doc_id long, text string, row int, part int, parts int")
+    assert packing.pack(df)[1].columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_odd_rows(odd_docs, no_docs):
     got, *_ = check(*packing.pack(odd_docs), list({(r.doc_id, r.text) for r in odd_docs.collect()}), 2048)
     assert sum(r.length for r in got if r.doc_id in (4, 5)) == 2
