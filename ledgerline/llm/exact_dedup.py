@@ -2,7 +2,9 @@
 
 A Misra-Gries sketch over the digests finds frequent ones; their exact counts and winners are
 verified and, being at most ``top`` rows, broadcast, so rows of large groups never meet in one
-task. The remaining digests, each held by few rows, are grouped by an ordinary shuffle.
+task. The remaining digests are grouped by an ordinary shuffle: counted and their winners found
+before they are shuffled, then joined back from a stored table, whose frequent keys adaptive
+execution deals over tasks.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; of rows that
 agree in text and id exactly one stays; a null id loses against any other; an empty table gives an
@@ -45,10 +47,9 @@ def flag_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = scratch.table(_winners(digests, top, tracked), "winners")
     own = digests.withColumnRenamed("best", "own")
     frequent = own.join(F.broadcast(heavy), "sha")
-    group = Window.partitionBy("sha")
-    rest = own.join(F.broadcast(heavy.select("sha")), "sha", "left_anti").select(
-        "sha", "own", F.max("own").over(group).alias("best"), F.count("*").over(group).alias("copies")
-    )
+    rest = own.join(F.broadcast(heavy.select("sha")), "sha", "left_anti")
+    groups = scratch.table(rest.groupBy("sha").agg(F.max("own").alias("best"), F.count("*").alias("copies")).filter("copies > 1"), "groups")
+    rest = rest.join(groups, "sha", "left").select("sha", "own", F.coalesce("best", "own").alias("best"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
     return frequent.select("sha", "own", "best", "copies").unionByName(rest).select(
         F.col("own.id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
