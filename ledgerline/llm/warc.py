@@ -222,13 +222,27 @@ def normalise(written: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def read_records(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records indexed."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records indexed.
+
+    A revisit holds no payload: its size and digest are those of the response that it refers to, as read;
+    the digest and length that its own header names must agree with them.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType.fromDDL("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     arrow, folder = to_arrow_schema(schema), scratch.path("members")
     near = index.repartition("archive").sortWithinPartitions("archive", "offset")
-    return near.mapInArrow(lambda b: _read(b, folder, arrow), schema)
+    read = scratch.table(near.mapInArrow(lambda b: _read(b, folder, arrow), schema), "read")
+    # only responses that are referred to are needed; both sides are stored, so that a hot one is split
+    said = read.filter("record_type = 'revisit'")
+    names = said.select("refers_to", "payload_digest").distinct()
+    own = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("held")).distinct()
+    held = scratch.table(own.join(names, own.refers_to.eqNullSafe(names.refers_to) & (own.payload_digest == names.payload_digest), "left_semi"), "held")
+    met = said.join(held, said.refers_to.eqNullSafe(held.refers_to) & (said.payload_digest == held.payload_digest), "left")
+    lost = F.concat(F.lit("no response of this payload: "), F.coalesce(said.page_id.cast("string"), F.lit("null")))
+    resolved = F.when(held.held == said.payload_bytes, held.held).otherwise(F.raise_error(lost).cast("long"))
+    met = met.select(said.page_id, resolved.alias("payload_bytes"), held.payload_digest, said.record_type, said.refers_to)
+    return read.filter("record_type <> 'revisit'").unionByName(met)
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
