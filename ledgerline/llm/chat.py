@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, text_or_empty
+from .common import Scratch, prepare, text_or_empty
 from .tokens import tokens
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -196,7 +196,8 @@ def summarise(windows: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("conv_id", windows.schema["conv_id"].dataType), *T.StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").fields])
     arrow = to_arrow_schema(schema)
-    return windows.select("conv_id", "window", "formatted", "n_repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(lambda b: _digests(b, arrow), schema)
+    read = windows.select("conv_id", "window", "formatted", "n_repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(lambda b: _digests(b, arrow), schema)
+    return Scratch(windows.sparkSession, "chat").table(read, "summary")
 
 
 def with_probe(chats: DataFrame) -> DataFrame:
