@@ -14,7 +14,7 @@ from ledgerline.llm.common import Scratch, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, no text) go."""
+    """Documents without a language go: no letter, no text, or none that the network is sure of (score under 0.4)."""
     return langid.keep_known(docs)
 
 
