@@ -14,6 +14,8 @@ from ..ship import ship as prepare  # noqa: F401
 
 #: Rows handed to a Python worker at once; texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 256
+#: Bits of the bitmap that tells which texts a join may need.
+FILTER_BITS = 24
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -68,6 +70,31 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def maybe(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key).
+
+    ``keys`` become a bitmap of 2**FILTER_BITS bits, broadcast in words of 64: its size never grows.
+    """
+    own, at, mask = (free_name(df, f"__{x}") for x in ("key", "word", "mask"))
+    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
+    bit = keys.select(word(F.col("key")).alias(at), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
+    words = bit.groupBy(at).agg(F.bit_or("bit").alias(mask))
+    marked = df.withColumn(own, key)
+    joined = marked.join(F.broadcast(words), word(F.col(own)) == F.col(at), "left")
+    hit = F.expr(f"(`{mask}` & shiftleft(1L, cast(`{own}` & 63L as int))) <> 0L")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(own, at, mask)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and xxhash64 of the text are in ``gone`` (id, key), a stored table."""
+    own, text, flag = (free_name(docs, f"__{x}") for x in ("own", "text", "gone"))
+    key = F.xxhash64(F.col(text_col))
+    flagged = maybe(docs, key, gone.select("key"), flag)
+    unsure, gone = flagged.filter(flag).drop(flag), gone.select(F.col("id").alias(own), F.col("key").alias(text))
+    kept = unsure.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (key == F.col(text)), "left_anti")
+    return flagged.filter(~F.col(flag)).drop(flag).unionByName(kept)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

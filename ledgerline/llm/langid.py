@@ -3,11 +3,13 @@
 A gated recurrent unit (update and reset gate, piecewise-linear sigmoids, softsign candidate) reads
 the lower-cased UTF-8 bytes of a text in both directions, labels every byte with a distribution over
 the languages, and a document's probabilities are the mean over all its bytes. The network is trained
-in numpy by backpropagation through time on windows of a bounded sample of labelled rows. Texts are
-read whole, in spans of ``SPAN`` bytes that begin with an empty state; workers hold ``WIDTH`` spans.
+in numpy by backpropagation through time on windows drawn from all over the texts of a bounded sample
+of labelled rows of every language. Texts are read whole, in spans of ``SPAN`` bytes that begin with
+an empty state; workers hold ``WIDTH`` spans.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; without labelled
-rows everything is ``und``; with one language every text with a letter has it; a null id counts as
+rows everything is ``und`` (and ``keep_known`` keeps every text with a letter); more than ``MOST``
+languages are refused with an error; with one language every text with a letter has it; a null id counts as
 the empty string where folds are cut; ties go to the language that sorts first; repeated rows get
 equal results; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,14 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, text_or_empty
+from .common import Scratch, free_name, prepare, text_or_empty, without
 
-#: Rows of a language and characters of a row that are learned from; languages, the most frequent.
-PER_LANGUAGE, CHARS, LANGUAGES = 300, 400, 64
+#: The bounded sample of labelled rows: rows of a language, slices drawn from all over a text and their
+#: characters (shorter texts are taken whole), and the most languages (more are an error).
+PER_LANGUAGE, SLICES, CHARS, MOST = 300, 8, 64, 8192
 #: Size of the state; bytes and windows of a training step; steps; spans of a text and at once.
 STATE, WINDOW, BATCH, STEPS = 8, 48, 384, 220
 SPAN, WIDTH = 128, 2048
-UNKNOWN = "und"
+UNKNOWN, LETTER = "und", r"\p{L}"
+#: The score under which keep_known gives a text up: the languages are as good as mixed up to the network.
+LEAST = 0.4
 FOLDS = 5
 
 
@@ -189,21 +194,25 @@ def fold_key(id_col: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Net | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Net | None:
     """Trains on rows with a language and outside the held-out fold; a bounded sample of each language.
 
-    Rows are picked by a hash of their id and cut to their window before they are ranked.
+    Rows are picked by a hash of their id and cut to their slices before they are ranked.
     """
     own = docs.filter((fold_key(id_col) % FOLDS != 0) & F.col(lang_col).isNotNull())
     lang, picked = F.col(lang_col).cast("string"), F.xxhash64(F.lit("lang"), F.col(id_col))
-    common = {r.lang: r["count"] for r in own.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not common:
+    counts = own.groupBy(lang.alias("lang")).count().limit(MOST + 1).collect()
+    if not counts:
         return None
+    if len(counts) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     # a share of each language's rows that holds a few times the sample, so that ranking it stays small
-    share = F.create_map(*[F.lit(x) for k, n in common.items() for x in (k, min(1.0, 4 * per_language / n))])
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col(id_col)), F.greatest(F.lit(1), F.length(text_col) - CHARS)).cast("int") + 1
-    rows = own.filter(F.shiftrightunsigned(picked, 11) / F.lit(float(1 << 53)) < F.try_element_at(share, lang))
-    rows = rows.select(lang.alias("lang"), picked.alias("h"), F.col(text_col).substr(start, F.lit(CHARS)).alias("t")).filter("length(t) > 0")
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * per_language / r["count"])) for r in counts], "lang string, share double")
+    start = lambda i: F.pmod(F.xxhash64(F.lit("start"), F.lit(i), F.col(id_col)), F.length(text_col) - CHARS).cast("int") + 1
+    slices = F.concat_ws(" ", *[F.col(text_col).substr(start(i), F.lit(CHARS)) for i in range(SLICES)])
+    text = F.when(F.length(text_col) <= SLICES * CHARS, F.col(text_col)).otherwise(slices)
+    rows = own.select(lang.alias("lang"), picked.alias("h"), text.alias("t")).join(F.broadcast(shares), "lang")  # at most MOST rows
+    rows = rows.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share")) & (F.length("t") > 0)).drop("share")
     first = Window.partitionBy("lang").orderBy("h", "t")
     sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
     return train(sorted((r.lang, r.t) for r in sample.select("lang", "t").collect()))
@@ -214,7 +223,7 @@ def label(docs: DataFrame, net: Net | None, text_col: str = "text", names: tuple
     prepare(docs.sparkSession)
     letter = free_name(docs, "__letter")
     rest = [c for c in docs.columns if c != text_col]
-    own = docs.select(*[docs[c] for c in rest], docs[text_col], text_or_empty(text_col).rlike(r"\p{L}").alias(letter))
+    own = docs.select(*[docs[c] for c in rest], docs[text_col], text_or_empty(text_col).rlike(LETTER).alias(letter))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +243,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) per row of ``docs``."""
     net = learn(docs, id_col, text_col, lang_col)
     own = docs.select(F.col(id_col).alias("doc_id"), (fold_key(id_col) % FOLDS == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return label(own, net)
+    return Scratch(docs.sparkSession, "language-id").table(label(own, net), "labels")
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or has a score under ``least``."""
     net = learn(docs, id_col, text_col, lang_col)
-    text, lang, score = (free_name(docs, f"__{x}") for x in ("copy", "lang", "score"))
-    seen = label(docs.withColumn(text, F.col(text_col)), net, text, (lang, score))
-    return seen.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+    if net is None:
+        return docs.filter(text_or_empty(text_col).rlike(LETTER))
+    seen = label(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")), net)
+    gone = seen.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("id", "key").distinct()
+    return without(docs, Scratch(docs.sparkSession, "language-id").table(gone, "gone"), id_col, text_col)

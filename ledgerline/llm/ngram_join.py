@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, partitions, prepare
+from .common import Scratch, maybe, partitions, prepare, without
 from .components import components
 from .shingles import U, digest, mix, shingle_set
 
@@ -47,8 +47,6 @@ FLUSH, TASK_BYTES, BITS, SPARE, SEEN = 1_000_000, 24 << 20, 256, 2, 300_000
 #: Most shingles of a block of a tile, and most sets of a block of a meeting: a task's fair share of
 #: all, within these bounds. They decide how work is dealt, not what is compared.
 BLOCK, CROWD = (4_000, 2_000_000), (64, 4096)
-#: Bits of the bitmap that tells which texts a join may need.
-FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -401,21 +399,6 @@ def _second_look(known: DataFrame, unsettled: DataFrame, crowd: int) -> DataFram
     return rows.select("meeting", F.explode(tiles).alias("t"), "ref", "grp").select("meeting", "t.tile", "ref", "grp", "t.side")
 
 
-def maybe(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
-    """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key).
-
-    ``keys`` become a bitmap of 2**FILTER_BITS bits, broadcast in words of 64: its size never grows.
-    """
-    own, at, mask = (free_name(df, f"__{x}") for x in ("key", "word", "mask"))
-    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
-    bit = keys.select(word(F.col("key")).alias(at), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
-    words = bit.groupBy(at).agg(F.bit_or("bit").alias(mask))
-    marked = df.withColumn(own, key)
-    joined = marked.join(F.broadcast(words), word(F.col(own)) == F.col(at), "left")
-    hit = F.expr(f"(`{mask}` & shiftleft(1L, cast(`{own}` & 63L as int))) <> 0L")
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(own, at, mask)
-
-
 def _fair(total: int, tasks: int, bounds: tuple[int, int]) -> int:
     return min(max(2 * total // tasks, bounds[0]), bounds[1])
 
@@ -510,10 +493,4 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_
     found = scratch.table(_joined(docs, rule, id_col, text_col, scratch).filter("n > 0 and n_links > 0").select("id", "key", "label"), "linked")
     stays = scratch.table(found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "key")).alias("stays")), "stays")
     gone = found.join(stays, "label").filter("not (id <=> stays.id and key = stays.key)").select("id", "key").distinct()
-    own, text = (free_name(docs, f"__{x}") for x in ("own", "text"))
-    gone = scratch.table(gone.select(F.col("id").alias(own), F.col("key").alias(text)), "gone")
-    key = F.xxhash64(F.col(text_col))
-    flagged = maybe(docs, key, gone.select(F.col(text).alias("key")), flag := free_name(docs, "__gone"))
-    unsure = flagged.filter(flag).drop(flag)
-    kept = unsure.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (key == F.col(text)), "left_anti")
-    return flagged.filter(~F.col(flag)).drop(flag).unionByName(kept)
+    return without(docs, scratch.table(gone, "gone"), id_col, text_col)
