@@ -2,17 +2,19 @@
 
 1. A softmax classifier over hashed words, fitted on a bounded sample of labelled rows, gives every
    document a posterior over the domains (the label classes).
+   A document's tokens are its ids under the byte-level BPE that packing counts in.
 2. Nonnegative document rates w are fitted by distributed least squares: the expected tokens of each
    domain, sum of w * tokens * posterior, are to match the targets with rates as near to 1 as can be.
    Such rates are max(0, 1 + a . m) for one multiplier m a domain, which Newton steps find; a step is
    one pass over (tokens, posterior) that returns a value, a gradient and a Hessian of the size of the
    domains for each of a few step lengths; nothing else reaches the driver. The steps end when each
    domain is within CLOSE of its goal or the residual stalls, as where targets cannot be met;
-   ``Fit.errors`` has what is missed, and a miss is warned of.
+   ``Fit.errors`` has what is missed, and a miss is warned of; steps have no cap.
 3. ``apply_rates`` repeats or drops documents: a rate r gives floor(r) copies and one more with
    probability r - floor(r), decided by a hash of the id and text.
 
-Defined results: a null or wordless text has no tokens, the prior as posterior and rate 1; repeated
+Defined results: a null or empty text has no tokens, the prior as posterior and rate 1; a wordless
+text has the prior; repeated
 rows get equal rates; without labelled rows there is one domain and every rate is the same; an empty
 table gives an empty result; a null id is hashed as such; columns that clash with the label table's
 or with the results' are not touched.
@@ -31,12 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, prepare
+from .common import Scratch, batches as batches_of, free_name, prepare
+from .tokens import tokens as encoder
 
-#: Labelled rows that the classifier may learn from; hashed word features; gradient steps.
+#: Labelled rows that the classifier may learn from (where ids repeat, the first by a hash); hashed
+#: word features; gradient steps.
 SAMPLE, FEATURES, STEPS = 4000, 1 << 13, 200
-#: Passes of the rate fit, and the relative error at which it ends.
-PASSES, CLOSE = 40, 1e-4
+#: The relative error at which the rate fit ends.
+CLOSE = 1e-4
+#: Rows of (tokens, posterior) handed to a worker at once.
+SLIM_ROWS = 4096
 #: Step lengths that a pass tries, and the passes without a residual less by 1 % after which the fit has stalled.
 LENGTHS, STALL = (4.0, 1.0, 0.5, 0.25, 0.0625, 0.01), 8
 #: Domain of a label row, and the share of tokens that each domain is to have.
@@ -55,15 +61,15 @@ class _Words(dict):
 _words = _Words()
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashed words of a text: places, weights (log counts, unit length), number of words."""
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of a text: places, weights (log counts, unit length)."""
     words = text.lower().split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0), 0
+        return np.empty(0, np.int64), np.empty(0)
     at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     at, n = np.unique(at, return_counts=True)
     weight = np.log1p(n)
-    return at, weight / np.sqrt((weight**2).sum()), len(words)
+    return at, weight / np.sqrt((weight**2).sum())
 
 
 @dataclass
@@ -79,7 +85,7 @@ class Classifier:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Softmax regression on at most ``sample`` labelled rows, chosen by a hash of their ids."""
+    """Softmax regression on at most ``sample`` labelled rows, chosen by a hash of their ids, then of their words."""
     chosen = labels.select(F.col("doc_id").alias("__id"), F.expr(domain).alias("__domain")).filter("__domain is not null and __id is not null")
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__domain").limit(sample).dropDuplicates(["__id"])
     own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
@@ -87,18 +93,19 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sam
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], names=["domain", "at", "weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0].astype(np.uint16).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], names=["domain", "at", "weight"])
 
     joined = own.join(F.broadcast(chosen), F.col("__own") == F.col("__id")).select("__domain", "__text")  # at most `sample` rows are broadcast
-    rows = joined.mapInArrow(extract, "domain string, at binary, weight binary").orderBy(F.xxhash64("at", "domain")).limit(2 * sample).collect()
+    with batches_of(docs.sparkSession):
+        rows = joined.mapInArrow(extract, "domain string, at binary, weight binary").orderBy(F.xxhash64("at", "domain")).limit(sample).collect()
     domains = sorted({r.domain for r in rows}) or ["all"]
     weights, y = np.zeros((FEATURES, len(domains))), np.array([domains.index(r.domain) for r in rows], np.int64)
     counts = np.bincount(y, minlength=len(domains)) if len(rows) else np.ones(1)
     prior = np.log((counts + 1) / (counts + 1).sum())
     if len(domains) > 1:
-        at = np.concatenate([np.frombuffer(r["at"], np.int32) for r in rows])
+        at = np.concatenate([np.frombuffer(r["at"], np.uint16) for r in rows]).astype(np.int64)
         value = np.concatenate([np.frombuffer(r.weight, np.float32) for r in rows]).astype(float)
-        row = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows])
+        row = np.repeat(np.arange(len(rows)), [len(r["at"]) // 2 for r in rows])
         by = np.argsort(at, kind="stable")
         col, first = np.unique(at[by], return_index=True)
         target = np.eye(len(domains))[y]
@@ -114,18 +121,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sam
     return Classifier(domains, weights, prior)
 
 
-def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, tokens, posterior) per row; key: xxhash64 of the text; tokens: its words."""
+def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", paths: tuple = ()) -> DataFrame:
+    """(doc_id, key, tokens, posterior) per row; key: xxhash64 of the text; tokens: its ids under the BPE of ``paths``."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), *T.StructType.fromDDL("key long, tokens long, posterior array<double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
-            p = [model.posterior(at, w) for at, w, _ in found]
+            encode, texts = encoder(*paths), [t or "" for t in b.column(2).to_pylist()]
+            p = [model.posterior(*features(t.encode())) for t in texts]
             flat = pa.array(np.concatenate(p) if p else np.empty(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(model.domains), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for *_, n in found], pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(encode.ids(t)) for t in texts], pa.int64()), lists], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
@@ -151,7 +158,7 @@ def _matrix(b: pa.RecordBatch, scale: np.ndarray, mean: float) -> np.ndarray:
     return p * (tokens / mean)[:, None] * scale
 
 
-def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], passes: int = PASSES) -> Fit:
+def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) -> Fit:
     """Rates whose expected domain tokens come closest to shares ``targets`` of all tokens.
 
     Domains without a target keep their tokens. Where targets cannot be met, the iterate of the least
@@ -180,15 +187,16 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], pa
     def at(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(value to be least, multipliers, sums, Hessian) for each of ``tries``."""
         out = np.zeros(len(tries) * (1 + d + d * d))
-        for r in soft.select("tokens", "posterior").mapInArrow(lambda b: measure(b, tries), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r.i] = r.v
+        with batches_of(soft.sparkSession, SLIM_ROWS):
+            for r in soft.select("tokens", "posterior").mapInArrow(lambda b: measure(b, tries), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+                out[r.i] = r.v
         return [(x[0] - m @ want, m, x[1 : 1 + d], x[1 + d :].reshape(d, d)) for m, x in zip(tries, out.reshape(len(tries), -1), strict=True)]
 
     value, now, got, hessian = at([np.zeros(d)])[0]
     ridge = 1e-9 * np.trace(hessian) / d * np.eye(d)
     history: list[np.ndarray] = []
     errors, misses = [(got - want) / np.maximum(want, 1e-9)], [np.linalg.norm(got - want)]
-    for _ in range(passes):
+    while True:
         stalled = len(misses) > STALL and min(misses[-STALL:]) > 0.99 * min(misses[:-STALL])
         if np.abs(errors[-1]).max() < CLOSE or stalled:
             break
@@ -221,13 +229,12 @@ def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
     return soft.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, list[str], Fit]:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> tuple[DataFrame, list[str], Fit]:
     """(doc_id, key, tokens, posterior, rate) per row of ``docs``; the domains; the fit."""
     spark = docs.sparkSession
     prepare(spark)
     model = fit_classifier(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
-    soft = Scratch(spark, "mixing").table(posteriors(docs, model, id_col, text_col), "posteriors")
-    prepare(spark, 4096)
+    soft = Scratch(spark, "mixing").table(posteriors(docs, model, id_col, text_col, paths), "posteriors")
     fit = fit_rates(soft, model.domains, TARGETS if targets is None else targets)
     return with_rates(soft, fit), model.domains, fit
 

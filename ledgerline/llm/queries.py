@@ -33,9 +33,9 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, domains, _ = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    mixed, domains, fit = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     best = F.expr("array_position(posterior, array_max(posterior))").cast("int")
-    return mixed.select("doc_id", "tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), "posterior", "rate")
+    return mixed.select("doc_id", "tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), "posterior", "rate", F.lit(float(abs(fit.errors).max())).alias("largest_target_error"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import knn, langid, licenses, mixing
+from ledgerline.llm.tokens import tokens
 
 WORDS = {"en": "the and with of that this house from".split(), "de": "der und mit von dass dieses haus nicht".split(), "fr": "le et avec de que cette maison élève".split()}
 
@@ -67,6 +69,54 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert langid.identify(no_docs).count() == 0
     unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+    assert sorted((r.doc_id for r in langid.keep_known(unlabelled).collect()), key=str) == sorted([1, 2, 3, 7, 8, 8, None, 11, 12], key=str)
+    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("id", "key", "__gone", "__letter", "lang_pred", "score", "h", "t", "share")})
+    assert langid.keep_known(clashing).columns == clashing.columns
+
+
+def test_a_text_that_mixes_languages_goes(spark):
+    docs = corpus(spark)
+    mixed = spark.createDataFrame([(1000, " ".join(" ".join(w * 9)[:300] for w in WORDS.values()), None)], docs.schema)
+    seen = {r.doc_id: r for r in langid.identify(docs.unionByName(mixed)).collect()}
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(mixed), least=0.6).collect()}
+    assert seen[1000].score < 0.6 and 1000 not in kept and len(kept) > 295
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 9)}{chr(97 + i // 9 % 9)} " * 20, f"l{i % 70}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.learn(docs).languages) == 70
+    monkeypatch.setattr(langid, "MOST", 69)
+    with pytest.raises(ValueError, match="69 languages"):
+        langid.learn(docs)
+
+
+def plain_probabilities(net, text):
+    """The network byte by byte, each direction on its own, and the mean over all bytes."""
+    total = np.zeros(len(net.languages))
+    for a in range(0, len(text), langid.SPAN):
+        span, states = text[a : a + langid.SPAN], []
+        for d, read in enumerate((span, span[::-1])):
+            h, seen = np.zeros(net.h.shape[2]), []
+            for byte in read:
+                x, u = net.x[d][byte].astype(float), net.h[d].astype(float) @ h
+                s = len(h)
+                z, r = (np.clip(0.2 * (x[i * s : i * s + s] + u[i * s : i * s + s]) + 0.5, 0, 1) for i in (0, 1))
+                c = x[2 * s :] + r * u[2 * s :]
+                h = h + z * (c / (1 + abs(c)) - h)
+                seen.append(h)
+            states.append(seen if d == 0 else seen[::-1])
+        for forward, backward in zip(*states, strict=True):
+            y = np.exp(net.v[0] @ forward + net.v[1] @ backward + net.b)
+            total += y / y.sum()
+    return total / len(text)
+
+
+def test_probabilities_equal_a_plain_loop():
+    net = langid.train([("a", "ab ac ad" * 20), ("b", "xy xz yz" * 20), ("c", "ax by cz" * 20)], steps=30)
+    texts = [b"a", b"ab xy ad", b"xy xz " * 50, bytes(range(1, 200)) * 2, b"x" * 128, b"y" * 129]
+    for got, text in zip(langid.probabilities(net, texts), texts, strict=True):
+        assert np.allclose(got, plain_probabilities(net, text), atol=2e-4)
 
 
 def labelled(spark, n=240, seed=2):
@@ -108,7 +158,11 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     mixed, domains, _ = mixing.mix(odd_docs, labels)
     rows = mixed.collect()
     assert len(rows) == 13 and all(r.rate >= 0 and len(r.posterior) == len(domains) for r in rows)
-    assert all(r.tokens == 0 and r.rate == 1 for r in rows if r.doc_id in (4, 5, 6))
+    assert all(r.tokens == 0 and r.rate == 1 for r in rows if r.doc_id in (4, 5))
+    ids = {(r.doc_id, r.tokens) for r in rows}
+    assert ids == {(r.doc_id, len(tokens().ids(r.text or ""))) for r in odd_docs.collect()}
+    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("__id", "__key", "__times", "__copy", "key", "rate", "tokens", "posterior")})
+    assert mixing.apply_rates(clashing, mixing.mix(clashing, labels)[0]).columns == clashing.columns
     assert mixing.apply_rates(odd_docs, mixed).columns == odd_docs.columns
     assert mixing.mix(no_docs, labels)[0].count() == 0
     one = mixing.mix(odd_docs, labels.limit(0))
