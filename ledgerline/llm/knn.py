@@ -1,15 +1,17 @@
 """Exact top-k search by inner product: a Voronoi join of queries and vectors.
 
-Pivots are a bounded sample of vectors. Queries belong to the cell of their nearest pivot; a cell's
-summary is its radius r, the largest distance of a query from its pivot p. For any vector x,
-``p.x - r|x| <= q.x <= p.x + r|x|`` holds for every query q of the cell (the triangle inequality in
-inner products). Counts of the lower bounds by bin give each cell a score that its queries' k-th
-results surely reach; a vector goes only to cells whose upper bound reaches that. There it is scored
-against blocks of queries with one matrix product, and a worker keeps k results a query.
-
-Cells with many queries are cut into blocks and every block's vectors are dealt over several tasks,
-so neither a crowded cell nor a repeated vector meets in one task. Pivots and bins affect only how
-much is skipped: results are exact.
+Pivots are centres of a bounded sample of vectors. Queries and vectors alike belong to the cell of
+their nearest pivot. For a vector x of a cell with pivot p at distance d from it, and any query q,
+``q.p - |q|d <= q.x <= q.p + |q|d`` (the Cauchy-Schwarz inequality). Each data cell's summary counts
+its vectors by distance; from the summaries' lower bounds, and from scores against the sample, every
+query gets a score that its k-th result surely reaches. For a group of queries and a data cell that
+gives the least distance from the pivot at which a vector can be among the results of any query of the
+group; only vectors from there on are sent to it. There they are scored against blocks of queries with
+one matrix product, and a worker keeps k results a query.
+
+Query cells are put together to groups that fill a block; larger ones are cut into blocks. Every
+block's vectors are dealt over several tasks, so neither a crowded cell nor a repeated vector meets in
+one task. Pivots, bins, sample and groups affect only how much is skipped: results are exact.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; a row is never its own result but repeated rows are each other's;
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, batches as batches_of, prepare
 
-#: Pivots; bins of the bounds; queries in a block; vectors in a row that is dealt out.
-PIVOTS, BINS, BLOCK, ROWS = 32, 512, 1024, 1024
+#: Pivots; rows of the sample that they are fitted on and that bounds are taken from; bins of a summary.
+PIVOTS, SAMPLE, BINS = 64, 2048, 64
+#: Queries in a block; vectors in a row that is dealt out; vectors scored at once; rows given to a worker.
+BLOCK, ROWS, CHUNK, SLIM_ROWS = 4096, 1024, 512, 4096
 SCORED = "query_row long, query_id long, row long, vec_id long, score long"
 EXACT = float(1 << 53)
 
@@ -54,6 +58,67 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def centres(sample: np.ndarray, pivots: int, rounds: int = 8) -> np.ndarray:
+    """At most ``pivots`` centres of the distinct rows of ``sample``: far apart at first, then Lloyd's steps."""
+    own = np.unique(sample, axis=0)
+    chosen, apart = [own[0]], ((own - own[0]) ** 2).sum(1)
+    while len(chosen) < min(pivots, len(own)):
+        chosen.append(own[apart.argmax()])
+        apart = np.minimum(apart, ((own - chosen[-1]) ** 2).sum(1))
+    p = np.array(chosen)
+    for _ in range(rounds):
+        cell, _ = _nearest(own, p)
+        p = np.array([own[cell == c].mean(0) if (cell == c).any() else p[c] for c in range(len(p))])
+    return p
+
+
+def reached(q: np.ndarray, p: np.ndarray, sample: np.ndarray, counts: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th result of each query reaches at least; -inf where nothing is known.
+
+    ``counts`` (cell, bin): vectors by distance from their pivot, up to ``upper`` (bin). One more than k
+    are counted, as the query itself may be among them.
+    """
+    least = np.full(len(q), -np.inf)
+    if len(sample) > k:
+        s = q @ sample.T
+        least = np.partition(s, len(sample) - k - 1, 1)[:, len(sample) - k - 1]
+    cell, bin_ = np.nonzero(counts)
+    low = (q @ p.T)[:, cell] - np.sqrt((q**2).sum(1))[:, None] * upper[bin_]
+    order = np.argsort(-low, 1)
+    enough = np.cumsum(counts[cell, bin_][order], 1) > k
+    some = enough.any(1)
+    at = enough.argmax(1)
+    rows = np.arange(len(q))
+    found = np.where(some, low[rows, order[rows, at]], -np.inf)
+    least = np.maximum(least, found)
+    return least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)) - 1e-6
+
+
+def needed(q: np.ndarray, p: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """(query, cell): the least distance from a cell's pivot at which a vector can score ``least``."""
+    norm = np.sqrt((q**2).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = (least[:, None] - q @ p.T) / norm[:, None]
+    need = np.where(norm[:, None] > 0, need, -np.inf)
+    return need - 1e-9 * np.abs(np.where(np.isfinite(need), need, 0)) - 1e-6
+
+
+def grouped(p: np.ndarray, held: dict[int, int], size: int) -> dict[int, int]:
+    """A group for each cell that holds queries: neighbours in a chain of nearest pivots, ``size`` queries at least."""
+    left, chain = sorted(held), []
+    while left:
+        at = left[0] if not chain else min(left, key=lambda c: (((p[c] - p[chain[-1]]) ** 2).sum(), c))
+        left.remove(at)
+        chain.append(at)
+    out, group, n = {}, 0, 0
+    for c in chain:
+        out[c] = group
+        n += held[c]
+        if n >= size:
+            group, n = group + 1, 0
+    return out
+
+
 def _nearest(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     apart = (m**2).sum(1)[:, None] - 2 * m @ pivots.T + (pivots**2).sum(1)
     cell = apart.argmin(1)
@@ -82,6 +147,10 @@ class _Best:
         self.q, self.score, self.nil, self.id, self.row = (np.empty(0, t) for t in (np.int64, np.int64, bool, np.int64, np.int64))
 
     def add(self, row: np.ndarray, vec_id: np.ndarray, nil: np.ndarray, m: np.ndarray) -> None:
+        for a in range(0, len(row), CHUNK):
+            self._add(*(x[a : a + CHUNK] for x in (row, vec_id, nil, m)))
+
+    def _add(self, row: np.ndarray, vec_id: np.ndarray, nil: np.ndarray, m: np.ndarray) -> None:
         s, least = scores(self.block["m"], m), self.least
         n = s.shape[1]
         if n > self.k + 1:  # one more than k: the query itself may be among them
@@ -129,97 +198,119 @@ def _solve(batches: Iterator[pa.RecordBatch], dims: int, kind: str, k: int) -> I
         yield from best.rows()
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k highest scores among all other rows."""
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's k highest scores among all other rows.
+
+    ``report`` gets "share": the pairs of a query and a vector that the bounds leave, of all.
+    """
     spark = vectors.sparkSession
-    prepare(spark, 4096)
+    prepare(spark)
     scratch = Scratch(spark, "knn")
     own = scratch.table(whole_vectors(vectors, scale, id_col, vec_col, queries), "vectors")
-    shape = own.agg(F.max(F.size("v")).alias("dims"), F.count_if("is_query").alias("queries"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    shape = own.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if("is_query").alias("queries"), F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.max(square).alias("square")).first()
     if not shape.queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims, tasks = int(shape.dims), max(1, spark.sparkContext.defaultParallelism)
-    kind = "<i2" if shape.most < 1 << 15 else "<i4" if shape.most < 1 << 31 else "<f8"  # the narrowest that holds every component
-    sample = own.select("v").distinct().orderBy(F.xxhash64("v")).limit(pivots).collect()
-    p = np.zeros((len(sample), dims))
-    for i, r in enumerate(sample):
-        p[i, : len(r.v)] = r.v
-
-    def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, seen = np.full(len(p), -1.0), np.zeros(len(p), np.int64)
+    most = shape.most or 0.0
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"  # the narrowest that holds every component
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "row"), 11) / F.lit(float(1 << 53))
+    picked = own.filter(chance < min(1.0, 4 * SAMPLE / shape.n)).orderBy(chance).limit(SAMPLE).select("v").collect() or own.select("v").limit(1).collect()
+    sample = np.zeros((len(picked), dims))
+    for i, r in enumerate(picked):
+        sample[i, : len(r.v)] = r.v
+    p = centres(sample, pivots)
+    width = (shape.square**0.5 + np.sqrt((p**2).sum(1)).max()) * (1 + 1e-9) / BINS + 1e-9
+    upper = width * np.arange(1, BINS + 1)
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(p), BINS), np.int64)
         for b in batches:
             cell, apart = _nearest(matrix(b.column(0), dims), p)
-            np.maximum.at(far, cell, apart)
-            np.add.at(seen, cell, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32()), pa.array(far[seen > 0]), pa.array(seen[seen > 0])], names=["cell", "r", "n"])
-
-    found = own.filter("is_query").select("v").mapInArrow(radii, "cell int, r double, n long").groupBy("cell").agg(F.max("r").alias("r"), F.sum("n").alias("n")).collect()
-    cells = np.array(sorted(r.cell for r in found))
-    radius = {r.cell: r.r * (1 + 1e-9) + 1e-6 for r in found}
-    held = {r.cell: r["n"] for r in found}
-    centre, reach = p[cells], np.array([radius[c] for c in cells])
-    span = own.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5 + 1
-    top = float((np.sqrt((centre**2).sum(1)) + reach).max() * span) + 1
-    step = 2 * top / BINS
-
-    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(cells), BINS), np.int64)
+            np.add.at(seen, (cell, np.minimum(apart // width, BINS - 1).astype(np.int64)), 1)
+        i, j = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(seen[i, j])], names=["cell", "bin", "n"])
+
+    counts = np.zeros((len(p), BINS), np.int64)
+    with batches_of(spark, SLIM_ROWS):
+        for r in own.select("v").mapInArrow(summary, "cell int, bin int, n long").groupBy("cell", "bin").agg(F.sum("n").alias("n")).collect():
+            counts[r.cell, r.bin] = r["n"]
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query cell the queries that it holds and, for each data cell, the least distance needed."""
+        least, held = np.full((len(p), len(p)), np.inf), np.zeros(len(p), np.int64)
         for b in batches:
             m = matrix(b.column(0), dims)
-            low = m @ centre.T - np.sqrt((m**2).sum(1))[:, None] * reach
-            at = np.clip(np.floor((low + top) / step).astype(np.int64), 0, BINS - 1)
-            for i in range(len(cells)):
-                counts[i] += np.bincount(at[:, i], minlength=BINS)
-        i, j = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(counts[i, j])], names=["i", "bin", "n"])
-
-    floor = np.full(len(cells), -np.inf)
-    above = np.zeros((len(cells), BINS), np.int64)
-    for r in own.select("v").mapInArrow(lows, "i int, bin int, n long").groupBy("i", "bin").agg(F.sum("n").alias("n")).collect():
-        above[r.i, r.bin] = r["n"]
-    reached = above[:, ::-1].cumsum(1)[:, ::-1] >= k + 1  # one more than k: the query itself may be among them
-    for i in range(len(cells)):
-        if reached[i, 0]:
-            floor[i] = np.flatnonzero(reached[i])[-1] * step - top - 1e-6 * top
-
-    blocks = {c: -(-held[c] // BLOCK) for c in held}
+            for a in range(0, len(m), CHUNK):
+                q = m[a : a + CHUNK]
+                cell, _ = _nearest(q, p)
+                np.minimum.at(least, cell, needed(q, p, reached(q, p, sample, counts, upper, k)))
+                np.add.at(held, cell, 1)
+        c = np.flatnonzero(held)
+        i, j = np.repeat(c, len(p)), np.tile(np.arange(len(p)), len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(least[i, j]), pa.array(held[i])], names=["cell", "to", "need", "n"])
+
+    held: dict[int, int] = {}
+    need = np.full((len(p), len(p)), np.inf)
+    with batches_of(spark, SLIM_ROWS):
+        for r in own.filter("is_query").select("v").mapInArrow(needs, "cell int, to int, need double, n long").groupBy("cell", "to").agg(F.min("need").alias("need"), F.sum("n").alias("n")).collect():
+            need[r.cell, r.to], held[r.cell] = r.need, r["n"]
+    group_of = grouped(p, held, BLOCK // 2)
+    groups = sorted(set(group_of.values()))
+    from_ = np.stack([np.min([need[c] for c, x in group_of.items() if x == g], 0) for g in groups])  # group, data cell
+    size = {g: sum(held[c] for c, x in group_of.items() if x == g) for g in groups}
+    blocks = {g: -(-size[g] // BLOCK) for g in groups}
     splits = max(1, -(-2 * tasks // sum(blocks.values())))
+    to_group = np.array([group_of.get(c, -1) for c in range(len(p))])
+    if report is not None:
+        left = sum(size[g] * int((counts * (upper >= from_[g][:, None])).sum()) for g in groups)
+        report["share"] = left / (sum(held.values()) * shape.n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, vec_id, v, is_query) -> blobs: queries to every split of their block, vectors to one."""
-        out: list[dict] = []
 
         def packed(name: str, data: bool, row, ids, nil, m) -> dict:
             return {"block": name, "data": data, "rows": row.tobytes(), "ids": ids.tobytes(), "nils": nil.tobytes(), "m": m.astype(kind).tobytes()}
 
-        turn = 0
+        waiting: dict[int, list] = {g: [] for g in groups}  # vectors on their way to a group, until they fill a row
+        number, turn = dict.fromkeys(groups, 0), 0
+
+        def send(g: int) -> list[dict]:
+            nonlocal turn
+            parts = [np.concatenate(x) for x in zip(*waiting[g], strict=True)]
+            waiting[g], number[g], turn = [], 0, turn + 1
+            return [packed(f"{g}.{x}.{turn % splits}", True, *parts) for x in range(blocks[g])]
+
         for b in batches:
+            out: list[dict] = []
             row, nil = b.column("row").to_numpy(), b.column("vec_id").is_null().to_numpy(zero_copy_only=False)
             ids, m = b.column("vec_id").fill_null(0).to_numpy(), matrix(b.column("v"), dims)
-            norm, query = np.sqrt((m**2).sum(1)), b.column("is_query").to_numpy(zero_copy_only=False)
-            q = np.flatnonzero(query)
+            cell, apart = _nearest(m, p)
+            q = np.flatnonzero(b.column("is_query").to_numpy(zero_copy_only=False))
             if len(q):
-                cell, _ = _nearest(m[q], p)
-                block = (row[q].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.array([blocks[c] for c in cell])
-                for c, x in set(zip(cell.tolist(), block.tolist(), strict=True)):
-                    some = q[(cell == c) & (block == x)]
-                    out += [packed(f"{c}.{x}.{s}", False, row[some], ids[some], nil[some], m[some]) for s in range(splits)]
-            high = m @ centre.T + norm[:, None] * reach
-            for i, c in enumerate(cells):
-                near = np.flatnonzero(high[:, i] >= floor[i])
+                group = to_group[cell[q]]
+                block = (row[q].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.array([blocks[g] for g in group])
+                for g, x in set(zip(group.tolist(), block.tolist(), strict=True)):
+                    some = q[(group == g) & (block == x)]
+                    out += [packed(f"{g}.{x}.{s}", False, row[some], ids[some], nil[some], m[some]) for s in range(splits)]
+            for i, g in enumerate(groups):
+                near = np.flatnonzero(apart >= from_[i][cell])
                 for a in range(0, len(near), ROWS):
                     some = near[a : a + ROWS]
-                    turn += 1
-                    out += [packed(f"{c}.{x}.{turn % splits}", True, row[some], ids[some], nil[some], m[some]) for x in range(blocks[c])]
+                    waiting[g].append((row[some], ids[some], nil[some], m[some].astype(kind)))
+                    number[g] += len(some)
+                    if number[g] >= ROWS:
+                        out += send(g)
                     if len(out) >= 64:
                         yield pa.RecordBatch.from_pylist(out, _BLOBS)
                         out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _BLOBS)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _BLOBS)
+        for g in groups:
+            if waiting[g]:
+                yield pa.RecordBatch.from_pylist(send(g), _BLOBS)
 
-    dealt = own.mapInArrow(place, BLOBS)
-    prepare(spark, 16)
-    merged = dealt.repartition("block").sortWithinPartitions("block", "data").mapInArrow(lambda b: _solve(b, dims, kind, k), SCORED)
+    merged = own.mapInArrow(place, BLOBS).repartition("block").sortWithinPartitions("block", "data").mapInArrow(lambda b: _solve(b, dims, kind, k), SCORED)
     scored = scratch.table(merged, "scored")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

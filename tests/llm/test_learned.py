@@ -196,14 +196,36 @@ def test_large_scores_stay_exact():
     assert knn.scores(q, d).tolist() == [[4 * (1 << 30) * ((1 << 30) + 1)]]
 
 
-def test_crowded_cells_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 4)
+@pytest.mark.parametrize("block", [4, 64])
+def test_crowded_cells_are_cut(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "BLOCK", block)
     monkeypatch.setattr(knn, "ROWS", 7)
+    monkeypatch.setattr(knn, "SLIM_ROWS", 16)
     rows = [(i, [float((i * 7 + j) % 5) for j in range(4)]) for i in range(200)]
     got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0, 5, pivots=3)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_top(rows, 5, 2)
 
 
+def test_bounds_skip_far_cells_and_lose_nothing(spark, monkeypatch):
+    """Tight clusters of a few hundred vectors: most pairs are left out, results stay those of all pairs."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    at = rng.normal(0, 1, (8, 12))
+    rows = [(i, [float(x) for x in (at[i % 8] * 3 + rng.normal(0, 0.02, 12)).astype(np.float32)]) for i in range(1200)] + [(2001, [0.0] * 12)]
+    df, report = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {}
+    got = knn.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=8, report=report)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_top(rows, 5, 20)
+    assert 0 < report["share"] < 0.4
+
+
+def test_the_session_keeps_its_batch_size(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
+    knn.top_k(df, F.col("vec_id") % 20 == 0, 3).count()
+    assert spark.conf.get(name) == before
+
+
 def test_licences(spark, odd_docs, no_docs):
     import textwrap
 
