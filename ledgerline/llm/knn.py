@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches as batches_of, prepare
+from .common import Scratch, batches as batches_of, partitions, prepare
 
 #: Pivots; rows of the sample that they are fitted on and that bounds are taken from; bins of a summary.
 PIVOTS, SAMPLE, BINS = 64, 2048, 64
@@ -260,7 +260,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     from_ = np.stack([np.min([need[c] for c, x in group_of.items() if x == g], 0) for g in groups])  # group, data cell
     size = {g: sum(held[c] for c, x in group_of.items() if x == g) for g in groups}
     blocks = {g: -(-size[g] // BLOCK) for g in groups}
-    splits = max(1, -(-2 * tasks // sum(blocks.values())))
+    splits = max(1, -(-max(2 * tasks, partitions(spark)) // sum(blocks.values())))
     to_group = np.array([group_of.get(c, -1) for c in range(len(p))])
     if report is not None:
         left = sum(size[g] * int((counts * (upper >= from_[g][:, None])).sum()) for g in groups)
@@ -273,7 +273,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
             return {"block": name, "data": data, "rows": row.tobytes(), "ids": ids.tobytes(), "nils": nil.tobytes(), "m": m.astype(kind).tobytes()}
 
         waiting: dict[int, list] = {g: [] for g in groups}  # vectors on their way to a group, until they fill a row
-        number, turn = dict.fromkeys(groups, 0), 0
+        number, turn = dict.fromkeys(groups, 0), None
 
         def send(g: int) -> list[dict]:
             nonlocal turn
@@ -285,6 +285,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
             out: list[dict] = []
             row, nil = b.column("row").to_numpy(), b.column("vec_id").is_null().to_numpy(zero_copy_only=False)
             ids, m = b.column("vec_id").fill_null(0).to_numpy(), matrix(b.column("v"), dims)
+            if turn is None and len(row):  # tasks begin with different splits
+                turn = int(row[0]) * 0x9E3779B97F4A7C15 >> 29
             cell, apart = _nearest(m, p)
             q = np.flatnonzero(b.column("is_query").to_numpy(zero_copy_only=False))
             if len(q):
