@@ -44,8 +44,8 @@ from .shingles import U, digest, mix, shingle_set
 #: Postings that a worker holds before it hands them on, bytes of postings a task is to read, least
 #: bits of a bitmap, parts beyond those that the bound asks for, digests a worker remembers.
 FLUSH, TASK_BYTES, BITS, SPARE, SEEN = 1_000_000, 24 << 20, 256, 2, 300_000
-#: Most shingles of a block of a tile, and most sets of a block of a meeting: a task's fair share of
-#: all, within these bounds. They decide how work is dealt, not what is compared.
+#: Most shingles and most sets of a block of a tile, and most sets of a block of a meeting: a task's fair
+#: share of all, within these bounds. They decide how work is dealt, not what is compared.
 BLOCK, CROWD = (4_000, 2_000_000), (64, 4096)
 
 
@@ -339,15 +339,15 @@ def _upto(n: Column) -> Column:
     return F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
 
 
-def _with_tiles(members: DataFrame, edges: np.ndarray, block: int) -> DataFrame:
+def _with_tiles(members: DataFrame, edges: np.ndarray, block: int, crowd: int) -> DataFrame:
     """Adds tiles, an array of (tile, side), to (grp, n, digest, ...)."""
     sorted_edges = F.array(*[F.lit(int(e)) for e in edges])
     banded = members.withColumn("band", F.size(F.filter(sorted_edges, lambda e: e <= F.col("n"))) - 1)
-    sizes = banded.groupBy("grp", "band").agg(F.sum("n").alias("w"))
+    sizes = banded.groupBy("grp", "band").agg(F.greatest(F.sum("n") / block, F.count("*") / crowd).alias("w"))
     large = (
         sizes.groupBy("grp")
-        .agg(F.sum("w").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / block).cast("int")))).alias("cuts"))
-        .filter(F.col("all") > block)
+        .agg(F.sum("w").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil("w").cast("int")))).alias("cuts"))
+        .filter(F.col("all") > 1)
         .drop("all")
     )
     cut = banded.join(large, "grp", "left")
@@ -409,7 +409,6 @@ def _groups(texts: DataFrame, reps: DataFrame, ref: Column, rule: Rule, scratch:
     keys = _dealt_keys(texts, parts)
     postings = texts.select("text").mapInArrow(lambda b: _postings(b, rule, keys), "key long, sigs binary, who binary, refs binary")
     met = scratch.table(postings.repartition(parts, "key").mapInArrow(_meet, "meeting long, ref long").distinct(), "met")
-    crowd = _fair(met.count(), partitions(spark), CROWD)
     sketches = reps.select(ref.alias("ref"), "n", "bits")
 
     def near(rows: DataFrame) -> DataFrame:
@@ -418,6 +417,7 @@ def _groups(texts: DataFrame, reps: DataFrame, ref: Column, rule: Rule, scratch:
 
     # copies of one text meet many times: an eighth of the meetings settles most of their groups
     early = F.pmod(F.xxhash64("meeting"), F.lit(8)) == 0
+    crowd = _fair(met.filter(early).count(), partitions(spark), CROWD)
     crowded = scratch.table(met.filter(early).groupBy("meeting").agg(F.count("*").alias("m"), F.min("ref").alias("anchor")).filter(F.col("m") > crowd), "crowded")
     first = scratch.table(components(scratch, near(_first_look(met.filter(early), crowded, crowd)), "first"), "first")
     open_ = met.join(crowded.select("meeting", F.lit(True).alias("again")), "meeting", "left").filter(~early | F.col("again")).select("meeting", "ref")
@@ -426,7 +426,7 @@ def _groups(texts: DataFrame, reps: DataFrame, ref: Column, rule: Rule, scratch:
     by_group = known.groupBy("meeting", "grp").agg(F.count("*").alias("c")).groupBy("meeting")
     unsettled = by_group.agg(F.sum("c").alias("m"), F.count("*").alias("groups"), F.max(F.struct("c", "grp")).alias("top")).filter("groups > 1")
     unsettled = scratch.table(unsettled.select("meeting", "m", F.col("top.grp").alias("top"), (F.col("m") - F.col("top.c")).alias("minor")), "unsettled")
-    later = near(_second_look(known, unsettled, crowd))
+    later = near(_second_look(known, unsettled, _fair(unsettled.agg(F.sum("m")).first()[0] or 0, partitions(spark), CROWD)))
     found = components(scratch, later.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near")
     scratch.free("known")
     return found
@@ -450,7 +450,8 @@ def _joined(docs: DataFrame, rule: Rule, id_col: str, text_col: str, scratch: Sc
     groups = _groups(texts, reps, ref, rule, scratch, parts)
 
     members = reps.withColumn("node", ref).join(groups.withColumnRenamed("label", "grp"), "node").select("grp", "n", "digest", "copies", "rep")
-    cut = scratch.table(_with_tiles(members, edges, _fair(total, partitions(spark), BLOCK)), "tiles")
+    block, crowd = _fair(total, partitions(spark), BLOCK), _fair(groups.count(), partitions(spark), CROWD)
+    cut = scratch.table(_with_tiles(members, edges, block, crowd), "tiles")
     wanted = cut.select(F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"), "tiles", "digest", "copies")
     likely = maybe(texts, F.col("key"), wanted.select(F.col("rkey").alias("key")), "likely").filter("likely")
     found = wanted.join(likely, wanted.rid.eqNullSafe(likely.id) & (wanted.rkey == likely.key)).select("tiles", "digest", "copies", "text")
