@@ -11,6 +11,10 @@ paragraph (between blank lines) is read twice, with line ends as ends of sentenc
 notices, as one run; the reading with more known sentences counts (on a tie the first), and what the
 paragraphs give is put together before rules are looked for.
 
+A sentence "SPDX-License-Identifier: EXPRESSION" becomes an identifier for each licence of the
+expression (of any table entry, in the forms -only, -or-later, + and bare for GNU licences, exceptions
+aside) and a gap for each other.
+
 A sentence that only numbers a list item ("1", "a", "iv") is no gap between two identifiers, and a line
 that begins with one begins a sentence; it still counts in n_sentences.
 
@@ -62,10 +66,20 @@ SENTENCES = {
     "CcBySa4": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "Cc0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "SpdxMit": ["SPDX-License-Identifier: MIT"],
-    "SpdxApache": ["SPDX-License-Identifier: Apache-2.0"],
-    "SpdxGpl3": ["SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "SpdxBsd3": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "Agpl3Plus": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AgplSee": ["See the GNU Affero General Public License for more details."],
+    "AgplReceived": ["You should have received a copy of the GNU Affero General Public License along with this program."],
+    "Lgpl21Plus": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "Lgpl3Plus": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LgplHope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "LgplSee": ["See the GNU Lesser General Public License for more details."],
+    "LgplReceived": ["You should have received a copy of the GNU Lesser General Public License along with this library."],
+    "Gpl2Only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "Boost": ["Distributed under the Boost Software License, Version 1.0."],
+    "ZlibAsIs": ["This software is provided 'as-is', without any express or implied warranty."],
+    "ZlibLiable": ["In no event will the authors be held liable for any damages arising from the use of this software."],
+    "ZlibGrant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Epl2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
 }
 # Ordered rules, longer ones first, with the licence that each shows.
 RULES = [
@@ -99,11 +113,27 @@ RULES = [
     ("CcBy4", "CC-BY-4.0"),
     ("Cc0", "CC0-1.0"),
     ("Unlicense", "Unlicense"),
-    ("SpdxMit", "MIT"),
-    ("SpdxApache", "Apache-2.0"),
-    ("SpdxGpl3", "GPL-3.0-only"),
-    ("SpdxBsd3", "BSD-3-Clause"),
+    ("Agpl3Plus GnuHope AgplSee AgplReceived", "AGPL-3.0-or-later"),
+    ("Agpl3Plus GnuHope AgplSee", "AGPL-3.0-or-later"),
+    ("Agpl3Plus", "AGPL-3.0-or-later"),
+    ("Lgpl21Plus LgplHope LgplSee LgplReceived", "LGPL-2.1-or-later"),
+    ("Lgpl21Plus LgplHope LgplSee", "LGPL-2.1-or-later"),
+    ("Lgpl21Plus", "LGPL-2.1-or-later"),
+    ("Lgpl3Plus GnuHope LgplSee", "LGPL-3.0-or-later"),
+    ("Lgpl3Plus", "LGPL-3.0-or-later"),
+    ("Gpl2Only GnuHope GnuSee", "GPL-2.0-only"),
+    ("Gpl2Only", "GPL-2.0-only"),
+    ("Boost", "BSL-1.0"),
+    ("ZlibAsIs ZlibLiable ZlibGrant", "Zlib"),
+    ("Epl2", "EPL-2.0"),
 ]
+# Names of SPDX's licence list, and of those GNU licences that have -only and -or-later forms.
+SPDX = (
+    "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD ISC Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-3.0 CC-BY-4.0 "
+    "CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 Artistic-2.0 PostgreSQL "
+    "Python-2.0 PSF-2.0 OFL-1.1 EUPL-1.2 NCSA Ruby WTFPL"
+).split()
+GNU = "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-1.0 AGPL-3.0".split()
 
 
 def sentences_of(text: str | None) -> list[str]:
@@ -121,8 +151,18 @@ def _known() -> dict[str, str]:
     return known
 
 
-KNOWN = _known()
-MARK = {"<" + "><".join(rule.split()) + ">": licence for rule, licence in RULES}
+def _tags() -> dict[str, str]:
+    """Licences by what normalising, and writing "or later" as one word, leaves of their names."""
+    forms = {x: x for x in SPDX}
+    for x in GNU:
+        forms |= {x: f"{x}-only", f"{x}-only": f"{x}-only", f"{x}-orlater": f"{x}-or-later"}
+    return {sentences_of(k)[0]: v for k, v in forms.items()}
+
+
+KNOWN, TAGS = _known(), _tags()
+TAG = "spdx license identifier "
+_name = lambda licence: "Spdx" + re.sub("[^A-Za-z0-9]", "", licence)
+MARK = {"<" + "><".join(rule.split()) + ">": licence for rule, licence in [*RULES, *((_name(x), x) for x in dict.fromkeys(TAGS.values()))]}
 PATTERN = "|".join(MARK)
 #: A sentence that only numbers what follows: digits, a letter or a roman numeral.
 ENUMERATOR = "(?:[0-9]{1,3}|[a-z]|[ivxlc]{1,6})"
@@ -133,16 +173,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     sentence_ids: the identifiers in order, '-' for each gap; licenses: distinct, in order of place.
     """
-    flat = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^A-Za-z0-9.\n]+", " "))
+    whole = F.regexp_replace(text_or_empty(text_col), r"(SPDX-License-Identifier:[^\n]*?[0-9])\+", "$1-or-later")
+    flat = F.lower(F.regexp_replace(whole, r"[^A-Za-z0-9.\n]+", " "))
+    tags = F.create_map(*[F.lit(x) for k, v in TAGS.items() for x in (k, f"<{_name(v)}>")])
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     licence = F.create_map(*[F.lit(x) for pair in MARK.items() for x in pair])
     count = lambda c: F.length(F.regexp_replace(c, "[^<]+", "")).cast("long")
 
+    def tagged(sentence: Column) -> Column:
+        parts = F.split(F.regexp_replace(F.substring(sentence, len(TAG) + 1, 1 << 30), " or later", " orlater"), " (?:or|and) ")
+        return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(tags, F.regexp_replace(x, " with .*", "")), F.lit("-"))), "")
+
     def reading(text: Column) -> Column:
         """An identifier or a gap for each sentence."""
         parts = F.split(F.regexp_replace(text, r"\. ", "\n"), "\n")
         sentences = F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
-        return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).when(s.rlike(f"^{ENUMERATOR}$"), "#").otherwise(F.lit("-")))
+        return F.transform(sentences, lambda s: F.when(s.isin(*KNOWN), F.concat(F.lit("<"), F.element_at(names, s), F.lit(">"))).when(s.startswith(TAG), tagged(s)).when(s.rlike(f"^{ENUMERATOR}$"), "#").otherwise(F.lit("-")))
 
     def joined(text: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, rf"\n(?= ?{ENUMERATOR}\. )", ". "), r"\n", " "), " +", " ")
@@ -169,16 +215,20 @@ def _sql_text(x: str) -> str:
 
 def oracle_sql() -> str:
     """The same over the whole table in DuckDB."""
-    known = "MAP {" + ", ".join(f"{_sql_text(k)}: {_sql_text(f'<{v}>')}" for k, v in KNOWN.items()) + "}"
-    licence = "MAP {" + ", ".join(f"{_sql_text(k)}: {_sql_text(v)}" for k, v in MARK.items()) + "}"
-    ids = lambda t: f"list_transform(list_filter(list_transform(string_split(regexp_replace({t}, '\\. ', chr(10), 'g'), chr(10)), lambda s: trim(s, ' .')), lambda s: s <> ''), lambda s: coalesce({known}[s], '-'))"
-    seq = lambda r: f"regexp_replace(array_to_string({r}, ''), '-+', '-', 'g')"
+    table = lambda pairs: "MAP {" + ", ".join(f"{_sql_text(k)}: {_sql_text(v)}" for k, v in pairs) + "}"
+    known, tags, licence = table((k, f"<{v}>") for k, v in KNOWN.items()), table((k, f"<{_name(v)}>") for k, v in TAGS.items()), table(MARK.items())
+    tagged = f"array_to_string(list_transform(string_split_regex(replace(substr(s, {len(TAG) + 1}), ' or later', ' orlater'), ' (?:or|and) '), lambda x: coalesce({tags}[regexp_replace(x, ' with .*', '')], '-')), '')"
+    sign = f"coalesce({known}[s], case when starts_with(s, '{TAG}') then {tagged} when regexp_full_match(s, '{ENUMERATOR}') then '#' else '-' end)"
+    ids = lambda t: f"list_transform(list_filter(list_transform(string_split(regexp_replace({t}, '\\. ', chr(10), 'g'), chr(10)), lambda s: trim(s, ' .')), lambda s: s <> ''), lambda s: {sign})"
+    joined = f"regexp_replace(replace(regexp_replace(p, '\\n( ?{ENUMERATOR}\\. )', '. \\1', 'g'), chr(10), ' '), ' +', ' ', 'g')"
+    hits = lambda r: f"len(list_filter({r}, lambda s: starts_with(s, '<')))"
     return f"""
-with flat as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.\\n]+', ' ', 'g')) as t from documents),
-cut as (select doc_id, {ids('t')} as a, {ids("regexp_replace(replace(regexp_replace(t, '\\n(?: ?\\n)+', '. ', 'g'), chr(10), ' '), ' +', ' ', 'g')")} as b from flat),
-readings as (select doc_id, a, b, {seq('a')} as seq_a, {seq('b')} as seq_b from cut),
-found as (select *, regexp_extract_all(seq_a, {_sql_text(PATTERN)}) as hits_a, regexp_extract_all(seq_b, {_sql_text(PATTERN)}) as hits_b from readings),
-hits as (select doc_id, case when w then len(b) else len(a) end as n, case when w then seq_b else seq_a end as seq, case when w then hits_b else hits_a end as hits from (select *, len(hits_b) > len(hits_a) as w from found))
+with whole as (select doc_id, regexp_replace(coalesce(text, ''), '(SPDX-License-Identifier:[^\\n]*?[0-9])\\+', '\\1-or-later', 'g') as w from documents),
+flat as (select doc_id, lower(regexp_replace(w, '[^A-Za-z0-9.\\n]+', ' ', 'g')) as t from whole),
+readings as (select doc_id, list_transform(string_split_regex(t, '\\n(?: ?\\n)+'), lambda p: [{ids('p')}, {ids(joined)}]) as r from flat),
+cut as (select doc_id, flatten(list_transform(r, lambda x: case when {hits('x[2]')} > {hits('x[1]')} then x[2] else x[1] end)) as ids from readings),
+seqs as (select doc_id, len(ids) as n, regexp_replace(regexp_replace(array_to_string(ids, ''), '>#+<', '><', 'g'), '[-#]+', '-', 'g') as seq from cut),
+hits as (select *, regexp_extract_all(seq, {_sql_text(PATTERN)}) as hits from seqs)
 select doc_id, cast(n as bigint) as n_sentences, case when seq = '-' then '' else seq end as sentence_ids, cast(len(hits) as bigint) as rule_matches,
   coalesce(array_to_string(list_transform(list_filter(list_zip(hits, range(len(hits))), lambda x: list_position(list_transform(hits, lambda h: {licence}[h]), {licence}[x[1]]) = x[2] + 1), lambda x: {licence}[x[1]]), ','), '') as licenses,
   cast(length(regexp_replace(seq, '[^<]+', '', 'g')) - length(regexp_replace(array_to_string(hits, ''), '[^<]+', '', 'g')) as bigint) as unresolved

@@ -1,5 +1,8 @@
 import textwrap
 
+import duckdb
+import pandas as pd
+
 from ledgerline.llm import licenses
 
 
@@ -28,3 +31,38 @@ def test_notices_of_lines_and_wrapped_ones_in_one_text(spark):
     got = scanned(spark, f"{lines}\n\n{gpl}", f"{gpl}\n\n{lines}")
     assert [r.licenses for r in got] == ["MIT,GPL-3.0-or-later", "GPL-3.0-or-later,MIT"]
     assert all((r.rule_matches, r.unresolved) == (2, 0) for r in got)
+
+
+# expected answers written by hand, from the notices as their licences give them
+NOTICES = [
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later\nimport os", "GPL-3.0-or-later"),
+    ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0-only"),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ("SPDX-License-Identifier: ISC", "ISC"),
+    ("<!-- SPDX-License-Identifier: (MIT OR Apache-2.0) -->", "MIT,Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later OR BSD-3-Clause", "GPL-2.0-or-later,BSD-3-Clause"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: LicenseRef-Ours", ""),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU Affero General Public License for more details.", "AGPL-3.0-or-later"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("Released under the MIT License. 1. Foo.\nSPDX-License-Identifier: Zlib\n\n1. bar\n2. baz", "MIT,Zlib"),
+    ("We like the GPL-3.0-or-later and the MIT licence.", ""),
+]
+
+
+def test_notices_and_tags(spark):
+    got = scanned(spark, *(t for t, _ in NOTICES))
+    assert [r.licenses for r in got] == [x for _, x in NOTICES]
+    assert all(r.unresolved == 0 for r in got)
+
+
+def test_the_sql_agrees_on_notices(spark):
+    texts = [t for t, _ in NOTICES] + [bsd(("BsdSource", "BsdBinary"), a, w) for a, w in (("\n\n", True), ("\n", False))] + ["a\n 1. b\n2. c. d", "", None, "a\n\n \nb. \n", "x. " * 50]
+    db, documents = duckdb.connect(), pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    db.register("documents", documents)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(db.execute(licenses.oracle_sql()).fetchall()) == sorted(tuple(r) for r in licenses.scan(rows).collect())
