@@ -73,6 +73,23 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from documents window g as (partition by coalesce(text, ''))"""
 
 
+OP4_SQL = r"""
+with recursive t as (select translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x, doc_id from documents),
+u as (select x, min(doc_id) as low, count(*) as copies, row_number() over (order by x) as u from t group by x),
+w as (select u, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as w from u),
+s as (select u, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+n as (select u, len(s) as n from s),
+i as (select u, unnest(s) as g from s),
+met as (select a.u as a, b.u as b, count(*) as c from i a join i b on a.g = b.g and a.u <> b.u group by all),
+links as (select a, b from met join n x on x.u = a join n y on y.u = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select u, u as r from u union select reach.u, links.b from reach join links on links.a = reach.r),
+component as (select reach.u, min(low) as component_id from reach join u on u.u = reach.r group by reach.u),
+linked as (select a as u, sum(copies) as k from links join u on u.u = b group by a)
+select doc_id, cast(n as bigint) as n_shingles, case when n > 0 then component_id else doc_id end as component_id,
+  cast(case when n > 0 then coalesce(k, 0) + copies - 1 else 0 end as bigint) as n_links
+from t join u using (x) join n using (u) join component using (u) left join linked using (u)"""
+
 OP9_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 f as (select page_id, octet_length(b) as n, sha256(b) as d, min(page_id) over (partition by b) as first from p)
@@ -90,4 +107,4 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
