@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, batches as batches_of, free_name, prepare
+from .common import Scratch, batches as batches_of, free_name, maybe, prepare
 from .tokens import tokens as encoder
 
 #: Labelled rows that the classifier may learn from (where ids repeat, the first by a hash); hashed
@@ -241,9 +241,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says."""
-    times, copy = free_name(docs, "__times"), free_name(docs, "__copy")
+    times, copy, own, key = (free_name(docs, f"__{x}") for x in ("times", "copy", "own", "key"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("key")), 11) / F.lit(float(1 << 53))
-    drawn = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias(times)).distinct()
-    odd = Scratch(docs.sparkSession, "mixed").table(drawn.filter(F.col(times) != 1), "odd")  # rows that stay once need no join
-    joined = docs.join(odd, docs[id_col].eqNullSafe(odd["__id"]) & (F.xxhash64(docs[text_col]) == odd["__key"]), "left")
-    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(times), F.lit(1))))).select(*[docs[c] for c in docs.columns])
+    drawn = mixed.select(F.col("doc_id").alias(own), F.col("key").alias(key), (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias(times)).distinct()
+    odd = Scratch(docs.sparkSession, "mixed").table(drawn.filter(F.col(times) != 1), "odd")
+    # rows that surely stay once are neither joined nor shuffled
+    flagged = maybe(docs, F.xxhash64(F.col(text_col)), odd.select(F.col(key).alias("key")), flag := free_name(docs, "__odd"))
+    unsure = flagged.filter(flag).drop(flag)
+    joined = unsure.join(odd, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(key)), "left")
+    again = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(times), F.lit(1))))).drop(own, key, times, copy)
+    return flagged.filter(~F.col(flag)).drop(flag).unionByName(again)

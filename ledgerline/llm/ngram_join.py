@@ -400,7 +400,7 @@ def _second_look(known: DataFrame, unsettled: DataFrame, crowd: int) -> DataFram
 
 
 def _fair(total: int, tasks: int, bounds: tuple[int, int]) -> int:
-    return min(max(2 * total // tasks, bounds[0]), bounds[1])
+    return min(max(total // tasks, bounds[0]), bounds[1])
 
 
 def _groups(texts: DataFrame, reps: DataFrame, ref: Column, rule: Rule, scratch: Scratch, parts: int) -> DataFrame:

@@ -161,7 +161,7 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert all(r.tokens == 0 and r.rate == 1 for r in rows if r.doc_id in (4, 5))
     ids = {(r.doc_id, r.tokens) for r in rows}
     assert ids == {(r.doc_id, len(tokens().ids(r.text or ""))) for r in odd_docs.collect()}
-    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("__id", "__key", "__times", "__copy", "key", "rate", "tokens", "posterior")})
+    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("__id", "__key", "__own", "__odd", "__times", "__copy", "key", "rate", "tokens", "posterior")})
     assert mixing.apply_rates(clashing, mixing.mix(clashing, labels)[0]).columns == clashing.columns
     assert mixing.apply_rates(odd_docs, mixed).columns == odd_docs.columns
     assert mixing.mix(no_docs, labels)[0].count() == 0
