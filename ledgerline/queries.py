@@ -351,12 +351,12 @@ for _name, _columns in {
     _query(_features_sql(_columns))(_f)
 
 
-_ECHO_E = f"{_placed(5, 1)},\ne as (select snapshot_id, src, dst, max(exp(ln(0.01) * (((snapshot_id + 1) * {5 * DAY} - o) // 1000000) / 86400.0)) as weight, {_AGG} from placed group by all)"
+_ECHO_E = f"{_placed(1, 3)},\ne as (select snapshot_id, src, dst, max(exp(ln(0.01) / 3 * (((snapshot_id + 1) * {DAY} - o) // 1000000) / 86400.0)) as weight, {_AGG} from placed group by all)"
 
 
 @_query(_features_sql(FEATURES, _ECHO_E))
 def block_features_echo(spark, sf_dir):
-    edges = _edges(spark, sf_dir, step=5, echo=1)
+    edges = _edges(spark, sf_dir, echo=3)
     return _rounded_off_ties(neighbourhood.features(edges, graph.nodes(edges)))
 
 
@@ -379,31 +379,18 @@ def isolated_nodes(spark, sf_dir):
     return neighbourhood.features(cut, graph.nodes(edges)).join(alone, ["snapshot_id", "node"], "left_semi")
 
 
-_SPARSE_E = f"{_placed(1, 0.02)},\ne as (select snapshot_id, src, dst, cast(1 as double) as weight, {_AGG} from placed group by all)"
 _COMP = f"""{UND},
-reach as (select snapshot_id, u as node, u as r from und union select reach.snapshot_id, und.v, reach.r from reach join und on und.snapshot_id = reach.snapshot_id and und.u = reach.node),
+reach as (select snapshot_id, u as node, u as r from und union select reach.snapshot_id, und.v, reach.r from reach join und on und.snapshot_id = reach.snapshot_id and und.u = reach.node where reach.r < und.v),
 comp as (select snapshot_id, node, min(r) as community from reach group by all)"""
 
 
-@_query(f"with recursive {_SPARSE_E}, {_COMP} select snapshot_id, node, community from comp")
+@_query(f"with recursive {E_SQL}, {_COMP} select snapshot_id, node, community from comp")
 def components(spark, sf_dir):
-    return community.components(_edges(spark, sf_dir, width=0.02))
-
-
-@_query(f"with recursive {_SPARSE_E}, {_COMP}, half as (select * from comp where node % 3 <> 0) select e.snapshot_id, src, dst, num_trans from e join half a on a.snapshot_id = e.snapshot_id and a.node = src join half b on b.snapshot_id = e.snapshot_id and b.node = dst where a.community = b.community")
-def intra_component_edges(spark, sf_dir):
-    edges = _edges(spark, sf_dir, width=0.02)
-    return graph.within(edges, community.components(edges).filter("node % 3 <> 0")).select("snapshot_id", "src", "dst", "num_trans")
-
-
-@_query()
-def components_whole(spark, sf_dir):
-    """Components of whole one-day snapshots; no SQL is registered, tests use union-find."""
     return community.components(_edges(spark, sf_dir))
 
 
-@_query()
-def intra_component_edges_whole(spark, sf_dir):
+@_query(f"with recursive {E_SQL}, {_COMP} select e.snapshot_id, src, dst, num_trans from e join comp a on a.snapshot_id = e.snapshot_id and a.node = src join comp b on b.snapshot_id = e.snapshot_id and b.node = dst where a.community = b.community")
+def intra_component_edges(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return graph.within(edges, community.components(edges)).select("snapshot_id", "src", "dst", "num_trans")
 
@@ -607,7 +594,8 @@ def rounded_class_ratio(spark, sf_dir):
 
 @_query()
 def sampled_nodes(spark, sf_dir):
-    return results.sample_nodes(_labels(spark, sf_dir).filter("snapshot_id = 3"), 20, 40)
+    """Sampling is the feature; its pool is every node of every snapshot."""
+    return results.sample_nodes(_labels(spark, sf_dir), 20, 40)
 
 
 # --- metrics -----------------------------------------------------------------------------------------
@@ -727,14 +715,8 @@ def sweep_grid(spark, sf_dir):
     return results.sweep_grid(spark, *_GRID)
 
 
-@_query(f"with {_GRID_SQL}, have as (select cast(event_id % 20 as integer) as cell, count(*) as n from events where event_id < 30 group by all) select cell, timing, K, task, coalesce(n, 0) as n, case when n is null then 'missing' else 'top-up' end as state from grid left join have using (cell) where coalesce(n, 0) < 2")
-def missing_cells(spark, sf_dir):
-    have = _table(spark, sf_dir, "events").filter("event_id < 30").select((F.col("event_id") % 20).cast("int").alias("cell"))
-    return results.missing_cells(results.sweep_grid(spark, *_GRID), have, ["cell"], 2)
-
-
 @_query(f"with {_GRID_SQL}, have as (select cast(floor(value / 25) as integer) as cell, count(*) as n from events group by all) select cell, timing, K, task, coalesce(n, 0) as n, case when n is null then 'missing' else 'top-up' end as state from grid left join have using (cell) where coalesce(n, 0) < 10")
-def missing_cells_whole(spark, sf_dir):
+def missing_cells(spark, sf_dir):
     have = _table(spark, sf_dir, "events").select(F.floor(F.col("value") / 25).cast("int").alias("cell"))
     return results.missing_cells(results.sweep_grid(spark, *_GRID), have, ["cell"], 10)
 

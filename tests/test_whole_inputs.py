@@ -30,14 +30,14 @@ def union_find(edges):
 
 def test_components_of_all_transfers_of_a_day(spark):
     edges = [(r.snapshot_id, r.src, r.dst) for r in core._edges(spark, SF).collect()]
-    got = {(r.snapshot_id, r.node): r.community for r in core.queries()["components_whole"](spark, SF).collect()}
+    got = {(r.snapshot_id, r.node): r.community for r in core.queries()["components"](spark, SF).collect()}
     assert len(edges) > 10 * core._edges(spark, SF, width=0.02).count()
     assert got == union_find(edges)
 
 
 def test_no_edge_inside_a_component_is_lost(spark):
     want = sorted((r.snapshot_id, r.src, r.dst, r.num_trans) for r in core._edges(spark, SF).collect())
-    assert sorted(tuple(r) for r in core.queries()["intra_component_edges_whole"](spark, SF).collect()) == want
+    assert sorted(tuple(r) for r in core.queries()["intra_component_edges"](spark, SF).collect()) == want
 
 
 def test_edges_inside_communities_are_those_of_equal_communities(spark):
@@ -54,6 +54,6 @@ def test_missing_cells_counts_every_event(spark):
     for r in spark.read.parquet(f"{SF}/events.parquet").select("value").collect():
         if r.value is not None and int(r.value // 25) in n:
             n[int(r.value // 25)] += 1
-    got = {r.cell: (r.n, r.state) for r in core.queries()["missing_cells_whole"](spark, SF).collect()}
+    got = {r.cell: (r.n, r.state) for r in core.queries()["missing_cells"](spark, SF).collect()}
     assert got == {i: (k, "top-up" if k else "missing") for i, k in n.items() if k < 10}
     assert {s for _, s in got.values()} == {"missing", "top-up"}
