@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import community, graph, neighbourhood, snapshots, windows
 from ..sources import loaders
-from ..sources.tables import exists
+from ..sources.tables import exists, some
 
 
 def daily_features(tx: DataFrame, step: float = 1, unit: str = "days", width: float | None = None, echo_days: float | None = None, method: str = "none") -> DataFrame:
@@ -18,19 +18,25 @@ def daily_features(tx: DataFrame, step: float = 1, unit: str = "days", width: fl
 
 
 def extract(spark: SparkSession, settings: Settings, folder: str, out: str, method: str = "louvain") -> DataFrame:
-    """Computes and stores features and labels of the snapshots that ``out`` does not hold yet."""
+    """Computes and stores features and labels of the snapshots that ``out`` does not hold both of yet.
+
+    A snapshot's partitions replace those that an earlier run left, so a run that failed between its two
+    writes, or within one, is made good by the next.
+    """
     tx = loaders.load(spark, settings.dataset, folder, settings.kind or None)
     grid = snapshots.make_grid(tx, settings.step, settings.step_unit, settings.width)
     todo = grid.frame(spark)
-    if exists(spark, f"{out}/features"):
-        todo = snapshots.pending(todo, spark.read.parquet(f"{out}/features"))
-    wanted = F.broadcast(todo.select("snapshot_id"))  # a row a snapshot
+    if all(some(spark, f"{out}/{t}/snapshot_id=*") for t in ("features", "labels")):  # partitions appear whole
+        done = spark.read.parquet(f"{out}/features").select("snapshot_id").distinct().join(spark.read.parquet(f"{out}/labels").select("snapshot_id").distinct(), "snapshot_id")
+        todo = snapshots.pending(todo, done)
+    ids = [(r.snapshot_id,) for r in todo.select("snapshot_id").collect()]  # a row a snapshot; the tables read are replaced below
+    wanted = F.broadcast(spark.createDataFrame(ids, "snapshot_id int"))
     edges = snapshots.snapshot_edges(tx, grid, settings.days_echo if settings.echo else None).join(wanted, "snapshot_id")
     wide = snapshots.Grid(grid.first, grid.last, grid.step, int(settings.days_echo * 86_400_000_000)) if settings.echo else grid
     labels = snapshots.node_labels(snapshots.assign(tx, wide).join(wanted, "snapshot_id"), "snapshot_id")
     found = neighbourhood.features(community.prune(edges, method), graph.nodes(edges))
-    labels.write.mode("append").partitionBy("snapshot_id").parquet(f"{out}/labels")
-    found.write.mode("append").option("compression", "zstd").partitionBy("snapshot_id").parquet(f"{out}/features")
+    for df, name in ((labels, "labels"), (found, "features")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("snapshot_id").parquet(f"{out}/{name}")
     return spark.read.parquet(f"{out}/features")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def some(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches ``pattern``."""
+    fs, where = _fs(spark, pattern)
+    return bool(fs.globStatus(where))
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a file, or a folder whose writing was finished."""
+    fs, where = _fs(spark, path)
+    return fs.exists(where) and (fs.getFileStatus(where).isFile() or exists(spark, f"{path}/_SUCCESS"))
+
+
 def find_table(spark: SparkSession, stem: str) -> str | None:
-    """``stem``.parquet, or else ``stem``.csv, or None."""
-    return next((p for p in (f"{stem}.parquet", f"{stem}.csv") if exists(spark, p)), None)
+    """``stem``.parquet, or else ``stem``.csv, or None; half-written folders do not count."""
+    return next((p for p in (f"{stem}.parquet", f"{stem}.csv") if whole(spark, p)), None)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, replaced whole."""
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def load_table(spark: SparkSession, stem: str) -> DataFrame:
@@ -29,10 +51,26 @@ def load_table(spark: SparkSession, stem: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, stem: str, *partition_by: str) -> str:
-    """Writes ``stem``.parquet; Spark's commit protocol shows it whole or not at all."""
-    out = df.write.mode("overwrite").option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(f"{stem}.parquet")
-    return f"{stem}.parquet"
+    """Writes ``stem``.parquet beside the table of that name, if there is one, and then takes its place.
+
+    A run that fails leaves the old table; the two renames at the end are all that a reader can fall between.
+    """
+    spark, path, mark = df.sparkSession, f"{stem}.parquet", uuid.uuid4().hex
+    fresh, old = f"{stem}.new-{mark}", f"{stem}.old-{mark}"
+    fs, where = _fs(spark, path)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    out = df.write.option("compression", "zstd")
+    try:
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(fresh)
+    except Exception:
+        fs.delete(at(fresh), True)
+        raise
+    if fs.exists(where):
+        fs.rename(where, at(old))
+    if not fs.rename(at(fresh), where):
+        raise OSError(f"{fresh} could not be renamed to {path}")
+    fs.delete(at(old), True)
+    return path
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
