@@ -5,20 +5,39 @@ Rows are first summed by score, so what is ordered afterwards is one row a disti
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pin import pinned
+
 
 def by_score(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, score, n, tp, cum_n, cum_tp, all_n, all_tp): running sums from the highest score down."""
+    """(keys, score, n, tp, cum_n, cum_tp, all_n, all_tp, next_n, next_tp): running sums from the highest score
+    down, and the counts of the next lower score.
+
+    Scores are dealt by range, summed by part, and the parts' sums (a row a part and key) shift the rest,
+    so no task sees all scores of a key.
+    """
     sums = df.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("tp"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return sums.select(
-        *keys, "score", "n", "tp", F.sum("n").over(down).alias("cum_n"), F.sum("tp").over(down).alias("cum_tp"), F.sum("n").over(whole).alias("all_n"), F.sum("tp").over(whole).alias("all_tp")
-    )
+    ranged = pinned(sums.repartitionByRange(*keys, F.desc("score")).withColumn("__part", F.spark_partition_id()))
+    first = lambda c: F.max_by(c, F.struct(F.col("score").isNotNull(), "score"))
+    parts = ranged.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"), F.sum("tp").alias("__tp"), first("n").alias("__first_n"), first("tp").alias("__first_tp"))
+    onward = Window.partitionBy(*keys).orderBy("__part")
+    whole, above = Window.partitionBy(*keys), onward.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__up_n"), F.coalesce(F.sum("__tp").over(above), F.lit(0)).alias("__up_tp"),
+        F.sum("__n").over(whole).alias("all_n"), F.sum("__tp").over(whole).alias("all_tp"), F.lead("__first_n").over(onward).alias("__next_n"), F.lead("__first_tp").over(onward).alias("__next_tp"),
+    )
+    order = Window.partitionBy(*keys, "__part").orderBy(F.desc("score"))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.select(*keys, "__part", "score", "n", "tp", F.sum("n").over(down).alias("cum_n"), F.sum("tp").over(down).alias("cum_tp"), F.lead("n").over(order).alias("next_n"), F.lead("tp").over(order).alias("next_tp"))
+    same = F.col("__part") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return own.join(parts, same).select(
+        *keys, "score", "n", "tp", (F.col("cum_n") + F.col("__up_n")).alias("cum_n"), (F.col("cum_tp") + F.col("__up_tp")).alias("cum_tp"), "all_n", "all_tp",
+        F.coalesce("next_n", "__next_n").alias("next_n"), F.coalesce("next_tp", "__next_tp").alias("next_tp"),
+    )
 
 
 def auc(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,11 +64,9 @@ def pr_curve(df: DataFrame, *keys: str) -> DataFrame:
 def roc_curve(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, threshold, fpr, tpr) from (0, 0); points on a straight line between others are left out."""
     own = by_score(df, *keys).withColumn("fp", F.col("cum_n") - F.col("cum_tp"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
-    dx, dy = F.col("fp") - before("fp"), F.col("cum_tp") - before("cum_tp")
-    dx2, dy2 = F.lead("fp").over(order) - F.col("fp"), F.lead("cum_tp").over(order) - F.col("cum_tp")
-    kept = own.withColumn("bend", dx2.isNull() | (dx * dy2 != dy * dx2)).filter("bend")
+    dx, dy = F.col("n") - F.col("tp"), F.col("tp")
+    dx2, dy2 = F.col("next_n") - F.col("next_tp"), F.col("next_tp")
+    kept = own.filter(dx2.isNull() | (dx * dy2 != dy * dx2))
     points = kept.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("fp").cast("double"), F.col("all_n") - F.col("all_tp")).alias("fpr"), F.try_divide(F.col("cum_tp").cast("double"), F.col("all_tp")).alias("tpr"))
     start = own.select(*keys).distinct() if keys else own.select(F.lit(1)).limit(1)
     return start.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).unionByName(points)
@@ -76,9 +93,15 @@ def f1(tp: Column, predicted: Column, positives: Column) -> Column:
 
 
 def best_f1(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, best_f1, threshold); of equal ones the lowest threshold."""
-    own = by_score(df, *keys).withColumn("f1", f1(F.col("cum_tp"), F.col("cum_n"), F.col("all_tp")))
-    return own.groupBy(*keys).agg(F.max("f1").alias("best_f1"), F.min_by("score", F.struct(-F.col("f1"), "score")).alias("threshold"))
+    """(keys, best_f1, threshold, precision, recall); of equal ones the lowest threshold."""
+    return _best(by_score(df, *keys), *keys)
+
+
+def _best(own: DataFrame, *keys: str) -> DataFrame:
+    own = own.withColumn("f1", f1(F.col("cum_tp"), F.col("cum_n"), F.col("all_tp")))
+    at = F.struct("score", (F.col("cum_tp") / F.col("cum_n")).alias("precision"), F.coalesce(F.try_divide(F.col("cum_tp").cast("double"), F.col("all_tp")), F.lit(0.0)).alias("recall"))
+    found = own.groupBy(*keys).agg(F.max("f1").alias("best_f1"), F.min_by(at, F.struct(-F.col("f1"), "score")).alias("at"))
+    return found.select(*keys, "best_f1", F.col("at.score").alias("threshold"), "at.precision", "at.recall")
 
 
 def f1_at(df: DataFrame, threshold: float, *keys: str) -> DataFrame:
@@ -88,11 +111,30 @@ def f1_at(df: DataFrame, threshold: float, *keys: str) -> DataFrame:
     return sums.select(*keys, f1(F.col("tp"), F.col("p"), F.col("pos")).alias("f1"))
 
 
-def extra_metrics(df: DataFrame, *keys: str, at: tuple[int, ...] = (100,), shares: tuple[float, ...] = (0.01,)) -> DataFrame:
-    """One row of F1 at 0.5, best F1, precisions and R-precision by ``keys`` (at least one)."""
-    out = f1_at(df, 0.5, *keys).withColumnRenamed("f1", "f1_05").join(best_f1(df, *keys), [*keys])
-    for k in at:
-        out = out.join(precision_at(df, k, *keys).select(*keys, F.col("precision").alias(f"p_at_{k}")), [*keys])
-    for s in shares:
-        out = out.join(precision_at(df, float(s), *keys).select(*keys, F.col("precision").alias(f"p_at_{math.ceil(s * 100)}pct")), [*keys])
-    return out.join(r_precision(df, *keys).select(*keys, F.col("precision").alias("p_at_r")), [*keys])
+def k_label(k: int | float) -> str:
+    """P@100 for a count, P@0.5% for a share of the rows."""
+    return f"P@{k * 100:g}%" if isinstance(k, float) and 0 < k < 1 else f"P@{int(k)}"
+
+
+def extra_metrics(df: DataFrame, *keys: str, at: tuple[int, ...] = (100,), shares: tuple[float, ...] = (), r_precision: bool = False) -> DataFrame:
+    """By ``keys``, F1@0.5, F1_best with its threshold, precision and recall, P@k, P@x% and P@R.
+
+    A precision at more rows than there are is null. Equal labels of ``at`` and ``shares`` are given once.
+    """
+    own = pinned(by_score(df, *keys))
+    sizes = {k_label(k): F.lit(int(k)).cast("long") for k in at} | {k_label(float(x)): F.ceil(F.col("all_n") * F.lit(float(x))).cast("long") for x in shares}
+    if r_precision:
+        sizes["P@R"] = F.col("all_tp").cast("long")
+    held = []
+    for name, k in sizes.items():
+        slots = F.greatest(F.lit(0), F.least(F.col("n"), k - (F.col("cum_n") - F.col("n"))))
+        size = F.max(k)
+        held.append(F.when((size >= 1) & (size <= F.max("all_n")), F.sum(slots * F.col("tp") / F.col("n")) / F.nullif(size, F.lit(0).cast("long"))).alias(name))
+    hit = F.col("score") >= F.lit(0.5)
+    sure = f1(F.sum(F.when(hit, F.col("tp")).otherwise(0)), F.sum(F.when(hit, F.col("n")).otherwise(0)), F.max("all_tp")).alias("F1@0.5")
+    best = _best(own, *keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("best_f1").alias("F1_best"), F.col("threshold").alias("F1_best_threshold"), F.col("precision").alias("F1_best_precision"), F.col("recall").alias("F1_best_recall"))
+    found = own.groupBy(*keys).agg(sure, *held)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return found.join(best, same).drop(*[f"__{k}" for k in keys])

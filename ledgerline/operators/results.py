@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RESULT_COLUMNS = ["dataset", "run_tag", "K", "task", "model", "split", "AUC_PR", "AUC_ROC", "PREVALENCE"]
-
 
 def parse_metric_blocks(files: DataFrame) -> DataFrame:
     """(path, model, auc_pr, auc_roc, prevalence) of text dumps (path, value), whatever the order of lines.
@@ -25,14 +23,59 @@ def read_metric_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_parts(path: str = "path") -> list:
-    """run_tag, K and task from file names such as d1_echo3_K7_nowcast."""
+    """dataset, run_tag, K, task, kind and models of a dump's file name.
+
+    Names are DATASET_TAG_Kn_TASK_KIND[_MODELS].txt, DATASET_features_MODEL.txt or DATASET_CNN.txt; what a
+    name does not hold is null.
+    """
     last = F.regexp_extract(path, r"([^/]*)$", 1)
-    return [F.regexp_extract(last, r"([hdwm][0-9.]+_(?:echo|w)[0-9.]+)", 1).alias("run_tag"), F.regexp_extract(last, r"K([0-9]+)", 1).try_cast("int").alias("K"), F.regexp_extract(last, r"(nowcast|forecast)", 1).alias("task")]
+    timed = r"^(.+?)_([a-z][0-9]+_(?:echo|w)[0-9]+)_K([0-9]+)_(nowcast|forecast)_([a-z]+)(?:_([A-Za-z][A-Za-z-]*))?\.txt$"
+    still, picture = r"^(.+)_features_([A-Za-z]+)\.txt$", r"^(.+)_(CNN)\.txt$"
+    get = lambda pattern, i: F.nullif(F.regexp_extract(last, pattern, i), F.lit(""))
+    kind = F.coalesce(get(timed, 5), F.when(last.rlike(still), "features"), F.when(last.rlike(picture), "cnn"))
+    return [
+        F.coalesce(get(timed, 1), get(still, 1), get(picture, 1)).alias("dataset"), get(timed, 2).alias("run_tag"), get(timed, 3).try_cast("int").alias("K"),
+        get(timed, 4).alias("task"), kind.alias("kind"), F.coalesce(get(timed, 6), get(still, 2), get(picture, 2)).alias("models"),
+    ]
+
+
+def _short(values: list) -> str:
+    """The first and last three numbers of a long list, as the dumps have them."""
+    shown = [f"{v:g}" for v in values]
+    return "[" + " ".join(shown if len(shown) <= 6 else [*shown[:3], "...", *shown[-3:]]) + "]"
 
 
 def metrics_text(model: str, auc_pr: float, auc_roc: float, fpr: list, tpr: list, precision: list, recall: list) -> str:
     """The block that ``parse_metric_blocks`` reads."""
-    return f"Model: {model}\nAUC PR: {auc_pr}\nAUC ROC: {auc_roc}\nFPR: {fpr}\nTPR: {tpr}\nPrecision: {precision}\nRecall: {recall}\n"
+    lists = {"FPR": fpr, "TPR": tpr, "Precision": precision, "Recall": recall}
+    return f"Model: {model}\nAUC PR: {auc_pr}\nAUC ROC: {auc_roc}\n" + "".join(f"{k}: {_short(v)}\n" for k, v in lists.items())
+
+
+def write_metrics(scores: DataFrame, stem: str, model: str = "model") -> DataFrame:
+    """Stores areas and prevalence of (model, y, score) as ``stem``.parquet, a row a model, and the curves beside it.
+
+    ``stem``.txt gets a block a model for those who read dumps: curves by their ends, prevalence first.
+    """
+    from ..sources.tables import save_table, write_text
+    from .metrics import auc, pr_curve, roc_curve
+
+    spark = scores.sparkSession
+    areas = spark.read.parquet(save_table(auc(scores, model), stem))
+    pr, roc = (spark.read.parquet(save_table(curve(scores, model), f"{stem}_{name}")) for name, curve in (("pr", pr_curve), ("roc", roc_curve)))
+
+    def ends(df: DataFrame, name: str, columns: list[str], ascending: bool) -> dict[str, list]:
+        """At most seven points of a curve; only the ends of long ones are shown."""
+        down = Window.partitionBy(model).orderBy(F.asc_nulls_last("threshold") if ascending else F.desc("threshold"))
+        up = Window.partitionBy(model).orderBy(F.desc_nulls_first("threshold") if ascending else F.asc("threshold"))
+        few = df.withColumn("__a", F.row_number().over(down)).withColumn("__z", F.row_number().over(up)).filter("__a <= 4 or __z <= 3")
+        return {c: [r[c] for r in few.filter(F.col(model).eqNullSafe(F.lit(name))).orderBy("__a").collect()] for c in columns}
+
+    blocks = []
+    for r in areas.orderBy(model).collect():  # a row a model
+        a, b = ends(pr, r[model], ["precision", "recall"], True), ends(roc, r[model], ["fpr", "tpr"], False)
+        blocks.append(metrics_text(r[model], r.auc_pr, r.auc_roc, b["fpr"], b["tpr"], a["precision"], a["recall"]))
+    write_text(spark, f"{stem}.txt", "\n".join(blocks))
+    return areas
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -23,6 +23,11 @@ def label_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.join(labels.select(KEY, "node", "label"), [KEY, "node"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def static_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of the nodes that have a label, with it; a static table has no snapshots."""
+    return features.join(labels.select("node", "label"), "node")
+
+
 def node_codes(df: DataFrame, column: str = "node") -> DataFrame:
     """(node, node_code): codes 0.. in the order of the nodes.
 
@@ -46,7 +51,8 @@ def store_rows(labelled: DataFrame, columns: list[str] | None = None) -> DataFra
     columns = FEATURES if columns is None else columns
     f = F.array(*[scrub(F.col(c).cast("float")) for c in columns])
     own = labelled.select(KEY, F.col("node").cast("string").alias("node"), F.col("label").cast("float").alias("label"), f.alias("f"))
-    return _numbered(own, KEY, ["node"]).select(F.col("__n").alias("row_id"), KEY, "node", "label", "f")
+    ranged = pinned(own.repartitionByRange(KEY, "node").withColumn("__part", F.spark_partition_id()))  # a snapshot is several tasks
+    return _numbered(ranged, "__part", [KEY, "node"]).select(F.col("__n").alias("row_id"), KEY, "node", "label", "f")
 
 
 def offsets(rows: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -17,6 +17,18 @@ BANK_LAST, MIXED_END = "2022-09-11 00:00:00", "2025-12-31 00:00:00"
 CANONICAL = ["src", "dst", "ts", "amount", "label"]
 
 
+def label_table(df: DataFrame) -> DataFrame:
+    """(node, label) of a table of two columns, whatever their names: ids as strings, labels coerced."""
+    if len(df.columns) != 2:
+        raise ValueError(f"a label table has two columns, not {df.columns}")
+    return df.toDF("node", "label").select(F.col("node").cast("string").alias("node"), label("label").alias("label"))
+
+
+def in_time(tx: DataFrame, *ties: str) -> DataFrame:
+    """Transactions ordered by time; ``ties`` (by default all other columns) decide among equal times."""
+    return tx.orderBy("ts", *(ties or [c for c in tx.columns if c != "ts"]))
+
+
 def no_self_loops(df: DataFrame) -> DataFrame:
     return df.filter("src <> dst")
 
