@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .functions import fx, scalars
 from .operators import community, graph, metrics, models, neighbourhood, results, snapshots, windows
+from .plans import features as plans
 from .schema import BLOCKS, FEATURES, STATS, VALUES
-from .sources import adapters, loaders
+from .shared import shared_folder
+from .sources import adapters, loaders, tables
 from .sources.tables import scores_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +177,77 @@ def fx_unmapped_guard(spark, sf_dir):
     return fx.unmapped(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("currency")), "currency", fx.BANK_RATES, fx.CODES)
 
 
+# raw files of the three formats, written from events and read by the loaders; every event is a line
+
+
+def _raw(df: DataFrame, name: str) -> str:
+    """A folder that holds ``df`` as the CSV file ``name``; it goes when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    df.write.csv(f"{folder}/{name}", header=True)
+    fs, where = tables._fs(spark, folder)
+    fs.deleteOnExit(where)
+    return folder
+
+
+def _lines(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
+    """Text columns from expressions that Spark and DuckDB read alike."""
+    return _table(spark, sf_dir, "events").select(*[F.expr(e.replace("varchar", "string")).cast("string").alias(c) for c, e in columns.items()])
+
+
+_BANK_DAY, _BANK_MINUTE = "event_id * 13 % 14 + 1", "event_id * 7 % 1440"
+_BANK = {
+    "Timestamp": f"'2022/09/' || lpad(cast({_BANK_DAY} as varchar), 2, '0') || ' ' || lpad(cast(cast(floor(({_BANK_MINUTE}) / 60) as int) as varchar), 2, '0') || ':' || lpad(cast(({_BANK_MINUTE}) % 60 as varchar), 2, '0')",
+    "From Bank": "'1'", "Account": "'A' || cast(user_id % 50 as varchar)", "To Bank": "'2'", "Account.1": "'A' || cast(event_id % 50 as varchar)", "Amount Received": "'1'", "Receiving Currency": "'Euro'",
+    "Amount Paid": "case when event_id % 11 = 0 then 'x' else cast(event_id % 1000 as varchar) end", "Payment Currency": "", "Payment Format": "'Wire'", "Is Laundering": "case event_id % 3 when 0 then '1' when 1 then '0' else '' end",
+}
+_BANK["Payment Currency"] = "case event_id % 15 " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(fx.CODES)) + " end"
+
+
+@_query(f"""with raw as (select {_BANK['Account']} as src, {_BANK['Account.1']} as dst, strptime({_BANK['Timestamp']}, '%Y/%m/%d %H:%M') as ts, try_cast({_BANK['Amount Paid']} as double) as amount, {_BANK['Payment Currency']} as currency, event_id % 3 = 0 as label from events)
+select src, dst, ts, round(amount / {_RATES_SQL}[currency] + {_off_ties(4)!r}, 4) as amount, label from raw where src <> dst and amount is not null and ts <= timestamp '{loaders.BANK_LAST}'""")
+def load_bank(spark, sf_dir):
+    return _rounded_off_ties(loaders.load(spark, "bank", _raw(_lines(spark, sf_dir, _BANK), "HI-Small_Trans.csv")), 4)
+
+
+_SIM = {
+    "TX_ID": "event_id", "SENDER_ACCOUNT_ID": "user_id", "RECEIVER_ACCOUNT_ID": "event_id * 31 % 500", "TIMESTAMP": "event_id % 30",
+    "TX_AMOUNT": "case when event_id % 13 = 0 then null else cast(event_id % 977 as varchar) end", "IS_FRAUD": "case when event_id % 17 = 0 then 'True' else 'False' end",
+}
+_SIM_TX = f"tx as (select cast(user_id as varchar) as src, cast({_SIM['RECEIVER_ACCOUNT_ID']} as varchar) as dst, timestamp '1970-01-01 00:00:00' + to_days(cast({_SIM['TIMESTAMP']} as integer)) as ts, cast({_SIM['TX_AMOUNT']} as double) as amount, event_id % 17 = 0 as label from events where user_id <> {_SIM['RECEIVER_ACCOUNT_ID']}), g as (select min(epoch_us(ts)) as a, max(epoch_us(ts)) as z from tx)"
+
+
+@_query(f"with {_SIM_TX} select src, dst, ts, amount, label from tx")
+def load_simulator(spark, sf_dir):
+    return loaders.load(spark, "simulator", _raw(_lines(spark, sf_dir, _SIM), "transactions.csv"))
+
+
+_MIX = {
+    "src": "case when event_id % 9 = 0 then 'individual_' else 'a' end || cast(user_id % 50 as varchar)", "dest": "'a' || cast(event_id % 50 as varchar)", "timestamp": "case when event_id % 8 = 0 then '2025-12-31T00:00:00' else '2025-05-01T10:00:00.123456' end",
+    "amount": "cast(event_id % 1000 as varchar)", "currency": "case event_id % 3 " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(list(fx.MIXED_RATES)[:3])) + " end", "is_fraudulent": "cast(event_id % 2 as varchar)", "edge_type": "case when event_id % 10 = 0 then 'ownership' else 'transaction' end",
+}
+_MIX_SQL = f"""with raw as (select {_MIX['src']} as src, {_MIX['dest']} as dst, cast({_MIX['timestamp']} as timestamp) as ts, event_id % 1000 / cast(case {_MIX['currency']} {" ".join(f"when '{n}' then {fx.MIXED_RATES[n]}" for n in list(fx.MIXED_RATES)[:3])} end as double) as amount, event_id % 2 = 1 as label, {_MIX['edge_type']} as kind from events)
+select src, dst, ts, round(amount + {_off_ties(4)!r}, 4) as amount, label from raw where kind = 'transaction' and not starts_with(src, 'individual') and src <> dst and ts < timestamp '{loaders.MIXED_END}'"""
+
+
+@_query(_MIX_SQL)
+def load_mixed(spark, sf_dir):
+    return _rounded_off_ties(loaders.load(spark, "mixed", _raw(_lines(spark, sf_dir, _MIX), "generated_edges_HI.csv")), 4)
+
+
+@_query(_MIX_SQL)
+def load_mixed_slim(spark, sf_dir):
+    """By way of the slim stored copy, which the loader prefers."""
+    folder = _raw(_lines(spark, sf_dir, _MIX), "generated_edges_HI.csv")
+    tables.convert(loaders.mixed_edges(spark.read.csv(f"{folder}/generated_edges_HI.csv", header=True)), f"{folder}/generated_edges_HI")
+    return _rounded_off_ties(loaders.load(spark, "mixed", folder), 4)
+
+
+@_query("select cast(doc_id as varchar) as node, toxic <> 0 as label from labels")
+def label_table(spark, sf_dir):
+    return loaders.label_table(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("Account"), F.col("toxic").alias("Is Laundering")))
+
+
 _LABEL_TEXT = "case event_id % 6 when 0 then '1' when 1 then '0' when 2 then 'True' when 3 then 'x' when 4 then '' else null end"
 
 
@@ -401,6 +476,17 @@ def intra_community_edges(spark, sf_dir):
     return graph.within(edges, community.louvain_communities(edges)).select("snapshot_id", "src", "dst", "num_trans")
 
 
+_SIM_E = f"{_placed(5, 5, _SIM_TX)},\ne as (select snapshot_id, src, dst, cast(1 as double) as weight, {_AGG} from placed group by all)"
+
+
+@_query(_features_sql(FEATURES, _SIM_E))
+def extracted_features(spark, sf_dir):
+    """End to end: raw file, snapshots of five days, stored features, read back."""
+    folder = _raw(_lines(spark, sf_dir, _SIM), "transactions.csv")
+    stored = plans.extract(spark, Settings(dataset="simulator", step=5, width=5), folder, f"{folder}/out", "none")
+    return _rounded_off_ties(stored.select("snapshot_id", "node", *FEATURES))
+
+
 @_query()
 def louvain_edges(spark, sf_dir):
     return community.prune(_edges(spark, sf_dir), "louvain")
@@ -478,9 +564,9 @@ def node_dictionary(spark, sf_dir):
     return windows.node_codes(_labels(spark, sf_dir).select(F.col("node").cast("string").alias("node")))
 
 
-def _windows_sql(k: int, task: str) -> str:
+def _windows_sql(k: int, task: str, rows: str | None = None) -> str:
     base = k - 1 if task == "nowcast" else k
-    return f"""{_ROWS},
+    return f"""{rows or _ROWS},
 probe as (select a.snapshot_id as anchor, a.node, cast(s as integer) as slot, coalesce(b.row_id, -1) as row_id, a.label as y
   from rows_ a cross join (select unnest(range({k})) as s) left join rows_ b on b.node = a.node and b.snapshot_id = a.snapshot_id - {base} + s where a.snapshot_id >= {base})"""
 
@@ -523,8 +609,37 @@ def window_flatten(spark, sf_dir):
     return flat.select("anchor", "node", "y", F.round(v(0) + 3 * v(2) + 5 * v(4), 2).alias("s1"), F.round(v(1) + v(3) + v(5), 2).alias("s2"), F.size("v").cast("long").alias("n"))
 
 
-def _banded_sql(k: int) -> str:
-    return f"{_windows_sql(k, 'nowcast')}, t as (select max(anchor) as top from probe), banded as (select probe.*, case when anchor > top - 8 then 'test' when anchor > top - 16 then 'val' else 'train' end as band from probe, t)"
+_ROWS90 = f"{E_SQL}, {_LAB}, {BLOCK}, rows_ as (select row_number() over (order by wide.snapshot_id, cast(ego as varchar)) - 1 as row_id, wide.snapshot_id, cast(ego as varchar) as node, cast(coalesce(label, 0) as float) as label, {', '.join(f'cast({_feature_sql(n)} as float) as {n}' for n in FEATURES)} from wide left join lab on lab.snapshot_id = wide.snapshot_id and lab.node = wide.ego)"
+
+
+def _rows90(spark, sf_dir):
+    return windows.store_rows(windows.label_rows(_features(spark, sf_dir), _labels(spark, sf_dir)))
+
+
+@_query(f"with {_ROWS90} select row_id, snapshot_id, node, label, {', '.join(f'round(cast({n} as double) + {_off_ties(2)!r}, 2) as {n}' for n in FEATURES)} from rows_")
+def store_rows_90(spark, sf_dir):
+    return _rows90(spark, sf_dir).select("row_id", "snapshot_id", "node", "label", *[F.round(F.col("f")[i].cast("double") + F.lit(_off_ties(2)), 2).alias(n) for i, n in enumerate(FEATURES)])
+
+
+def _flat90(k: int, task: str) -> Query:
+    def run(spark, sf_dir):
+        rows = _rows90(spark, sf_dir)
+        flat = windows.flatten(windows.dense(windows.windows(rows, k, task), rows, 90), task)
+        total = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i % 7 + 1)), F.lit(0.0), lambda a, x: a + x)
+        return flat.select("anchor", "node", "y", F.round(total + F.lit(_off_ties(1)), 1).alias("total"), F.size("v").cast("long").alias("n"))
+
+    return run
+
+
+for _task, _first, _n in (("nowcast", 2, 90), ("forecast", 0, 270)):
+    _f = _flat90(3, _task)
+    _f.__name__ = f"window_flatten_90_{_task}"
+    _terms = " + ".join(f"coalesce(cast({n} as double), 0) * (((slot - {_first}) * 90 + {i}) % 7 + 1)" for i, n in enumerate(FEATURES))
+    _query(f"with {_windows_sql(3, _task, _ROWS90)} select p.anchor, p.node, cast(max(p.y) as float) as y, round(sum({_terms}) + {_off_ties(1)!r}, 1) as total, cast({_n} as bigint) as n from probe p left join rows_ r using (row_id) where slot >= {_first} group by all")(_f)
+
+
+def _banded_sql(k: int, rows: str | None = None) -> str:
+    return f"{_windows_sql(k, 'nowcast', rows)}, t as (select max(anchor) as top from probe), banded as (select probe.*, case when anchor > top - 8 then 'test' when anchor > top - 16 then 'val' else 'train' end as band from probe, t)"
 
 
 def _banded(spark, sf_dir):
@@ -553,6 +668,16 @@ def scaler_stats(spark, sf_dir):
     return _rounded(_fitted(spark, sf_dir), 4)
 
 
+_SCALER90 = f"{_banded_sql(4, _ROWS90)}, cell as (select distinct row_id from banded where band = 'train' and row_id >= 0), fit as (select {', '.join(f'avg(cast({n} as double)) as m{i}, greatest(stddev_pop(cast({n} as double)), 1e-8) as s{i}' for i, n in enumerate(FEATURES))} from rows_ join cell using (row_id))"
+
+
+@_query(f"with {_SCALER90} " + " union all ".join(f"select {i} as feature, round(m{i} + {_off_ties(3)!r}, 3) as mean, round(s{i} + {_off_ties(3)!r}, 3) as std from fit" for i in range(90)))
+def scaler_stats_90(spark, sf_dir):
+    rows = _rows90(spark, sf_dir)
+    cut = windows.bands(windows.windows(rows, 4, "nowcast"), 8, 8)
+    return _rounded_off_ties(windows.scaler(cut.filter("band = 'train'"), rows, 90), 3)
+
+
 @_query(f"with {_SCALER} select row_id, round((f1 - m1) / s1, 3) as f1, round((f2 - m2) / s2, 3) as f2 from rows_, fit")
 def scaled_rows(spark, sf_dir):
     f = lambda i: F.round(F.col("f")[i].cast("double"), 3).alias(f"f{i + 1}")
@@ -592,6 +717,25 @@ def rounded_class_ratio(spark, sf_dir):
     return windows.rounded_class_ratio(_table(spark, sf_dir, "labels").select(F.col("toxic").alias("y")), 0.01)
 
 
+@_query("select cast(doc_id as varchar) as node, n_chars, toxic <> 0 as label from documents join labels using (doc_id)")
+def static_rows(spark, sf_dir):
+    own = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node"), "n_chars")
+    return windows.static_rows(own, loaders.label_table(_table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+@_query("select event_id, 'b' || cast(event_id % 7 as varchar) as dataset, 'd1_echo3' as run_tag, cast(event_id % 9 as integer) as K, case when event_id % 2 = 0 then 'nowcast' else 'forecast' end as task, 'baselines' as kind, case when event_id % 3 = 0 then 'XGBoost' end as models from events")
+def name_parts(spark, sf_dir):
+    name = F.expr("'/x/y_z/b' || cast(event_id % 7 as string) || '_d1_echo3_K' || cast(event_id % 9 as string) || case when event_id % 2 = 0 then '_nowcast' else '_forecast' end || '_baselines' || case when event_id % 3 = 0 then '_XGBoost' else '' end || '.txt'")
+    return _table(spark, sf_dir, "events").select("event_id", name.alias("path")).select("event_id", *results.name_parts())
+
+
+@_query(f"with {TX} select cast(row_number() over (order by ts, src, dst, amount, label) - 1 as bigint) as position, src, dst, ts from tx")
+def transfers_in_time(spark, sf_dir):
+    """Ordered by time, ties by the other columns; the places are given by ranges."""
+    ordered = loaders.in_time(_transfers(spark, sf_dir)).withColumn("__part", F.spark_partition_id())
+    return windows._numbered(windows.pinned(ordered), "__part", ["ts", "src", "dst", "amount", "label"]).select(F.col("__n").alias("position"), "src", "dst", "ts")
+
+
 @_query()
 def sampled_nodes(spark, sf_dir):
     """Sampling is the feature; its pool is every node of every snapshot."""
@@ -646,9 +790,12 @@ def r_precision(spark, sf_dir):
     return _rounded(metrics.r_precision(_scores(spark, sf_dir)), 9)
 
 
-@_query(f"with {S_SQL}, f as (select score, 2.0 * ct / (cn + allp) as f1 from r) select round(f1, 9) as best_f1, score as threshold from f order by f.f1 desc, score limit 1")
+_BEST = "best as (select 2.0 * ct / (cn + allp) as f1, score as threshold, ct / cn as p, ct / allp as q from r order by 2.0 * ct / (cn + allp) desc, score limit 1)"
+
+
+@_query(f"with {S_SQL}, {_BEST} select round(f1, 9) as best_f1, threshold, round(p, 9) as precision, round(q, 9) as recall from best")
 def best_f1(spark, sf_dir):
-    return metrics.best_f1(_scores(spark, sf_dir)).select(F.round("best_f1", 9).alias("best_f1"), "threshold")
+    return metrics.best_f1(_scores(spark, sf_dir)).select(F.round("best_f1", 9).alias("best_f1"), "threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 @_query(f"with {S_SQL} select round(coalesce(2.0 * sum(y) filter (score >= 0.5) / nullif(count(*) filter (score >= 0.5) + sum(y), 0), 0), 9) as f1 from s")
@@ -672,9 +819,17 @@ def predictions_long(spark, sf_dir):
     return long.groupBy("model").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
-@_query()
+def _at_sql(k: str) -> str:
+    return f"(select case when max(k) between 1 and max(alln) then round(sum(greatest(0, least(n, k - (cn - n))) * tp / n) / max(k), 9) end from (select *, {k} as k from r))"
+
+
+@_query(f"""with {S_SQL}, {_BEST} select 'scores' as model, (select round(2.0 * sum(y) filter (score >= 0.5) / (count(*) filter (score >= 0.5) + sum(y)), 9) from s) as f1_at_05,
+  round(f1, 9) as f1_best, threshold as f1_best_threshold, round(p, 9) as f1_best_precision, round(q, 9) as f1_best_recall, {_at_sql('50')} as p_at_50, {_at_sql('1000000')} as p_at_1000000,
+  {_at_sql('ceil(alln * 0.005)')} as p_at_05pct, {_at_sql('ceil(alln * 0.1)')} as p_at_10pct, {_at_sql('allp')} as p_at_r from best""")
 def extra_metrics(spark, sf_dir):
-    return metrics.extra_metrics(_scores(spark, sf_dir).withColumn("model", F.lit("scores")), "model", at=(50,), shares=(0.1,))
+    found = metrics.extra_metrics(_scores(spark, sf_dir).withColumn("model", F.lit("scores")), "model", at=(50, 1_000_000), shares=(0.005, 0.1), r_precision=True)
+    names = {"F1@0.5": "f1_at_05", "F1_best": "f1_best", "F1_best_threshold": "f1_best_threshold", "F1_best_precision": "f1_best_precision", "F1_best_recall": "f1_best_recall", "P@50": "p_at_50", "P@1000000": "p_at_1000000", "P@0.5%": "p_at_05pct", "P@10%": "p_at_10pct", "P@R": "p_at_r"}
+    return _rounded(found.withColumnsRenamed(names), 9)
 
 
 @_query("select doc_id as id, round(case when z > 0 then ln(1 + exp(-z)) else -z + ln(1 + exp(z)) end * (1 + 2.0 * y) + (1 - y) * z, 9) as loss from (select doc_id, toxic as y, (n_chars % 17 - 8) / 4.0 as z from labels join documents using (doc_id))")
