@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare, text_or_empty
+from .common import lean, prepare, Scratch, text_or_empty
 from .tokens import tokens
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -101,6 +101,7 @@ class _Windows:
             yield self.window()
 
 
+@lean
 def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int, schema: pa.Schema, paths: tuple) -> Iterator[pa.RecordBatch]:
     """(conv_id, turn, role, text) sorted by conversation and turn -> windows."""
     encode = tokens(*paths)
@@ -152,6 +153,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+@lean
 def _digests(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Windows sorted by conversation -> what the conversations say, read from the windows alone."""
     out: list[list] = [[] for _ in schema]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,28 @@ def batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+#: Caches of the workers that tasks fill and leave empty.
+CACHES: list[dict] = []
+
+
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function of batches after which the worker, which goes on to other tasks, gives back what it held."""
+
+    @functools.wraps(run)
+    def whole(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            for cache in CACHES:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 class Scratch:
     """Tables of one operator call, written to the shared folder so that lost executors cost nothing.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches as batches_of, partitions, prepare
+from .common import batches as batches_of, lean, partitions, prepare, Scratch
 
 #: Pivots; rows of the sample that they are fitted on and that bounds are taken from; bins of a summary.
 PIVOTS, SAMPLE, BINS = 64, 2048, 64
@@ -176,6 +176,7 @@ BLOBS = "block string, data boolean, rows binary, ids binary, nils binary, m bin
 _BLOBS = pa.schema([("block", pa.string()), ("data", pa.bool_()), ("rows", pa.binary()), ("ids", pa.binary()), ("nils", pa.binary()), ("m", pa.binary())])
 
 
+@lean
 def _solve(batches: Iterator[pa.RecordBatch], dims: int, kind: str, k: int) -> Iterator[pa.RecordBatch]:
     """Blobs sorted by block, its queries (in several rows) first -> each query's best k in this task."""
     best, now, waiting = None, None, []
@@ -223,6 +224,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     width = (shape.square**0.5 + np.sqrt((p**2).sum(1)).max()) * (1 + 1e-9) / BINS + 1e-9
     upper = width * np.arange(1, BINS + 1)
 
+    @lean
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(p), BINS), np.int64)
         for b in batches:
@@ -236,6 +238,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         for r in own.select("v").mapInArrow(summary, "cell int, bin int, n long").groupBy("cell", "bin").agg(F.sum("n").alias("n")).collect():
             counts[r.cell, r.bin] = r["n"]
 
+    @lean
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each query cell the queries that it holds and, for each data cell, the least distance needed."""
         least, held = np.full((len(p), len(p)), np.inf), np.zeros(len(p), np.int64)
@@ -266,6 +269,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         left = sum(size[g] * int((counts * (upper >= from_[g][:, None])).sum()) for g in groups)
         report["share"] = left / (sum(held.values()) * shape.n)
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, vec_id, v, is_query) -> blobs: queries to every split of their block, vectors to one."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, prepare, text_or_empty, without
+from .common import free_name, lean, prepare, Scratch, text_or_empty, without
 
 #: The bounded sample of labelled rows: rows of a language, slices drawn from all over a text and their
 #: characters (shorter texts are taken whole), and the most languages (more are an error).
@@ -226,6 +226,7 @@ def label(docs: DataFrame, net: Net | None, text_col: str = "text", names: tuple
     own = docs.select(*[docs[c] for c in rest], docs[text_col], text_or_empty(text_col).rlike(LETTER).alias(letter))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, known = b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_numpy(zero_copy_only=False)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, batches as batches_of, free_name, maybe, prepare
+from .common import CACHES, batches as batches_of, free_name, lean, maybe, prepare, Scratch
 from .tokens import tokens as encoder
 
 #: Labelled rows that the classifier may learn from (where ids repeat, the first by a hash); hashed
@@ -59,6 +59,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES.append(_words)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +91,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sam
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__domain").limit(sample).dropDuplicates(["__id"])
     own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -126,6 +128,7 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), *T.StructType.fromDDL("key long, tokens long, posterior array<double>").fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             encode, texts = encoder(*paths), [t or "" for t in b.column(2).to_pylist()]
@@ -175,6 +178,7 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) ->
     scale = mean / np.maximum(totals, 1e-9 * totals.sum())
     want = goal / mean * scale  # in the units of a
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch], tries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(tries), 1 + d + d * d))
         for b in batches:
@@ -222,6 +226,7 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) ->
 def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
     schema = T.StructType([*soft.schema.fields, T.StructField("rate", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, fit.scale, fit.mean), fit.history))], names=schema.names)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, maybe, partitions, prepare, without
+from .common import lean, maybe, partitions, prepare, Scratch, without
 from .components import components
 from .shingles import U, digest, mix, shingle_set
 
@@ -95,6 +95,7 @@ def signatures(rule: Rule, edges: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(id, key, text) -> (id, key, n, digest, bits)."""
     for b in batches:
@@ -102,6 +103,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["id", "key", "n", "digest", "bits"])
 
 
+@lean
 def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, keys: list[int]) -> Iterator[pa.RecordBatch]:
     """(text) -> (key, sigs, who, refs): signatures of many sets, dealt by signature, as packed arrays.
 
@@ -166,6 +168,7 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed postings of one task -> (meeting, ref): sets that share a signature, each such group once."""
     sigs, refs = [], []
@@ -238,6 +241,7 @@ def connect(rule: Rule, n: np.ndarray, maps: list[np.ndarray], group: np.ndarray
     return found
 
 
+@lean
 def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(meeting, tile, ref, grp, side, n, bits) sorted by the first two -> edges (a, b) that connect what may be linked."""
 
@@ -307,6 +311,7 @@ def solve(rule: Rule, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarr
     return leader, count
 
 
+@lean
 def _tiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(tile, side, digest, copies, text) sorted by tile -> (digest, leader, links)."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare
+from .common import lean, prepare, Scratch
 from .tokens import tokens
 
 #: Pieces of one length that are ranked together: at least LEAST, and at most a PARTS-th of all, so that
@@ -120,6 +120,7 @@ def runs(bins: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(c, np.int64) for c in v) for k, v in out.items()}
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, paths: tuple) -> Iterator[pa.RecordBatch]:
     encode = tokens(*paths)
     for b in batches:
@@ -170,6 +171,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     fields = [f for f in pieces.schema.fields if f.name != "row"]
     schema = T.StructType([*fields, *T.StructType.fromDDL("sequence_id long, offset long").fields])
 
+    @lean
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, salt, rank = (b.column(c).to_numpy() for c in ("length", "part", "rank"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import CACHES
+
 U = np.uint64
 _A, _B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # splitmix64's multipliers
 
@@ -27,6 +29,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES.append(_words)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare
+from .common import lean, prepare, Scratch
 
 #: Payload bytes after which a task begins another archive, bytes inflated at a time.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 20
@@ -100,6 +100,7 @@ def _files(folder: str):
     return store, path
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """(page_id, url, payload, digest, refers_to, revisit) -> (archive, records), files of one gzip stream."""
     store, path = _files(folder)
@@ -127,6 +128,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         yield close()
 
 
+@lean
 def _normalise(batches: Iterator[pa.RecordBatch], source: str, target: str) -> Iterator[pa.RecordBatch]:
     """(archive) -> index rows; beside each new archive goes the index as a sidecar file."""
     store, src = _files(source)
@@ -160,6 +162,7 @@ def _normalise(batches: Iterator[pa.RecordBatch], source: str, target: str) -> I
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["archive", "offset", "size", "record_id", "record_type"])
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch], folder: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Index rows, sorted by archive and offset -> what each record says, payloads checked."""
     store, path = _files(folder)
