@@ -208,11 +208,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         raise ValueError(f"more than {MOST} languages")
     # a share of each language's rows that holds a few times the sample, so that ranking it stays small
     shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * per_language / r["count"])) for r in counts], "lang string, share double")
-    start = lambda i: F.pmod(F.xxhash64(F.lit("start"), F.lit(i), F.col(id_col)), F.length(text_col) - CHARS).cast("int") + 1
-    slices = F.concat_ws(" ", *[F.col(text_col).substr(start(i), F.lit(CHARS)) for i in range(SLICES)])
-    text = F.when(F.length(text_col) <= SLICES * CHARS, F.col(text_col)).otherwise(slices)
-    rows = own.select(lang.alias("lang"), picked.alias("h"), text.alias("t")).join(F.broadcast(shares), "lang")  # at most MOST rows
-    rows = rows.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share")) & (F.length("t") > 0)).drop("share")
+    start = lambda i: F.pmod(F.xxhash64(F.lit("start"), F.lit(i), F.col("h")), F.length("t") - CHARS).cast("int") + 1
+    slices = F.concat_ws(" ", *[F.col("t").substr(start(i), F.lit(CHARS)) for i in range(SLICES)])
+    text = F.when(F.length("t") <= SLICES * CHARS, F.col("t")).otherwise(slices)
+    rows = own.select(lang.alias("lang"), picked.alias("h"), F.col(text_col).alias("t")).join(F.broadcast(shares), "lang")  # at most MOST rows
+    rows = rows.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("share")) & (F.length("t") > 0)).select("lang", "h", text.alias("t"))
     first = Window.partitionBy("lang").orderBy("h", "t")
     sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
     return train(sorted((r.lang, r.t) for r in sample.select("lang", "t").collect()))
