@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from ..ship import ship
 from .graph import KEY, arcs, nodes, within
 from .pin import pinned
 
+log = logging.getLogger(__name__)
+
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(snapshot_id, node, community): the smallest node that edges reach, by label propagation with
@@ -31,30 +35,33 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def _one_level(neighbours: list[dict[int, float]], loops: np.ndarray, resolution: float, order: np.ndarray, sweeps: int) -> tuple[np.ndarray, bool]:
-    """Moves nodes to the neighbouring community of the largest gain until none moves or the cap is met."""
-    strength = np.array([sum(d.values()) for d in neighbours]) + 2 * loops
-    twice = strength.sum()
-    home, held = np.arange(len(neighbours)), strength.copy()
+    """Moves nodes to the neighbouring community of the largest gain until none moves or the cap is met, which is logged."""
+    strength = (np.array([sum(d.values()) for d in neighbours]) + 2 * loops).tolist()  # plain lists: read a number at a time
+    scale = resolution / sum(strength)
+    home, held, order = list(range(len(neighbours))), strength.copy(), order.tolist()
     any_moved = False
     for _ in range(sweeps):
         moved = False
         for v in order:
-            mine = home[v]
+            mine, own = home[v], strength[v]
             links: dict[int, float] = {}
             for u, w in neighbours[v].items():
-                links[home[u]] = links.get(home[u], 0.0) + w
-            held[mine] -= strength[v]
-            pull = resolution * strength[v] / twice
+                c = home[u]
+                links[c] = links.get(c, 0.0) + w
+            held[mine] -= own
+            pull = scale * own
             best, gain = mine, links.get(mine, 0.0) - pull * held[mine]
             for c, w in links.items():
                 if w - pull * held[c] > gain + 1e-12:
                     best, gain = c, w - pull * held[c]
-            held[best] += strength[v]
+            held[best] += own
             if best != mine:
                 home[v], moved, any_moved = best, True, True
         if not moved:
             break
-    return home, any_moved
+    else:
+        log.warning("louvain: a level of %d nodes was cut off after %d sweeps", len(neighbours), sweeps)
+    return np.array(home), any_moved
 
 
 def modularity(neighbours: list[dict[int, float]], loops: np.ndarray, home: np.ndarray, resolution: float) -> float:
@@ -65,7 +72,13 @@ def modularity(neighbours: list[dict[int, float]], loops: np.ndarray, home: np.n
 
 
 def louvain(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, resolution: float = 10.0, seed: int = 1997, threshold: float = 1e-7, sweeps: int = 1000, max_level: int | None = None) -> np.ndarray:
-    """Communities of nodes 0..n-1 joined by undirected weighted pairs (a, b), each once."""
+    """Communities of nodes 0..n-1 joined by undirected weighted pairs (a, b), each once.
+
+    ``threshold`` is the least gain of modularity that makes another level worth while; ``sweeps`` caps
+    the passes within a level and ``max_level`` (None: no cap) the levels.
+    """
+    if max_level is not None and max_level <= 0:
+        raise ValueError("max_level must be positive or None")
     neighbours: list[dict[int, float]] = [{} for _ in range(n)]
     for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
         neighbours[x][y] = w
@@ -99,9 +112,18 @@ def louvain(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, resolution
     return label
 
 
-def louvain_communities(edges: DataFrame, resolution: float = 10.0, seed: int = 1997, sweeps: int = 1000, max_level: int | None = None) -> DataFrame:
-    """(snapshot_id, node, community), a snapshot a task; of a reciprocal pair one direction's weight counts."""
-    ship(edges.sparkSession)
+def louvain_communities(
+    edges: DataFrame, resolution: float = 10.0, seed: int = 1997, sweeps: int = 1000, max_level: int | None = None, parallel: bool = False, threshold: float = 1e-7
+) -> DataFrame:
+    """(snapshot_id, node, community), a snapshot a task, named by the smallest node.
+
+    Of a reciprocal pair one direction's weight counts; with ``parallel`` the weights of all edges between two
+    nodes add up, as in a multigraph. Snapshots are dealt by number, so small ones are not put into few tasks.
+    """
+    if max_level is not None and max_level <= 0:
+        raise ValueError("max_level must be positive or None")
+    spark = edges.sparkSession
+    ship(spark)
     kind = edges.schema["src"].dataType
     schema = T.StructType([T.StructField(KEY, edges.schema[KEY].dataType), T.StructField("node", kind), T.StructField("community", kind)])
 
@@ -109,12 +131,14 @@ def louvain_communities(edges: DataFrame, resolution: float = 10.0, seed: int =
         pdf = pdf.sort_values(["src", "dst"])
         code, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True), sort=True)
         s, d = code[: len(pdf)], code[len(pdf) :]
-        pairs = pd.DataFrame({"a": np.minimum(s, d), "b": np.maximum(s, d), "w": pdf["weight"].to_numpy()}).drop_duplicates(["a", "b"], keep="last")
-        label = louvain(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(float), len(names), resolution, seed, sweeps=sweeps, max_level=max_level)
+        pairs = pd.DataFrame({"a": np.minimum(s, d), "b": np.maximum(s, d), "w": pdf["weight"].to_numpy(float)})
+        pairs = pairs[pairs["a"] != pairs["b"]].groupby(["a", "b"], as_index=False)["w"].agg("sum" if parallel else "last")
+        label = louvain(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), len(names), resolution, seed, threshold, sweeps, max_level)
         first = pd.Series(np.arange(len(names))).groupby(label).transform("min").to_numpy()
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "node": names, "community": names[first]})
 
-    return edges.select(KEY, "src", "dst", "weight").groupBy(KEY).applyInPandas(run, schema)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return edges.select(KEY, "src", "dst", "weight").repartition(tasks, KEY).groupBy(KEY).applyInPandas(run, schema)
 
 
 def prune(edges: DataFrame, method: str = "louvain", **options) -> DataFrame:
