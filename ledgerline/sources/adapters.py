@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import MICROS, micros
+
 
 def transfers(events: DataFrame) -> DataFrame:
-    """Each event passes its value to the user of the next event of its type."""
-    following = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    own = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(following).alias("dst"), "ts", F.col("value").alias("amount"), (F.col("value") > 200).alias("label"))
-    return own.filter("dst is not null and src <> dst")
+    """Each event passes its value to the user of the next event of its type.
+
+    Types are few and may be large, so they are cut by the hour: an event's successor is the next of its hour or, for
+    the hour's last, the first of the next hour that has any. Only the hours' first events are ordered by type.
+    """
+    own = events.select("event_type", F.floor(micros("ts") / F.lit(MICROS["hours"])).alias("hour"), "ts", "event_id", "user_id", "value")
+    later = Window.partitionBy("event_type").orderBy("hour")
+    firsts = own.groupBy("event_type", "hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    onward = firsts.select(F.col("event_type").alias("t"), F.col("hour").alias("h"), F.lead("first").over(later).alias("onward"))
+    within = Window.partitionBy("event_type", "hour").orderBy("ts", "event_id")
+    near = own.select("*", F.struct(F.lead("user_id").over(within).alias("user"), F.lead(F.lit(1)).over(within).alias("is")).alias("near"))
+    both = near.join(onward, F.col("event_type").eqNullSafe(F.col("t")) & F.col("hour").eqNullSafe(F.col("h")), "left")
+    dst = F.when(F.col("near.is").isNotNull(), F.col("near.user")).otherwise(F.col("onward"))
+    paid = both.select(F.col("user_id").alias("src"), dst.alias("dst"), "ts", F.col("value").alias("amount"), (F.col("value") > 200).alias("label"))
+    return paid.filter("dst is not null and src <> dst")
 
 
 def trade(lineitem: DataFrame, orders: DataFrame) -> DataFrame:

@@ -102,3 +102,19 @@ def test_settings():
     with pytest.raises(ValueError):
         config.truth("perhaps")
     assert set(fx.CODES.values()) == set(fx.BANK_RATES)
+
+
+def test_transfers_follow_over_empty_hours_and_nulls(spark):
+    from datetime import datetime
+
+    from ledgerline.sources import adapters
+
+    at = lambda h, m: datetime(2024, 3, 31, h, m)
+    rows = [
+        (1, at(1, 0), 10, "a", 1.0), (2, at(1, 59), 11, "a", 300.0), (3, at(5, 0), 12, "a", 2.0), (4, at(5, 1), 12, "a", 3.0), (5, at(6, 0), None, "a", 4.0), (6, at(7, 0), 13, "a", 5.0),
+        (7, at(1, 30), 20, None, 6.0), (8, at(9, 0), 21, None, 7.0), (9, at(2, 30), 30, "b", 8.0), (10, at(2, 30), 31, "b", 9.0),
+    ]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    got = sorted((r.src, r.dst, r.amount, r.label) for r in adapters.transfers(events).collect())
+    assert got == [(10, 11, 1.0, False), (11, 12, 300.0, True), (20, 21, 6.0, False), (30, 31, 8.0, False)]
+    assert adapters.transfers(events.limit(0)).count() == 0
