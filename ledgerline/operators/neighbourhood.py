@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BLOCKS, FEATURES, STATS, VALUES
 from .graph import KEY, arcs
+from .pin import pinned
 
 EGO, NEAR, DIRECTED, TURNED = 0, 1, 2, 3
 
@@ -37,10 +38,34 @@ def sizes(ball: DataFrame) -> DataFrame:
 
 
 def block_edges(edges: DataFrame, ball: DataFrame) -> DataFrame:
-    """Edges inside each ball by the roles (i, j) of their ends."""
-    out = ball.select(KEY, "ego", F.col("node").alias("src"), F.col("role").alias("i"))
-    into = ball.select(KEY, "ego", F.col("node").alias("dst"), F.col("role").alias("j"))
-    return out.join(edges, [KEY, "src"]).join(into, [KEY, "ego", "dst"])
+    """Edges inside each ball by the roles (i, j) of their ends: (snapshot_id, ego, i, j, and the edge's own columns).
+
+    An edge at the ego or a neighbour of it lies in the ball, so those are found from these members. An edge
+    between two others is looked for from the end that is such a member of fewer balls: a hub's edges are
+    met from their far ends, and a star costs nothing here. Read ``ball`` pinned, as it is used four times.
+    """
+    values = [c for c in edges.columns if c not in (KEY, "src", "dst")]
+    member = ball.select(KEY, "ego", "node", "role", ((F.col("role") == 1) | (F.col("ego") == F.col("node"))).alias("inner"))
+    balls = member.filter("not inner").groupBy(KEY, "node").agg(F.count("*").alias("n"))
+    held = edges.select(KEY, "src", "dst", F.struct(*values).alias("e")) if values else edges.select(KEY, "src", "dst", F.lit(None).alias("e"))
+
+    def ends(df: DataFrame, *more: Column) -> DataFrame:
+        """Every edge from both its ends."""
+        turned = lambda u, v, ahead: F.struct(F.col(u).alias("node"), F.col(v).alias("other"), F.lit(ahead).alias("ahead"), *more)
+        return df.select(KEY, F.explode(F.array(turned("src", "dst", True), turned("dst", "src", False))).alias("t"), "e").select(KEY, "t.*", "e")
+
+    start = member.select(KEY, "ego", "node", F.col("role").alias("mine"), "inner")
+    close = start.filter("inner").join(ends(held), [KEY, "node"])
+    rare = held
+    for end in ("src", "dst"):
+        rare = rare.join(balls.select(KEY, F.col("node").alias(end), F.col("n").alias(f"{end}_n")), [KEY, end])
+    fewer = ends(rare, (F.col("src_n") <= F.col("dst_n")).alias("by_src")).filter("ahead = by_src").drop("by_src")
+    far = start.filter("not inner").join(fewer, [KEY, "node"])
+    other = member.select(KEY, "ego", F.col("node").alias("other"), F.col("role").alias("theirs"), F.col("inner").alias("other_inner"))
+    both = close.unionByName(far).join(other, [KEY, "ego", "other"])
+    both = both.filter("if(inner, ahead or not other_inner, not other_inner)")  # an edge between inner members is met twice
+    i, j = F.when(F.col("ahead"), F.col("mine")).otherwise(F.col("theirs")), F.when(F.col("ahead"), F.col("theirs")).otherwise(F.col("mine"))
+    return both.select(KEY, "ego", i.alias("i"), j.alias("j"), *[F.col("e")[v].alias(v) for v in values])
 
 
 def block_sums(inside: DataFrame) -> DataFrame:
@@ -79,7 +104,7 @@ def dense_stat(stat: str, cells: Column, nnz: Column, total: Column, largest: Co
 
 def features(edges: DataFrame, egos: DataFrame, ball: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, node, 90 features) of every ego. ``edges`` are the pruned ones."""
-    ball = members(edges, egos) if ball is None else ball
+    ball = pinned(members(edges, egos)) if ball is None else ball
     count = sizes(ball)
     pick = lambda i: F.when(F.col(i) == 0, F.col("n0")).when(F.col(i) == 1, F.col("n1")).otherwise(F.col("n2"))
     sums = block_sums(block_edges(edges, ball)).join(count, [KEY, "ego"]).withColumn("cells", pick("i") * pick("j"))
@@ -100,6 +125,7 @@ def block_order_stats(edges: DataFrame, ball: DataFrame, value: str = "amount_tr
     Zeros stand between the negative and the other values; percentiles interpolate linearly, and
     only given values are sorted, in arrays of one block each.
     """
+    ball = pinned(ball)
     inside = block_edges(edges, ball).groupBy(KEY, "ego", "i", "j").agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("x"))
     own = inside.join(sizes(ball), [KEY, "ego"])
     n = F.element_at(F.array("n0", "n1", "n2"), F.col("i") + 1) * F.element_at(F.array("n0", "n1", "n2"), F.col("j") + 1)

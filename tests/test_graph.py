@@ -112,3 +112,30 @@ def test_louvain_of_no_edges_is_singletons():
 def test_long_path_is_one_component(spark):
     path = table(spark, [(f"{i:03d}", f"{i + 1:03d}", 1.0) for i in range(40)])
     assert {r.community for r in community.components(path).collect()} == {"000"}
+
+
+def test_block_edges_are_the_edges_with_both_ends_in_the_ball(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(a, b) for a, b in rng.integers(0, 30, (60, 2)).tolist() if a != b} | {(0, b) for b in range(1, 25)} | {(b, 1) for b in range(2, 20)}
+    e = table(spark, [(f"n{a:02d}", f"n{b:02d}", float(a * 100 + b)) for a, b in sorted(pairs)])
+    ball = neighbourhood.members(e, graph.nodes(e))
+    role = {(r.ego, r.node): r.role for r in ball.collect()}
+    want = sorted((x, role[x, s], role[x, d], v) for x in {k[0] for k in role} for s, d, v in ((r.src, r.dst, r.amount_trans) for r in e.collect()) if (x, s) in role and (x, d) in role)
+    assert sorted((r.ego, r.i, r.j, r.amount_trans) for r in neighbourhood.block_edges(e, ball).collect()) == want
+
+
+def test_louvain_options(spark):
+    e = table(spark, [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)])
+    with pytest.raises(ValueError):
+        community.louvain_communities(e, max_level=0)
+    with pytest.raises(ValueError):
+        community.louvain(np.array([0]), np.array([1]), np.ones(1), 2, max_level=0)
+    both = {r.node: r.community for r in community.louvain_communities(e, resolution=1.0, parallel=True).collect()}
+    assert both == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert len({r.community for r in community.louvain_communities(e, resolution=1.0, max_level=1).collect()}) <= 3
+
+
+def test_louvain_tells_of_a_cut_level(caplog):
+    ring = np.arange(40)
+    community.louvain(ring, (ring + 1) % 40, np.ones(40), 40, resolution=1.0, sweeps=1)
+    assert "cut off after 1 sweeps" in caplog.text
