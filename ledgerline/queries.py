@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import fx, scalars
-from .operators import community, graph, metrics, models, neighbourhood, results, snapshots, windows
+from .operators import community, graph, metrics, models, neighbourhood, network, results, snapshots, windows
 from .plans import features as plans
 from .schema import BLOCKS, FEATURES, STATS, VALUES
 from .shared import shared_folder
@@ -933,6 +933,14 @@ def mlp_scores(spark, sf_dir):
     return models.perceptron(rows, rows, 64).select("row_id", "y", "score")
 
 
+@_query()
+def network_scores(spark, sf_dir):
+    """Weighted by class, stopped by the held-out band; every row is scored."""
+    rows = _training_rows(spark, sf_dir)
+    held_out = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
+    return network.network(rows.filter(~held_out), rows, 64, val=rows.filter(held_out), dropout=0.1).select("row_id", "y", "score")
+
+
 @_query()
 def iforest_scores(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
