@@ -17,8 +17,9 @@ from ..ship import ship as prepare  # noqa: F401
 
 #: Rows handed to a Python worker at once; texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 256
-#: Bits of the bitmap that tells which texts a join may need.
-FILTER_BITS = 24
+#: Powers of two of the bits of the bitmap that tells which texts a join may need: BITS_A_KEY for each key,
+#: within these bounds. Beyond 2**28 / 8 keys more and more rows are joined that need not be; none is lost.
+FILTER_BITS, BITS_A_KEY = (20, 28), 8
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -96,12 +97,13 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def maybe(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
-    """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key).
+    """``df`` and a column ``name``: false where ``key`` is surely not in ``keys`` (key), a stored table.
 
-    ``keys`` become a bitmap of 2**FILTER_BITS bits, broadcast in words of 64: its size never grows.
+    ``keys`` become a bitmap of 2**FILTER_BITS bits at most, broadcast in words of 64.
     """
     own, at, mask = (free_name(df, f"__{x}") for x in ("key", "word", "mask"))
-    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
+    bits = min(max((BITS_A_KEY * keys.count() - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    word = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1))
     bit = keys.select(word(F.col("key")).alias(at), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
     words = bit.groupBy(at).agg(F.bit_or("bit").alias(mask))
     marked = df.withColumn(own, key)

@@ -13,10 +13,10 @@ empty result; columns besides id and text are ignored (``flag_copies``) or kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, text_or_empty
+from .common import Scratch, free_name, maybe, text_or_empty, without
 
 #: Winners that may be broadcast, and counters that each sketch keeps. A digest held by more than
 #: about 7 / TRACKED of all rows is always found.
@@ -60,14 +60,30 @@ def flag_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, tracked: int = TRACKED) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Copies of frequent texts go before any shuffle."""
+    """The rows of ``docs`` that stay, all columns.
+
+    Copies of frequent texts go before any shuffle; of the others, winners are settled on digests and
+    ids alone, and only rows that may be copies are joined with the losers. Rows that repeat a winner's
+    id and text fall together in an aggregation that begins before its shuffle.
+    """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    sha, best, rank = (free_name(docs, f"__{x}") for x in ("sha", "best", "rank"))
+    sha, best, twin = (free_name(docs, f"__{x}") for x in ("sha", "best", "twin"))
     digest = F.sha2(text_or_empty(text_col), 256)
-    digests = scratch.table(docs.select(digest.alias("sha"), F.struct(F.col(id_col).alias("id")).alias("best")), "digests")
-    heavy = scratch.table(_winners(digests, top, tracked), "winners").select(F.col("sha").alias(sha), F.col("best").alias(best))
-    scratch.free("digests")
+    digests = scratch.table(docs.select(digest.alias("sha"), F.struct(F.col(id_col).alias("id")).alias("best"), F.xxhash64(F.col(text_col)).alias("key")), "digests")
+    heavy = scratch.table(_winners(digests, top, tracked), "winners")
+    rest = digests.join(F.broadcast(heavy.select("sha")), "sha", "left_anti")
+    groups = scratch.table(rest.groupBy("sha").agg(F.max("best").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "groups")
+    met = scratch.table(rest.join(groups, "sha").select("key", F.col("best.id").alias("id"), F.col("best").eqNullSafe(F.col("first")).alias("won")), "met")
+    gone = scratch.table(met.filter(~F.col("won")).select("id", "key").distinct(), "losers")
+    heavy = heavy.select(F.col("sha").alias(sha), F.col("best").alias(best))
     left = docs.withColumn(sha, digest).join(F.broadcast(heavy), sha, "left")
     left = left.filter(F.col(best).isNull() | F.col(id_col).eqNullSafe(F.col(f"{best}.id")))
-    first = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
-    return left.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    twins = digests.join(F.broadcast(heavy), (F.col("sha") == F.col(sha)) & F.col("best").eqNullSafe(F.col(best))).select("key", F.col("best.id").alias("id"))
+    twins = twins.unionByName(met.filter("won").select("key", "id")).groupBy("key", "id").agg(F.count("*").alias("n")).filter("n > 1")
+    twins = scratch.table(twins.select("id", "key"), "twins")
+    left = without(left.select(*[F.col(f"`{c}`") for c in docs.columns], sha), gone, id_col, text_col)
+    if twins.isEmpty():
+        return left.drop(sha)
+    flagged = maybe(left, F.xxhash64(F.col(text_col)), twins.select("key"), twin)
+    one = flagged.filter(twin).dropDuplicates([id_col, sha])
+    return flagged.filter(~F.col(twin)).unionByName(one).drop(sha, twin)

@@ -29,10 +29,13 @@ from .common import free_name, lean, prepare, Scratch, text_or_empty, without
 
 #: The bounded sample of labelled rows: rows of a language, slices drawn from all over a text and their
 #: characters (shorter texts are taken whole), and the most languages (more are an error).
-PER_LANGUAGE, SLICES, CHARS, MOST = 300, 8, 64, 8192
+PER_LANGUAGE, SLICES, CHARS, MOST = 300, 8, 64, 1024
 #: Size of the state; bytes and windows of a training step; steps; spans of a text and at once.
 STATE, WINDOW, BATCH, STEPS = 8, 48, 384, 220
 SPAN, WIDTH = 128, 2048
+#: Numbers that an array of (position, language, text) may hold, which bounds WIDTH and BATCH; windows that
+#: training draws of each language at least (STEPS grow with the languages).
+CELLS, WINDOWS = 1 << 22, 2000
 UNKNOWN, LETTER = "und", r"\p{L}"
 #: The score under which keep_known gives a text up: the languages are as good as mixed up to the network.
 LEAST = 0.4
@@ -138,9 +141,11 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Net
     by = [[np.frombuffer(t, np.uint8) for lang, t in texts if lang == x] for x in languages]
     values = [net.x, net.h, net.v, net.b]
     mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
+    batch = max(16, min(BATCH, CELLS // (WINDOW * k)))
+    steps = max(steps, -(-WINDOWS * k // batch))
     for i in range(1, steps + 1):
-        y = rng.integers(0, k, BATCH)
-        window = np.full((BATCH, WINDOW), 32, np.uint8)
+        y = rng.integers(0, k, batch)
+        window = np.full((batch, WINDOW), 32, np.uint8)
         for j, c in enumerate(y):
             text = by[c][rng.integers(len(by[c]))]
             at = rng.integers(max(1, len(text) - WINDOW + 1))
@@ -169,8 +174,9 @@ def probabilities(net: Net, texts: list[bytes]) -> np.ndarray:
     size = np.minimum(SPAN, lengths[owner] - place * SPAN)
     whole = np.frombuffer(b"".join(texts) + b" " * SPAN, np.uint8)
     t = np.arange(SPAN)[:, None]
-    for a in range(0, len(owner), WIDTH):
-        part = slice(a, a + WIDTH)
+    width = max(1, min(WIDTH, CELLS // (SPAN * k)))
+    for a in range(0, len(owner), width):
+        part = slice(a, a + width)
         at, n = begin[part], size[part]
         steps = np.stack([whole[at + t], whole[at + np.maximum(n - 1 - t, 0)]], 1).astype(np.intp)
         out = _forward(net, steps)

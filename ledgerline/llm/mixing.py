@@ -4,12 +4,14 @@
    document a posterior over the domains (the label classes).
    A document's tokens are its ids under the byte-level BPE that packing counts in.
 2. Nonnegative document rates w are fitted by distributed least squares: the expected tokens of each
-   domain, sum of w * tokens * posterior, are to match the targets with rates as near to 1 as can be.
-   Such rates are max(0, 1 + a . m) for one multiplier m a domain, which Newton steps find; a step is
-   one pass over (tokens, posterior) that returns a value, a gradient and a Hessian of the size of the
-   domains for each of a few step lengths; nothing else reaches the driver. The steps end when each
-   domain is within CLOSE of its goal or the residual stalls, as where targets cannot be met;
-   ``Fit.errors`` has what is missed, and a miss is warned of; steps have no cap.
+   domain, sum of w * tokens * posterior, are to match the targets. Projected gradient steps go from
+   rates of 1: w becomes max(0, y - a . u), where y is w carried on by momentum (which restarts when the
+   residual grows), a the document's tokens by domain and u the residual of y in the metric of the
+   domains' Gram matrix, so that a step of 1 is never too long and passes stay few. A pass over (tokens,
+   posterior) replays the steps so far for its rows and returns a sum for each domain; nothing else
+   reaches the driver and no rate is stored. The steps end when each domain is within CLOSE of its goal
+   or the residual stalls, as where targets cannot be met; ``Fit.errors`` has what is missed, and a miss
+   is warned of; steps have no cap.
 3. ``apply_rates`` repeats or drops documents: a rate r gives floor(r) copies and one more with
    probability r - floor(r), decided by a hash of the id and text.
 
@@ -23,7 +25,7 @@ or with the results' are not touched.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +45,8 @@ SAMPLE, FEATURES, STEPS = 4000, 1 << 13, 200
 CLOSE = 1e-4
 #: Rows of (tokens, posterior) handed to a worker at once.
 SLIM_ROWS = 4096
-#: Step lengths that a pass tries, and the passes without a residual less by 1 % after which the fit has stalled.
-LENGTHS, STALL = (4.0, 1.0, 0.5, 0.25, 0.0625, 0.01), 8
+#: The passes without a residual less by 1 % after which the fit has stalled.
+STALL = 8
 #: Domain of a label row, and the share of tokens that each domain is to have.
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'high' when quality = 0 then 'low' end"
 TARGETS = {"high": 0.80, "low": 0.18, "toxic": 0.02}
@@ -140,14 +142,17 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     return own.mapInArrow(run, schema)
 
 
-def rates(a: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """The iterate after the steps in ``history``, the multipliers so far: max(0, 1 + a . last), from 1."""
-    return np.maximum(0.0, 1.0 + a @ history[-1]) if history else np.ones(len(a))
+def rates(a: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """The iterate after ``steps`` (direction, momentum) from rates of 1; every iterate is nonnegative."""
+    w = last = np.ones(len(a))
+    for u, momentum in steps:
+        last, w = w, np.maximum(0.0, w + momentum * (w - last) - a @ u)
+    return w
 
 
 @dataclass
 class Fit:
-    history: list[np.ndarray]
+    steps: list[tuple[np.ndarray, float]]  # up to the iterate that counts
     scale: np.ndarray  # of each domain
     mean: float  # tokens of a document
     totals: np.ndarray
@@ -161,66 +166,68 @@ def _matrix(b: pa.RecordBatch, scale: np.ndarray, mean: float) -> np.ndarray:
     return p * (tokens / mean)[:, None] * scale
 
 
+def _summed(soft: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of what ``of`` returns, an array of ``size`` numbers."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for b in batches:
+            out += of(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(out)], names=["i", "v"])
+
+    out = np.zeros(size)
+    with batches_of(soft.sparkSession, SLIM_ROWS):
+        for r in soft.select("tokens", "posterior").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r.i] = r.v
+    return out
+
+
 def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) -> Fit:
     """Rates whose expected domain tokens come closest to shares ``targets`` of all tokens.
 
     Domains without a target keep their tokens. Where targets cannot be met, the iterate of the least
     residual counts and a warning says by how much each domain misses.
     """
-    d = len(domains)
-    sums = soft.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(d)]).first()
-    if not sums.tokens:
-        return Fit([], np.ones(d), 1.0, np.zeros(d), np.zeros(d), np.zeros(d))
-    totals = np.array([sums[f"t{i}"] for i in range(d)])
+    d, one = len(domains), np.ones(len(domains))
+
+    def first(b: pa.RecordBatch) -> np.ndarray:
+        a = _matrix(b, one, 1.0)
+        return np.concatenate([[len(a), a.sum()], a.sum(0), (a.T @ a).ravel()])
+
+    n, tokens, *rest = _summed(soft, first, 2 + d + d * d)
+    if not tokens:
+        return Fit([], one, 1.0, np.zeros(d), np.zeros(d), np.zeros(d))
+    totals, gram = np.array(rest[:d]), np.array(rest[d:]).reshape(d, d)
     shares = np.array([targets.get(x, t / totals.sum()) for x, t in zip(domains, totals, strict=True)])
     goal = shares / shares.sum() * totals.sum()
-    mean = sums.tokens / sums.n
+    mean = tokens / n
     scale = mean / np.maximum(totals, 1e-9 * totals.sum())
-    want = goal / mean * scale  # in the units of a
-
-    @lean
-    def measure(batches: Iterator[pa.RecordBatch], tries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((len(tries), 1 + d + d * d))
-        for b in batches:
-            a = _matrix(b, scale, mean)
-            for k, m in enumerate(tries):
-                w = rates(a, [m])
-                out[k] += np.concatenate([[w @ w / 2], w @ a, (a[w > 0].T @ a[w > 0]).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
-
-    def at(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-        """(value to be least, multipliers, sums, Hessian) for each of ``tries``."""
-        out = np.zeros(len(tries) * (1 + d + d * d))
-        with batches_of(soft.sparkSession, SLIM_ROWS):
-            for r in soft.select("tokens", "posterior").mapInArrow(lambda b: measure(b, tries), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-                out[r.i] = r.v
-        return [(x[0] - m @ want, m, x[1 : 1 + d], x[1 + d :].reshape(d, d)) for m, x in zip(tries, out.reshape(len(tries), -1), strict=True)]
-
-    value, now, got, hessian = at([np.zeros(d)])[0]
-    ridge = 1e-9 * np.trace(hessian) / d * np.eye(d)
-    history: list[np.ndarray] = []
-    errors, misses = [(got - want) / np.maximum(want, 1e-9)], [np.linalg.norm(got - want)]
-    while True:
-        stalled = len(misses) > STALL and min(misses[-STALL:]) > 0.99 * min(misses[:-STALL])
-        if np.abs(errors[-1]).max() < CLOSE or stalled:
+    want, got = goal / mean * scale, totals / mean * scale  # in the units of a
+    gram *= np.outer(scale, scale) / mean**2
+    metric = np.linalg.inv(gram + 1e-9 * np.trace(gram) / d * np.eye(d))
+    value = lambda sums: float((sums - want) @ metric @ (sums - want))
+
+    steps: list[tuple[np.ndarray, float]] = []
+    before, pace = got, 1.0
+    errors, values = [(got - want) / np.maximum(want, 1e-9)], [value(got)]
+    while np.abs(errors[-1]).max() >= CLOSE:
+        if len(values) > STALL and min(values[-STALL:]) > 0.98 * min(values[:-STALL]):  # a residual less by 1 %
             break
-        step = np.linalg.solve(hessian + ridge, want - got)
-        # sums differ in their last digits between runs
-        tried = at([np.array([float(f"{x:.12g}") for x in now + t * step]) for t in LENGTHS])
-        best = min(tried, key=lambda x: x[0])
-        if not best[0] < value:  # near the end the value is flat to its last digits, the residual is not
-            best = min(tried, key=lambda x: np.linalg.norm(x[2] - want))
-            if not np.linalg.norm(best[2] - want) < misses[-1]:
-                break
-        value, now, got, hessian = best
-        history.append(now)
+        onward = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = float((pace - 1) / onward)
+        u = metric @ (got + momentum * (got - before) - want)
+        steps.append((np.array([float(f"{x:.12g}") for x in u]), momentum))  # sums differ in their last digits between runs
+        now = list(steps)
+        before, got = got, _summed(soft, lambda b: (a := _matrix(b, scale, mean)).T @ rates(a, now), d)
         errors.append((got - want) / np.maximum(want, 1e-9))
-        misses.append(np.linalg.norm(got - want))
+        values.append(value(got))
+        pace = onward if values[-1] < values[-2] else 1.0
+    last = len(steps)
     if np.abs(errors[-1]).max() >= CLOSE:
-        last = int(np.argmin(misses))
-        history, errors = history[:last], errors[: last + 1]
-        warnings.warn(f"targets missed after {len(misses) - 1} steps, relative errors: " + ", ".join(f"{x} {e:.3g}" for x, e in zip(domains, errors[-1], strict=True)), stacklevel=2)
-    return Fit(history, scale, mean, totals, goal, errors[-1])
+        last = int(np.argmin(values))
+        warnings.warn(f"targets missed after {len(steps)} steps, relative errors: " + ", ".join(f"{x} {e:.3g}" for x, e in zip(domains, errors[last], strict=True)), stacklevel=2)
+    return Fit(steps[:last], scale, mean, totals, goal, errors[last])
 
 
 def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
@@ -229,7 +236,7 @@ def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, fit.scale, fit.mean), fit.history))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, fit.scale, fit.mean), fit.steps))], names=schema.names)
 
     return soft.mapInArrow(run, schema)
 

@@ -141,9 +141,9 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(got / got.sum(), [0.7, 0.25, 0.05], atol=0.01)
     # the same iteration in one place
     a = p * (t / fit.mean)[:, None] * fit.scale
-    assert np.allclose(mixing.rates(a, fit.history), r, atol=1e-6)
+    assert np.allclose(mixing.rates(a, fit.steps), r, atol=1e-6)
     want = fit.goal / fit.mean * fit.scale
-    errors = [np.abs(mixing.rates(a, fit.history[:i]) @ a - want).max() for i in range(len(fit.history) + 1)]
+    errors = [np.abs(mixing.rates(a, fit.steps[:i]) @ a - want).max() for i in range(len(fit.steps) + 1)]
     assert errors[-1] < 0.05 * errors[0]
     times = {x.doc_id: 0 for x in rows}
     out = mixing.apply_rates(docs, mixed)

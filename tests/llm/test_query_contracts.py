@@ -87,4 +87,4 @@ def test_mixing_meets_its_targets(spark):
     got = (w * t) @ p
     want = np.array([0.80, 0.18, 0.02])
     off = np.abs(got / got.sum() / want - 1).max()
-    assert off <= 3 * max(rows[0].largest_target_error, 1e-4)
+    assert off <= 3e-4 and rows[0].largest_target_error <= 1e-4
