@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, knn, langid, licenses, mixing, ngram_join, packing, sharding, warc
+from . import chat, exact_dedup, knn, langid, licenses, media, mixing, ngram_join, packing, periods, phrases, sharding, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,23 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(read(spark, sf_dir, "documents"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(read(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_exact_dedup, op2_language_id, op3_chat_formatting, op4_ngram_jaccard_join, op5_source_mixing,
-        op6_best_fit_packing, op7_license_scan, op8_sharding, op9_warc, op10_exact_top_k,
+        op6_best_fit_packing, op7_license_scan, op8_sharding, op9_warc, op10_exact_top_k, op11_media_columns,
+        op12_phrase_mining, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -106,5 +119,28 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20"""
 
 
+def _grams(k: int) -> str:
+    return f"select lang, {k} as k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) as phrase from w"
+
+
+OP12_SQL = rf"""
+with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, unnest(string_split_regex(x, '[.,;:!?
+-
+]')) as p from t),
+w as (select lang, regexp_extract_all(p, '[^ 	]+') as w from p),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as ({' union all '.join(_grams(k) for k in range(1, 6))}),
+f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 100),
+s as (select *, string_split(phrase, ' ') as w from f where k > 1),
+longer as (select lang, unnest([array_to_string(w[:k - 1], ' '), array_to_string(w[2:], ' ')]) as phrase, f as m from s where k > 2),
+c as (select s.* from s left join (select lang, phrase, max(m) as m from longer group by all) x on x.lang = s.lang and x.phrase = s.phrase where x.m is null or 100 * x.m < 100 * s.f),
+cut as (select c.lang, c.phrase, c.f as a, j, l.f as l, r.f as r, n.n, cast(1000 as hugeint) * c.f * n.n // (cast(l.f as hugeint) * r.f) as score
+  from c join n on n.lang = c.lang, range(1, 5) j(j), f l, f r where j < c.k and l.lang = c.lang and l.phrase = array_to_string(w[:j], ' ') and r.lang = c.lang and r.phrase = array_to_string(w[j + 1:], ' ')),
+least as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from least)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked where rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
+    return {"op12_phrase_mining": OP12_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op1_exact_dedup": OP1_SQL, "op7_license_scan": licenses.oracle_sql()}
