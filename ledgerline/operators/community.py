@@ -1,20 +1,18 @@
-"""Communities of snapshot graphs: connected components, or capped Louvain per snapshot."""
+"""Communities of snapshot graphs: connected components, or capped Louvain by parallel moves."""
 
 from __future__ import annotations
 
 import logging
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..ship import ship
 from .graph import KEY, arcs, nodes, within
-from .pin import pinned
+from .pin import Pins, pinned
 
 log = logging.getLogger(__name__)
+#: Rounds without fewer moves after which a level of local moves ends.
+PATIENCE = 6
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -34,111 +32,110 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _one_level(neighbours: list[dict[int, float]], loops: np.ndarray, resolution: float, order: np.ndarray, sweeps: int) -> tuple[np.ndarray, bool]:
-    """Moves nodes to the neighbouring community of the largest gain until none moves or the cap is met, which is logged."""
-    strength = (np.array([sum(d.values()) for d in neighbours]) + 2 * loops).tolist()  # plain lists: read a number at a time
-    scale = resolution / sum(strength)
-    home, held, order = list(range(len(neighbours))), strength.copy(), order.tolist()
-    any_moved = False
-    for _ in range(sweeps):
-        moved = False
-        for v in order:
-            mine, own = home[v], strength[v]
-            links: dict[int, float] = {}
-            for u, w in neighbours[v].items():
-                c = home[u]
-                links[c] = links.get(c, 0.0) + w
-            held[mine] -= own
-            pull = scale * own
-            best, gain = mine, links.get(mine, 0.0) - pull * held[mine]
-            for c, w in links.items():
-                if w - pull * held[c] > gain + 1e-12:
-                    best, gain = c, w - pull * held[c]
-            held[best] += own
-            if best != mine:
-                home[v], moved, any_moved = best, True, True
-        if not moved:
-            break
-    else:
-        log.warning("louvain: a level of %d nodes was cut off after %d sweeps", len(neighbours), sweeps)
-    return np.array(home), any_moved
-
-
-def modularity(neighbours: list[dict[int, float]], loops: np.ndarray, home: np.ndarray, resolution: float) -> float:
-    strength = np.array([sum(d.values()) for d in neighbours]) + 2 * loops
-    twice = strength.sum()
-    inside = sum(w for v, d in enumerate(neighbours) for u, w in d.items() if home[u] == home[v]) + 2 * loops.sum()
-    return inside / twice - resolution * (np.bincount(home, strength) ** 2).sum() / twice**2
-
-
-def louvain(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, resolution: float = 10.0, seed: int = 1997, threshold: float = 1e-7, sweeps: int = 1000, max_level: int | None = None) -> np.ndarray:
-    """Communities of nodes 0..n-1 joined by undirected weighted pairs (a, b), each once.
-
-    ``threshold`` is the least gain of modularity that makes another level worth while; ``sweeps`` caps
-    the passes within a level and ``max_level`` (None: no cap) the levels.
+def _pairs(edges: DataFrame, parallel: bool) -> DataFrame:
+    """(snapshot_id, a, b, w): undirected pairs; of a reciprocal pair one direction's weight counts, or with ``parallel`` all."""
+    weight = F.sum("weight") if parallel else F.max_by("weight", "src")
+    own = edges.filter("src <> dst").select(KEY, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", F.col("weight").cast("double").alias("weight"))
+    return own.groupBy(KEY, "a", "b").agg(weight.alias("w"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    ends = [F.struct(F.col(u).alias("node"), F.col(v).alias("v"), "w") for u, v in (("a", "b"), ("b", "a"))]
+    return pairs.select(KEY, F.explode(F.array(*ends)).alias("e")).select(KEY, "e.*")
+
+
+def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 10.0, parallel: bool = False) -> DataFrame:
+    """(snapshot_id, modularity) of the undirected graphs of ``edges`` under (snapshot_id, node, community)."""
+    arc = _both_ways(_pairs(edges, parallel))
+    home = communities.select(KEY, "node", "community")
+    met = arc.join(home, [KEY, "node"]).join(home.select(KEY, F.col("node").alias("v"), F.col("community").alias("other")), [KEY, "v"])
+    by = met.groupBy(KEY, "community").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("community") == F.col("other"), F.col("w")).otherwise(0.0)).alias("inner"))
+    size = F.sum("tot")
+    return by.groupBy(KEY).agg((F.sum("inner") / size - resolution * F.sum(F.col("tot") * F.col("tot")) / (size * size)).alias("modularity"))
+
+
+def _settle(pins: Pins, arc: DataFrame, strength: DataFrame, resolution: float, seed: int, sweeps: int) -> DataFrame:
+    """(snapshot_id, node, k, m2, com, tot, n): one level of local moves from nodes that are each a community.
+
+    A round joins the communities of neighbours to the arcs, sums weights by node and community, and lets a half of
+    the nodes, drawn by a hash, go where the gain is largest; two lone nodes go towards the smaller name only. Rounds
+    end when few move or, as parallel moves may go to and fro, when they do not get fewer.
     """
-    if max_level is not None and max_level <= 0:
-        raise ValueError("max_level must be positive or None")
-    neighbours: list[dict[int, float]] = [{} for _ in range(n)]
-    for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
-        neighbours[x][y] = w
-        neighbours[y][x] = w
-    label, loops = np.arange(n), np.zeros(n)
-    if not len(a):
-        return label
-    rng = np.random.default_rng(seed)
-    quality = modularity(neighbours, loops, np.arange(n), resolution)
-    level = 0
-    while max_level is None or level < max_level:
-        home, moved = _one_level(neighbours, loops, resolution, rng.permutation(len(neighbours)), sweeps)
-        if not moved:
-            break
-        better = modularity(neighbours, loops, home, resolution)
-        if better - quality <= threshold:
-            break
-        quality, level = better, level + 1
-        names, home = np.unique(home, return_inverse=True)
-        label = home[label]
-        joined: list[dict[int, float]] = [{} for _ in names]
-        inner = np.zeros(len(names))
-        for v, d in enumerate(neighbours):
-            inner[home[v]] += loops[v]
-            for u, w in d.items():
-                if home[u] == home[v]:
-                    inner[home[v]] += w / 2
-                else:
-                    joined[home[v]][home[u]] = joined[home[v]].get(home[u], 0.0) + w
-        neighbours, loops = joined, inner
-    return label
+    now = pins.put(strength.select(KEY, "node", "k", "m2", F.col("node").alias("com"), F.col("k").alias("tot"), F.lit(1).cast("long").alias("n")))
+    nodes_, last, fewest, since = now.count(), 0, None, 0
+    for sweep in range(sweeps):
+        other = now.select(KEY, F.col("node").alias("v"), "com", "tot", "n")
+        heard = arc.join(other, [KEY, "v"]).groupBy(KEY, "node", "com").agg(F.sum("w").alias("w"), F.first("tot").alias("tot"), F.first("n").alias("n"))
+        own = now.select(KEY, "node", "k", "m2", F.col("com").alias("mine"), F.col("tot").alias("mine_tot"), F.col("n").alias("mine_n"))
+        stays = F.col("com") == F.col("mine")
+        pull = F.lit(float(resolution)) * F.col("k") / F.col("m2")
+        gain = F.col("w") - pull * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0))
+        free = ~stays & ((F.col("mine_n") > 1) | (F.col("n") > 1) | (F.col("com") < F.col("mine")))
+        best = heard.join(own, [KEY, "node"]).groupBy(KEY, "node", "k", "m2", "mine", "mine_tot").agg(
+            F.max(F.when(stays, gain)).alias("stay"), F.min(F.when(free, F.struct((-gain).alias("loss"), "com"))).alias("best")
+        )
+        turn = F.xxhash64(F.lit(seed), F.lit(sweep), F.col("node")).bitwiseAND(F.lit(1)) == 0
+        rest = F.coalesce("stay", -pull * (F.col("mine_tot") - F.col("k")))
+        go = F.coalesce(turn & (-F.col("best.loss") > rest + 1e-12), F.lit(False))
+        placed = pins.put(best.select(KEY, "node", "k", "m2", F.when(go, F.col("best.com")).otherwise(F.col("mine")).alias("com"), go.alias("moved")))
+        totals = placed.groupBy(KEY, "com").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
+        after = pins.put(placed.join(totals, [KEY, "com"]).select(KEY, "node", "k", "m2", "com", "tot", "n"))
+        moved = placed.filter("moved").count()
+        pins.drop(now, placed)
+        now = after
+        if last + moved <= nodes_ // 1000 and sweep:
+            return now
+        fewest, since = (moved, 0) if fewest is None or moved < fewest else (fewest, since + 1)
+        if since >= PATIENCE:
+            return now
+        last = moved
+    log.warning("louvain: a level of %d nodes was cut off after %d sweeps", nodes_, sweeps)
+    return now
 
 
 def louvain_communities(
     edges: DataFrame, resolution: float = 10.0, seed: int = 1997, sweeps: int = 1000, max_level: int | None = None, parallel: bool = False, threshold: float = 1e-7
 ) -> DataFrame:
-    """(snapshot_id, node, community), a snapshot a task, named by the smallest node.
+    """(snapshot_id, node, community) of all snapshots at once, named by the smallest node.
 
-    Of a reciprocal pair one direction's weight counts; with ``parallel`` the weights of all edges between two
-    nodes add up, as in a multigraph. Snapshots are dealt by number, so small ones are not put into few tasks.
+    Levels of local moves over edge tables, each followed by a contraction of communities to nodes; a level counts
+    for the snapshots whose modularity it raises, and those that it raises by more than ``threshold`` go on.
+    ``sweeps`` caps the rounds of a level, which is logged, ``max_level`` (None: no cap) the levels. No snapshot
+    is one task. Of a reciprocal pair one direction's weight counts; with ``parallel`` the weights of
+    all edges between two nodes add up, as in a multigraph.
     """
     if max_level is not None and max_level <= 0:
         raise ValueError("max_level must be positive or None")
-    spark = edges.sparkSession
-    ship(spark)
-    kind = edges.schema["src"].dataType
-    schema = T.StructType([T.StructField(KEY, edges.schema[KEY].dataType), T.StructField("node", kind), T.StructField("community", kind)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["src", "dst"])
-        code, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True), sort=True)
-        s, d = code[: len(pdf)], code[len(pdf) :]
-        pairs = pd.DataFrame({"a": np.minimum(s, d), "b": np.maximum(s, d), "w": pdf["weight"].to_numpy(float)})
-        pairs = pairs[pairs["a"] != pairs["b"]].groupby(["a", "b"], as_index=False)["w"].agg("sum" if parallel else "last")
-        label = louvain(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), len(names), resolution, seed, threshold, sweeps, max_level)
-        first = pd.Series(np.arange(len(names))).groupby(label).transform("min").to_numpy()
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "node": names, "community": names[first]})
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return edges.select(KEY, "src", "dst", "weight").repartition(tasks, KEY).groupBy(KEY).applyInPandas(run, schema)
+    pins = Pins(edges.sparkSession, "louvain")
+    arc = pins.put(_both_ways(_pairs(edges, parallel)))
+    label = pins.put(nodes(edges).withColumn("community", F.col("node")))
+    strength = arc.groupBy(KEY, "node").agg(F.sum("w").alias("k"))
+    strength = pins.put(strength.join(arc.groupBy(KEY).agg(F.sum("w").alias("m2")), KEY))
+    quality = pins.put(strength.groupBy(KEY).agg((-resolution * F.sum(F.col("k") * F.col("k")) / F.pow(F.first("m2"), 2)).alias("before")))
+    level = 0
+    while (max_level is None or level < max_level) and not strength.isEmpty():
+        home = _settle(pins, arc, strength, resolution, seed + level, sweeps)
+        ends = arc.join(home.select(KEY, "node", "com"), [KEY, "node"]).join(home.select(KEY, F.col("node").alias("v"), F.col("com").alias("other")), [KEY, "v"])
+        joined = pins.put(ends.filter("com <> other").groupBy(KEY, F.col("com").alias("node"), F.col("other").alias("v")).agg(F.sum("w").alias("w")))
+        held = home.groupBy(KEY, "com").agg(F.first("tot").alias("k"), F.first("m2").alias("m2"))
+        cross = joined.groupBy(KEY).agg(F.sum("w").alias("cross"))
+        spread = held.groupBy(KEY).agg(F.sum(F.col("k") * F.col("k")).alias("squares"), F.first("m2").alias("m2")).join(cross, KEY, "left")
+        # nodes that an earlier level left alone in a community without links to others are not in ``held``
+        after = 1 - F.coalesce("cross", F.lit(0.0)) / F.col("m2") - resolution * (F.col("squares") + F.coalesce("alone", F.lit(0.0))) / F.pow("m2", 2)
+        lone = strength.join(home.select(KEY, "node"), [KEY, "node"], "left_anti").groupBy(KEY).agg(F.sum(F.col("k") * F.col("k")).alias("alone"))
+        judged = pins.put(spread.join(lone, KEY, "left").select(KEY, after.alias("after")).join(quality, KEY))
+        raised = judged.filter("after > before").select(KEY)
+        taken = home.join(raised, KEY, "left_semi").select(KEY, F.col("node").alias("community"), "com")
+        renamed = pins.put(label.join(taken, [KEY, "community"], "left").select(KEY, "node", F.coalesce("com", "community").alias("community")))
+        on = judged.filter(F.col("after") - F.col("before") > threshold).select(KEY)
+        lone = strength.join(home.select(KEY, "node"), [KEY, "node"], "left_anti").select(KEY, "node", "k", "m2")
+        fresh = pins.put(held.withColumnRenamed("com", "node").unionByName(lone).join(on, KEY, "left_semi"))
+        onward = pins.put(joined.join(on, KEY, "left_semi"))
+        better = pins.put(judged.join(on, KEY, "left_semi").select(KEY, F.col("after").alias("before")))
+        pins.drop(arc, label, strength, quality, home, joined, judged)
+        arc, label, strength, quality, level = onward, renamed, fresh, better, level + 1
+    first = label.groupBy(KEY, "community").agg(F.min("node").alias("first"))
+    return label.join(first, [KEY, "community"]).select(KEY, "node", F.col("first").alias("community"))
 
 
 def prune(edges: DataFrame, method: str = "louvain", **options) -> DataFrame:

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+import sequential
+from pyspark.sql import functions as F
 
 from ledgerline.operators import community, graph, neighbourhood
 from ledgerline.schema import BLOCKS, FEATURES, STATS, VALUES
@@ -106,7 +108,7 @@ def test_components_and_louvain_part_two_cliques(spark):
 
 def test_louvain_of_no_edges_is_singletons():
     empty = np.empty(0, int)
-    assert community.louvain(empty, empty, np.empty(0), 3).tolist() == [0, 1, 2]
+    assert sequential.louvain(empty, empty, np.empty(0), 3).tolist() == [0, 1, 2]
 
 
 def test_long_path_is_one_component(spark):
@@ -129,7 +131,7 @@ def test_louvain_options(spark):
     with pytest.raises(ValueError):
         community.louvain_communities(e, max_level=0)
     with pytest.raises(ValueError):
-        community.louvain(np.array([0]), np.array([1]), np.ones(1), 2, max_level=0)
+        sequential.louvain(np.array([0]), np.array([1]), np.ones(1), 2, max_level=0)
     both = {r.node: r.community for r in community.louvain_communities(e, resolution=1.0, parallel=True).collect()}
     assert both == {"a": "a", "b": "a", "c": "c", "d": "c"}
     assert len({r.community for r in community.louvain_communities(e, resolution=1.0, max_level=1).collect()}) <= 3
@@ -137,5 +139,58 @@ def test_louvain_options(spark):
 
 def test_louvain_tells_of_a_cut_level(caplog):
     ring = np.arange(40)
-    community.louvain(ring, (ring + 1) % 40, np.ones(40), 40, resolution=1.0, sweeps=1)
+    sequential.louvain(ring, (ring + 1) % 40, np.ones(40), 40, resolution=1.0, sweeps=1)
     assert "cut off after 1 sweeps" in caplog.text
+
+
+def planted(rng, groups, size, inside, between, weights=(1.0,)):
+    """Pairs of a graph of groups, with more inside than between."""
+    n = groups * size
+    own = [(g * size + int(a), g * size + int(b)) for g in range(groups) for a, b in rng.integers(0, size, (inside, 2))]
+    pairs = {(min(p), max(p)) for p in own + rng.integers(0, n, (between, 2)).tolist() if p[0] != p[1]}
+    return [(a, b, float(rng.choice(weights))) for a, b in sorted(pairs)]
+
+
+@pytest.mark.parametrize("resolution,weights", [(1.0, (1.0,)), (10.0, (1.0,)), (1.0, (0.0123, 0.5, 1.0))])
+def test_parallel_moves_come_close_to_moves_one_by_one(spark, resolution, weights):
+    rng = np.random.default_rng(int(resolution) + len(weights))
+    graphs = [planted(rng, 12, 15, 60, 80, weights), planted(rng, 4, 30, 60, 200, weights), planted(rng, 1, 200, 5, 600, weights)]
+    rows = [(i, f"n{a:03d}", f"n{b:03d}", w, 0.0, 1) for i, pairs in enumerate(graphs) for a, b, w in pairs]
+    e = spark.createDataFrame(rows, EDGE).repartition(3)
+    found = community.louvain_communities(e, resolution=resolution)
+    home = {(r.snapshot_id, r.node): r.community for r in found.collect()}
+    assert set(home) == {(r[0], x) for r in rows for x in r[1:3]}
+    assert all(home[i, c] == c for (i, _), c in home.items()) and all(c <= x for (_, x), c in home.items())
+    got = {r.snapshot_id: r.modularity for r in community.modularity(e, found, resolution).collect()}
+    for i, pairs in enumerate(graphs):
+        a, b, w = (np.array(c) for c in zip(*pairs, strict=True))
+        names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = code[: len(a)], code[len(a) :]
+        neighbours = [{} for _ in names]
+        for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+            neighbours[x][y] = neighbours[y][x] = z
+        own = np.unique([home[i, f"n{x:03d}"] for x in names], return_inverse=True)[1]
+        assert sequential.modularity(neighbours, np.zeros(len(names)), own, resolution) == pytest.approx(got[i])
+        best = max(sequential.modularity(neighbours, np.zeros(len(names)), sequential.louvain(a, b, w, len(names), resolution, seed), resolution) for seed in (1, 2))
+        assert got[i] >= best - 0.02 * max(abs(best), 0.1), (i, got[i], best)
+
+
+def test_one_snapshot_is_many_tasks(spark):
+    pairs = planted(np.random.default_rng(3), 60, 20, 60, 100)
+    e = spark.createDataFrame([(0, f"n{a:04d}", f"n{b:04d}", w, 0.0, 1) for a, b, w in pairs], EDGE)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        found = community.louvain_communities(e, resolution=1.0, max_level=1)
+        assert found.groupBy(F.spark_partition_id()).count().filter("count > 0").count() > 2  # a snapshot's nodes lie in many tasks
+        assert found.select("community").distinct().count() < 300
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_louvain_of_self_loops_and_no_edges(spark):
+    e = table(spark, [("a", "a", 1.0), ("b", "c", 1.0)])
+    assert {(r.node, r.community) for r in community.louvain_communities(e, resolution=1.0).collect()} == {("a", "a"), ("b", "b"), ("c", "b")}
+    assert community.louvain_communities(e.limit(0)).count() == 0
