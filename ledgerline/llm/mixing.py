@@ -12,8 +12,9 @@
    reaches the driver and no rate is stored. The steps end when each domain is within CLOSE of its goal
    or the residual stalls, as where targets cannot be met; ``Fit.errors`` has what is missed, and a miss
    is warned of; steps have no cap.
-3. ``apply_rates`` repeats or drops documents: a rate r gives floor(r) copies and one more with
-   probability r - floor(r), decided by a hash of the id and text.
+3. ``mix_documents`` repeats or drops documents: a rate r gives floor(r) copies and one more with
+   probability r - floor(r), decided by a hash of the id and text. It keeps the documents beside their
+   posteriors, so that nothing is shuffled or joined.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and rate 1; a wordless
 text has the prior; repeated
@@ -31,11 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHES, batches as batches_of, free_name, lean, maybe, prepare, Scratch
+from .common import CACHES, batches as batches_of, lean, prepare, Scratch
 from .tokens import tokens as encoder
 
 #: Labelled rows that the classifier may learn from (where ids repeat, the first by a hash); hashed
@@ -125,19 +126,26 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sam
     return Classifier(domains, weights, prior)
 
 
-def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", paths: tuple = ()) -> DataFrame:
-    """(doc_id, key, tokens, posterior) per row; key: xxhash64 of the text; tokens: its ids under the BPE of ``paths``."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), *T.StructType.fromDDL("key long, tokens long, posterior array<double>").fields])
+def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", paths: tuple = (), whole: bool = False) -> DataFrame:
+    """(doc_id, key, tokens, posterior) per row; key: xxhash64 of the text; tokens: its ids under the BPE of ``paths``.
+
+    ``whole`` puts the row itself, a struct, in place of the id.
+    """
+    last = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col(text_col).alias("text")
+    first = [] if whole else [F.col(id_col).alias("doc_id")]
+    own = docs.select(*first, F.xxhash64(F.col(id_col), F.col(text_col)).alias("key") if whole else F.xxhash64(F.col(text_col)).alias("key"), last)
+    schema = T.StructType([own.schema["row"] if whole else own.schema["doc_id"], *T.StructType.fromDDL("key long, tokens long, posterior array<double>").fields])
+    place = docs.columns.index(text_col) if whole else None
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            encode, texts = encoder(*paths), [t or "" for t in b.column(2).to_pylist()]
+            key, last = b.columns[-2:]
+            encode, texts = encoder(*paths), [t or "" for t in (last.field(place) if whole else last).to_pylist()]
             p = [model.posterior(*features(t.encode())) for t in texts]
             flat = pa.array(np.concatenate(p) if p else np.empty(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(model.domains), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(encode.ids(t)) for t in texts], pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([last if whole else b.column(0), key, pa.array([len(encode.ids(t)) for t in texts], pa.int64()), lists], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
@@ -231,35 +239,36 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float]) ->
 
 
 def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
-    schema = T.StructType([*soft.schema.fields, T.StructField("rate", T.DoubleType())])
+    """``soft`` with the column ``rate``: the steps replayed for each row by an expression."""
+    if not fit.steps:
+        return soft.withColumn("rate", F.lit(1.0))
+    own = [F.col("posterior")[j] * (F.col("tokens") / F.lit(float(fit.mean))) * F.lit(float(x)) for j, x in enumerate(fit.scale)]
+    steps = F.array(*[F.struct(F.lit(m).alias("m"), *[F.lit(float(x)).alias(f"u{j}") for j, x in enumerate(u)]) for u, m in fit.steps])
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, fit.scale, fit.mean), fit.steps))], names=schema.names)
+    def onward(at: Column, step: Column) -> Column:
+        down = sum((a * step[f"u{j}"] for j, a in enumerate(own)), F.lit(0.0))
+        return F.struct(F.greatest(F.lit(0.0), at["w"] + step["m"] * (at["w"] - at["last"]) - down).alias("w"), at["w"].alias("last"))
 
-    return soft.mapInArrow(run, schema)
+    return soft.withColumn("rate", F.aggregate(steps, F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("last")), onward, lambda at: at["w"]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> tuple[DataFrame, list[str], Fit]:
-    """(doc_id, key, tokens, posterior, rate) per row of ``docs``; the domains; the fit."""
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, sample: int, paths: tuple, whole: bool) -> tuple[DataFrame, list[str], Fit]:
     spark = docs.sparkSession
     prepare(spark)
     model = fit_classifier(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
-    soft = Scratch(spark, "mixing").table(posteriors(docs, model, id_col, text_col, paths), "posteriors")
+    soft = Scratch(spark, "mixing").table(posteriors(docs, model, id_col, text_col, paths, whole), "posteriors")
     fit = fit_rates(soft, model.domains, TARGETS if targets is None else targets)
     return with_rates(soft, fit), model.domains, fit
 
 
-def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> tuple[DataFrame, list[str], Fit]:
+    """(doc_id, key, tokens, posterior, rate) per row of ``docs``; the domains; the fit."""
+    return _fitted(docs, labels, targets, id_col, text_col, sample, paths, False)
+
+
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> DataFrame:
     """``docs`` with each row as often as its rate says."""
-    times, copy, own, key = (free_name(docs, f"__{x}") for x in ("times", "copy", "own", "key"))
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("key")), 11) / F.lit(float(1 << 53))
-    drawn = mixed.select(F.col("doc_id").alias(own), F.col("key").alias(key), (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias(times)).distinct()
-    odd = Scratch(docs.sparkSession, "mixed").table(drawn.filter(F.col(times) != 1), "odd")
-    # rows that surely stay once are neither joined nor shuffled
-    flagged = maybe(docs, F.xxhash64(F.col(text_col)), odd.select(F.col(key).alias("key")), flag := free_name(docs, "__odd"))
-    unsure = flagged.filter(flag).drop(flag)
-    joined = unsure.join(odd, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(key)), "left")
-    again = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(times), F.lit(1))))).drop(own, key, times, copy)
-    return flagged.filter(~F.col(flag)).drop(flag).unionByName(again)
+    rated, _, _ = _fitted(docs, labels, targets, id_col, text_col, sample, paths, True)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("key")), 11) / F.lit(float(1 << 53))
+    times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    return rated.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

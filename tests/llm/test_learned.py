@@ -146,7 +146,7 @@ def test_rates_meet_the_targets(spark):
     errors = [np.abs(mixing.rates(a, fit.steps[:i]) @ a - want).max() for i in range(len(fit.steps) + 1)]
     assert errors[-1] < 0.05 * errors[0]
     times = {x.doc_id: 0 for x in rows}
-    out = mixing.apply_rates(docs, mixed)
+    out = mixing.mix_documents(docs, labels, {"high": 0.7, "low": 0.25, "toxic": 0.05})
     for x in out.collect():
         times[x.doc_id] += 1
     assert out.columns == docs.columns
@@ -161,9 +161,11 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert all(r.tokens == 0 and r.rate == 1 for r in rows if r.doc_id in (4, 5))
     ids = {(r.doc_id, r.tokens) for r in rows}
     assert ids == {(r.doc_id, len(tokens().ids(r.text or ""))) for r in odd_docs.collect()}
-    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("__id", "__key", "__own", "__odd", "__times", "__copy", "key", "rate", "tokens", "posterior")})
-    assert mixing.apply_rates(clashing, mixing.mix(clashing, labels)[0]).columns == clashing.columns
-    assert mixing.apply_rates(odd_docs, mixed).columns == odd_docs.columns
+    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("__id", "__key", "__own", "row", "copy", "key", "rate", "tokens", "posterior")})
+    again = mixing.mix_documents(clashing, labels)
+    assert again.columns == clashing.columns and mixing.mix_documents(odd_docs, labels).columns == odd_docs.columns
+    assert {tuple(r) for r in again.collect()} <= {tuple(r) for r in clashing.collect()}
+    assert mixing.mix_documents(no_docs, labels).count() == 0
     assert mixing.mix(no_docs, labels)[0].count() == 0
     one = mixing.mix(odd_docs, labels.limit(0))
     assert one[1] == ["all"] and {round(r.rate, 6) for r in one[0].collect()} == {1.0}
