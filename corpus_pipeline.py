@@ -30,8 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or drop out so that the domains' tokens meet their target weights."""
-    mixed, _, _ = mixing.mix(docs, read(spark, sf_dir, "labels"))
-    return mixing.apply_rates(docs, mixed)
+    return mixing.mix_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
