@@ -42,8 +42,10 @@ U = np.uint64
 #: Occurrences that make a candidate, words of the longest phrase, rows of a language's report, and the
 #: percentage of a phrase's count at which a longer one subsumes it.
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
-#: Words a cell of a sketch, bounds of its cells as powers of two, rows of a sketch, cells of a block.
-LOAD, CELL_BITS, ROWS, BLOCK = 16, (16, 27), 2, 1 << 16
+#: Words a cell of a sketch, bounds of its cells as powers of two, rows of a sketch, blocks of a row.
+LOAD, CELL_BITS, ROWS, BLOCKS = 16, (16, 27), 2, 64
+#: Languages whose word counts are broadcast, at most.
+LANGUAGES = 1 << 16
 #: Groups of a language's phrases whose best are found first.
 GROUPS = 64
 #: Bytes of text that a task counts at a time; longer texts are cut between pieces.
@@ -101,7 +103,7 @@ class Sieve:
     """The bits of merged sketches: by length, an array (row, cells / 8)."""
 
     def __init__(self, cells: int):
-        self.cells, self.bits = cells, {}
+        self.cells, self.block, self.bits = cells, cells // BLOCKS, {}
 
     def cell(self, h: np.ndarray, row: int) -> np.ndarray:
         return ((h >> U(32 * row)) & U(self.cells - 1)).astype(np.uint32)
@@ -135,8 +137,19 @@ def _counted(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell[first], np.diff(np.append(first, len(cell)))
 
 
+def _steps(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending cells as steps of 16 bits from -1, with stops of no count where a gap is wider."""
+    gap = np.diff(cell.astype(np.int64), prepend=-1)
+    stops = (gap - 1) // 65535
+    out = np.full(len(cell) + int(stops.sum()), 65535, np.uint16)
+    counts = np.zeros(len(out), n.dtype)
+    at = np.cumsum(stops + 1) - 1
+    out[at], counts[at] = gap - 65535 * stops, n
+    return out, counts
+
+
 def _sketch(sieve: Sieve, sizes: tuple[int, ...], least: int):
-    """(language, text) -> (block, cells, counts): the cells of the n-grams of ``sizes``, counts capped at ``least``."""
+    """(language, text) -> (block, steps, counts): the cells of the n-grams of ``sizes``, counts capped at ``least``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,25 +159,27 @@ def _sketch(sieve: Sieve, sizes: tuple[int, ...], least: int):
                 for row in range(ROWS) if size in sizes else ():
                     cell, n = _counted(sieve.cell(h[ok], row))
                     n = np.minimum(n, least).astype(np.uint32 if least > 255 else np.uint8)
-                    block = cell // BLOCK
+                    block = cell // sieve.block
                     ends = np.flatnonzero(np.diff(block)) + 1
                     for a, b in zip(np.append(0, ends), np.append(ends, len(cell)), strict=True) if len(cell) else ():
-                        out.append(((size * ROWS + row) << 20 | int(block[a]), (cell[a:b] % BLOCK).astype(np.uint16).tobytes(), n[a:b].tobytes()))
+                        steps, counts = _steps(cell[a:b] % sieve.block, n[a:b])
+                        out.append(((size * ROWS + row) * BLOCKS + int(block[a]), steps.tobytes(), counts.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "cells", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "steps", "counts"])
 
     return run
 
 
-def _merge(least: int):
+def _merge(size: int, least: int):
     """Sums the counts of each block; (block, bits) of those with a cell that reaches ``least``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, cells, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                total, at = held.setdefault(block, np.zeros(BLOCK, np.uint32 if least > 255 else np.uint16)), np.frombuffer(cells, np.uint16)
+            for block, steps, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total = held.setdefault(block, np.zeros(size, np.uint32 if least > 255 else np.uint16))
+                at = np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.int64) - 1
                 total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint32 if least > 255 else np.uint8), least)
         for block, total in held.items():
             if (full := total >= least).any():
@@ -177,12 +192,12 @@ def add_sketches(rows: DataFrame, sieve: Sieve, sizes: tuple[int, ...], least: i
     """Sketches the n-grams of ``sizes`` of ``rows`` (lang, text) and puts the merged bits into ``sieve``."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(sieve)  # 2 * 2**CELL_BITS[1] bits a length at most
-    met = rows.mapInArrow(lambda b: _sketch(known.value, sizes, least)(b), "block long, cells binary, counts binary")
-    merged = met.repartition(partitions(spark), "block").mapInArrow(_merge(least), "block long, bits binary")
+    met = rows.mapInArrow(lambda b: _sketch(known.value, sizes, least)(b), "block long, steps binary, counts binary")
+    merged = met.repartition(partitions(spark), "block").mapInArrow(_merge(sieve.block, least), "block long, bits binary")
     bits = {size: np.zeros((ROWS, sieve.cells // 8), np.uint8) for size in sizes}
     for r in merged.toLocalIterator():
-        key, at = r.block >> 20, (r.block & (1 << 20) - 1) * BLOCK // 8
-        bits[key // ROWS][key % ROWS, at : at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+        key, at = r.block // BLOCKS, r.block % BLOCKS * sieve.block // 8
+        bits[key // ROWS][key % ROWS, at : at + sieve.block // 8] = np.frombuffer(r.bits, np.uint8)
     sieve.bits |= bits
     known.unpersist()
 
@@ -235,6 +250,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     scratch = Scratch(docs.sparkSession, "phrases")
     counts = frequent(docs, scratch, least, longest, text_col, lang_col, load)
     words = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
+    words = F.broadcast(words) if words.count() <= LANGUAGES else words
     phrases = counts.filter("size > 1").select("lang", "phrase", F.col("f").alias("a"), "size", F.split("phrase", " ").alias("words"))
     longer = phrases.filter("size > 2").selectExpr("lang", f"explode(array({_part('1', 'size - 1')}, {_part('2', 'size - 1')})) as phrase", "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     left = phrases.join(longer, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < share * F.col("a")))

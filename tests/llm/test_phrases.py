@@ -51,7 +51,7 @@ def test_against_plain_counting(spark, least, longest, top, share):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.lang, r.text) for r in odd_docs.collect()]
-    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("phrase", "a", "l", "r", "n", "rank", "f", "block", "cells", "words", "head", "tail")})
+    clashing = odd_docs.withColumns({n: F.lit(n) for n in ("phrase", "a", "l", "r", "n", "rank", "f", "block", "steps", "words", "head", "tail")})
     for df in (odd_docs, clashing):
         assert got(phrases.collocations(df, 2)) == brute(rows, 2, 5, 2000)
     assert phrases.collocations(no_docs).count() == 0
@@ -79,6 +79,14 @@ def test_cutting_long_texts_loses_nothing(monkeypatch):
     assert len(parts) > 1 and b"\n".join(parts) == text.lower().replace(",", "\n").replace(".", "\n").replace("!", "\n").encode()
 
 
+def test_cells_come_back_from_their_steps():
+    for cell in ([0], [65534, 65535, 65536], [70000, 200000, 200001], [131069, 131070, 10**6], []):
+        cell = np.array(cell, np.uint32)
+        steps, counts = phrases._steps(cell, np.arange(1, len(cell) + 1).astype(np.uint8))
+        at = np.cumsum(steps, dtype=np.int64) - 1
+        assert at[counts > 0].tolist() == cell.tolist() and counts[counts > 0].tolist() == list(range(1, len(cell) + 1)) and (np.diff(at) > 0).all()
+
+
 def test_scores_beyond_64_bits_are_exact(spark):
     a, n, left, right = 3_000_000_019, 40_000_000_000_007, 5_000_000_023, 7_000_000_027
     wide = lambda c: f"cast({c} as decimal(17, 0))"
