@@ -1,121 +1,67 @@
 """A feed-forward network (ReLU) with class weight, dropout, weight decay and early stopping.
 
-Spark's own perceptron has none of these. The network is trained on all rows: an epoch is one pass over
-the training rows in which tasks add up the gradient of their rows in numpy; sums of the size of the
-network come back to the driver, which takes an Adam step. Nothing is drawn from the rows.
-
-Defined results: without training rows every score is 0.5; without positives or negatives the class
-weight is 1; ties of the validation measure keep the earlier network.
+Spark's own perceptron has none of these. Features are standardised by the training rows; ``training`` has the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from . import metrics
-from .models import score_with
-
-Layers = list[tuple[np.ndarray, np.ndarray]]
+from . import training
+from .training import Arrays, Setting, log_loss
 
 
-def started(width: int, hidden: tuple[int, ...], seed: int) -> Layers:
-    rng, sizes = np.random.default_rng(seed), [width, *hidden, 1]
-    return [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+@dataclass(frozen=True)
+class FeedForward:
+    width: int
+    hidden: tuple[int, ...] = (32,)
 
+    def start(self, rng: np.random.Generator) -> Arrays:
+        sizes, out = [self.width, *self.hidden, 1], {}
+        for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
+            out |= {f"w{i}": rng.normal(0, np.sqrt(2 / a), (a, b)), f"b{i}": np.zeros(b)}
+        return out
 
-def logits(net: Layers, x: np.ndarray) -> np.ndarray:
-    for w, b in net[:-1]:
-        x = np.maximum(x @ w + b, 0)
-    return (x @ net[-1][0] + net[-1][1])[:, 0]
+    def logits(self, p: Arrays, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        for i in range(len(self.hidden)):
+            x = np.maximum(x @ p[f"w{i}"] + p[f"b{i}"], 0)
+        i = len(self.hidden)
+        return (x @ p[f"w{i}"] + p[f"b{i}"])[:, 0]
 
+    def gradient(self, p: Arrays, x: np.ndarray, mask: np.ndarray | None, y: np.ndarray, scale: np.ndarray, keep) -> tuple[Arrays, float]:
+        inputs, masks, n = [x], [], len(self.hidden)
+        for i in range(n):
+            z = inputs[-1] @ p[f"w{i}"] + p[f"b{i}"]
+            masks.append((z > 0) * keep(f"layer {i}", z.shape[1]))
+            inputs.append(z * masks[-1])
+        loss, back = log_loss((inputs[-1] @ p[f"w{n}"] + p[f"b{n}"])[:, 0], y, scale)
+        back, out = back[:, None], {}
+        for i in range(n, -1, -1):
+            out |= {f"w{i}": inputs[i].T @ back, f"b{i}": back.sum(0)}
+            if i:
+                back = (back @ p[f"w{i}"].T) * masks[i - 1]
+        return out, loss
 
-def gradient(net: Layers, x: np.ndarray, y: np.ndarray, weight: float, dropout: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Sums over rows: gradient of the weighted log loss as one flat array, and the loss."""
-    inputs, masks = [x], []
-    for w, b in net[:-1]:
-        z = inputs[-1] @ w + b
-        mask = (z > 0) * (rng.random(z.shape) >= dropout) / (1 - dropout)
-        masks.append(mask)
-        inputs.append(z * mask)
-    z = (inputs[-1] @ net[-1][0] + net[-1][1])[:, 0]
-    scale = np.where(y > 0, weight, 1.0)
-    loss = float((scale * (np.logaddexp(0, z) - y * z)).sum())
-    back, flat = (scale * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y))[:, None], []
-    for i in range(len(net) - 1, -1, -1):
-        flat[:0] = [(inputs[i].T @ back).ravel(), back.sum(0)]
-        if i:
-            back = (back @ net[i][0].T) * masks[i - 1]
-    return np.concatenate(flat), loss
 
-
-def _shaped(flat: np.ndarray, like: Layers) -> Layers:
-    out, at = [], 0
-    for w, b in like:
-        out.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
-        at += w.size + b.size
-    return out
+def standardised(df: DataFrame, mean: list[float], std: list[float], features: str) -> DataFrame:
+    """``df`` with x, the standardised features."""
+    m, s = (F.lit(v).cast("array<double>") for v in (mean, std))
+    return df.withColumn("x", F.zip_with(F.zip_with(F.col(features).cast("array<double>"), m, lambda a, b: a - b), s, lambda a, b: a / b))
 
 
 def network(
-    train: DataFrame, rows: DataFrame, width: int, features: str = "f", hidden: tuple[int, ...] = (32,), val: DataFrame | None = None, weight: float | None = None,
-    dropout: float = 0.0, decay: float = 1e-5, step: float = 0.01, epochs: int = 100, every: int = 10, patience: int = 3, seed: int = 7,
-) -> DataFrame:
-    """``rows`` with score. ``weight`` of positives is by default negatives over positives.
-
-    Features are standardised by the training rows. With ``val`` the area under precision and recall there is
-    taken every ``every`` epochs; training ends after ``patience`` of these without a gain, and the best network counts.
-    """
-    ship(train.sparkSession)
-    own = train.select(F.col(features).cast("array<double>").alias("f"), F.col("y").cast("double").alias("y"))
-    stats = own.select("y", F.posexplode("f").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"), F.sum("y").alias("p")).collect()
-    if not stats:
-        return rows.withColumn("score", F.lit(0.5))
-    mean, std = np.zeros(width), np.ones(width)
+    train: DataFrame, rows: DataFrame, width: int, features: str = "f", hidden: tuple[int, ...] = (32,), val: DataFrame | None = None, path: str | None = None, **setting,
+) -> DataFrame:
+    """``rows`` with score; ``setting`` goes to ``training.Setting``, ``path`` is where the state is stored and taken up."""
+    stats = train.select(F.posexplode(F.col(features).cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).collect()
+    mean, std = [0.0] * width, [1.0] * width
     for r in stats:
         mean[r.i], std[r.i] = r["mean"], r["std"] or 1.0
-    n, positive = stats[0].n, stats[0].p
-    if weight is None:
-        weight = (n - positive) / positive if 0 < positive < n else 1.0
-    net = started(width, hidden, seed)
-    now = np.concatenate([v.ravel() for layer in net for v in layer])
-    first, second, best, kept, stale = np.zeros_like(now), np.zeros_like(now), -1.0, now, 0
-
-    def epoch(i: int, layers: Layers) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, rng = np.zeros(len(now)), np.random.default_rng([seed, i, TaskContext.get().partitionId()])
-            for b in batches:
-                if b.num_rows:
-                    x = (b.column(0).flatten().to_numpy().reshape(b.num_rows, width) - mean) / std
-                    total += gradient(layers, x, b.column(1).to_numpy(), weight, dropout, rng)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["g"])
-
-        sums = own.mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(now))
-        for r in sums:
-            out[r.i] = float(f"{r.v:.12g}")  # sums differ in their last digits between runs
-        return out / n
-
-    def scored(flat: np.ndarray, of: DataFrame) -> DataFrame:
-        layers = _shaped(flat, net)
-        return score_with(of, lambda x: 1 / (1 + np.exp(-np.clip(logits(layers, (x - mean) / std), -500, 500))), features)
-
-    for i in range(1, epochs + 1):
-        grad = epoch(i, _shaped(now, net)) + decay * now
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        now = now - step * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
-        if val is not None and (i % every == 0 or i == epochs):
-            area = metrics.auc(scored(now, val).select("score", "y")).first()
-            if area is not None and (area.auc_pr or 0.0) > best:
-                best, kept, stale = area.auc_pr or 0.0, now, 0
-            else:
-                stale += 1
-            if stale >= patience:
-                break
-    return scored(kept if val is not None else now, rows)
+    ready = lambda df: standardised(df, mean, std, features)
+    model = FeedForward(width, hidden)
+    p = training.train(model, ready(train), None if val is None else ready(val), Setting(**setting), path=path)
+    return training.scored(model, p, ready(rows)).drop("x")
