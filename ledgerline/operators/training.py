@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,74 +97,106 @@ def prepared(df: DataFrame, x: str, mask: str | None) -> DataFrame:
     return own.withColumn("h", F.xxhash64("x", "y"))
 
 
-def train(model, rows: DataFrame, val: DataFrame | None, setting: Setting, x: str = "x", mask: str | None = None, path: str | None = None) -> Arrays | None:
-    """The trained arrays of ``model``, None without rows (x, mask, y). With ``path`` training goes on from the state stored there."""
-    spark = rows.sparkSession
-    ship(spark)
-    own = Pins(spark, "training").put(prepared(rows, x, mask))
-    counted = own.agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p")).first()
-    if not counted.n:
-        return None
-    n, positive, weight = counted.n, counted.p, setting.weight
-    if weight is None:
-        weight = (n - positive) / positive if 0 < positive < n else 1.0
-    begun = model.start(np.random.default_rng(setting.seed))
-    fixed_names = set(getattr(model, "stats", ()))
-    flat = Flat({k: v for k, v in begun.items() if k not in fixed_names})
-    fixed = Flat({k: v for k, v in begun.items() if k in fixed_names})
+def descend(spark: SparkSession, begun: Arrays, epoch: Callable, judge: Callable | None, setting: Setting, path: str | None = None, constant: tuple[str, ...] = (), settle: Callable | None = None) -> Arrays:
+    """Adam steps from ``begun``; ``epoch(i, arrays)`` gives the mean gradient and sums that ``settle`` turns into the ``constant`` arrays.
+
+    ``judge(arrays)`` is the validation measure. The state is stored at ``path`` and, if there is one, taken up.
+    """
+    flat, fixed = parts(begun, constant)
     now, held = flat.pack(begun), fixed.pack(begun)
     first, second, best, kept, stale, last = np.zeros_like(now), np.zeros_like(now), -1.0, np.concatenate([now, held]), 0, 0
     if path and tables.find_table(spark, path):
         s = tables.load_table(spark, path).first()
         last, stale, best = s.epoch, s.stale, s.best
         now, kept, first, second, held = (np.array(s[c]) for c in ("weights", "kept", "first", "second", "fixed"))
-
-    def whole(flat_: np.ndarray, held_: np.ndarray) -> Arrays:
-        return flat.unpack(flat_) | fixed.unpack(held_)
-
-    def epoch(i: int, p: Arrays) -> tuple[np.ndarray, np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, sums = np.zeros(flat.size), np.zeros(fixed.size)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                (x_, mask_), y, h = columns(b), b.column(2).to_numpy(), b.column(3).to_numpy()
-
-                def keep(name: str, units: int, h: np.ndarray = h) -> np.ndarray | float:
-                    if not setting.dropout:
-                        return 1.0
-                    return (chances(h, units, setting.seed, i, sum(name.encode())) >= setting.dropout) / (1 - setting.dropout)
-
-                grads, _ = model.gradient(p, x_, mask_, y, np.where(y > 0, weight, 1.0), keep)
-                total += flat.pack(grads)
-                if fixed.size:
-                    sums += fixed.pack(model.sums(p, x_, mask_))
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, sums])])], names=["g"])
-
-        out = np.zeros(flat.size + fixed.size)
-        for r in own.mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r.i] = float(f"{r.v:.12g}")  # sums differ in their last digits between runs
-        return out[: flat.size] / n, out[flat.size :]
-
+    whole = lambda flat_, held_: flat.unpack(flat_) | fixed.unpack(held_)
     for i in range(last + 1, setting.epochs + 1):
         if stale >= setting.patience:
             break
         grad, sums = epoch(i, whole(now, held))
-        if fixed.size:
-            held = fixed.pack(model.settle(fixed.unpack(held), fixed.unpack(sums), n))
+        if settle is not None:
+            held = fixed.pack(settle(fixed.unpack(held), fixed.unpack(sums)))
         grad = grad + setting.decay * now
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         now = now - setting.step * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
-        if val is not None and (i % setting.every == 0 or i == setting.epochs):
-            area = metrics.auc(scored(model, whole(now, held), val, x, mask).select("score", "y")).first()
-            if area is not None and (area.auc_pr or 0.0) > best:
-                best, kept, stale = area.auc_pr or 0.0, np.concatenate([now, held]), 0
+        if judge is not None and (i % setting.every == 0 or i == setting.epochs):
+            value = judge(whole(now, held))
+            if value is not None and value > best:
+                best, kept, stale = value, np.concatenate([now, held]), 0
             else:
                 stale += 1
         if path and (i % setting.save_every == 0 or i == setting.epochs or stale >= setting.patience):
             state = [(i, stale, float(best), *[v.tolist() for v in (now, kept, first, second, held)])]
             tables.save_table(spark.createDataFrame(state, _STATE).coalesce(1), path)
-    return whole(now, held) if val is None else whole(kept[: flat.size], kept[flat.size :])
+    return whole(now, held) if judge is None else whole(kept[: flat.size], kept[flat.size :])
+
+
+def parts(begun: Arrays, constant: tuple[str, ...]) -> tuple[Flat, Flat]:
+    return Flat({k: v for k, v in begun.items() if k not in constant}), Flat({k: v for k, v in begun.items() if k in constant})
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of the arrays g of ``rows``."""
+    out = np.zeros(size)
+    for r in rows.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = float(f"{r.v:.12g}")  # sums differ in their last digits between runs
+    return out
+
+
+def dropout(setting: Setting, h: np.ndarray, i: int) -> Callable[[str, int], np.ndarray | float]:
+    """Multipliers of units for rows of hashes ``h`` in epoch ``i``."""
+
+    def keep(name: str, units: int) -> np.ndarray | float:
+        if not setting.dropout:
+            return 1.0
+        return (chances(h, units, setting.seed, i, sum(name.encode())) >= setting.dropout) / (1 - setting.dropout)
+
+    return keep
+
+
+def class_weight(setting: Setting, n: int, positive: int) -> float:
+    if setting.weight is not None:
+        return setting.weight
+    return (n - positive) / positive if 0 < positive < n else 1.0
+
+
+def train(model, rows: DataFrame, val: DataFrame | None, setting: Setting, x: str = "x", mask: str | None = None, path: str | None = None) -> Arrays | None:
+    """The trained arrays of ``model``, None without rows (x, mask, y). With ``path`` training goes on from the state stored there."""
+    spark = rows.sparkSession
+    ship(spark)
+    own = Pins(spark, "training").put(prepared(rows, x, mask))
+    counted = own.agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p")).first()
+    if not counted.n:
+        return None
+    weight = class_weight(setting, counted.n, counted.p)
+    begun, constant = model.start(np.random.default_rng(setting.seed)), tuple(getattr(model, "stats", ()))
+    flat, fixed = parts(begun, constant)
+
+    def epoch(i: int, p: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, sums = np.zeros(flat.size), np.zeros(fixed.size)
+            for b in batches:
+                if b.num_rows:
+                    (x_, mask_), y = columns(b), b.column(2).to_numpy()
+                    total += flat.pack(model.gradient(p, x_, mask_, y, np.where(y > 0, weight, 1.0), dropout(setting, b.column(3).to_numpy(), i))[0])
+                    if fixed.size:
+                        sums += fixed.pack(model.sums(p, x_, mask_))
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, sums])])], names=["g"])
+
+        out = summed(own.mapInArrow(run, "g array<double>"), flat.size + fixed.size)
+        return out[: flat.size] / counted.n, out[flat.size :]
+
+    def judge(p: Arrays) -> float | None:
+        return area(scored(model, p, val, x, mask))
+
+    settle = (lambda held, sums: model.settle(held, sums, counted.n)) if constant else None
+    return descend(spark, begun, epoch, judge if val is not None else None, setting, path, constant, settle)
+
+
+def area(rows: DataFrame) -> float | None:
+    """Area under precision and recall of (score, y); 0 without positives."""
+    found = metrics.auc(rows.select("score", "y")).first()
+    return None if found is None else found.auc_pr or 0.0
 
 
 def scored(model, p: Arrays | None, rows: DataFrame, x: str = "x", mask: str | None = None) -> DataFrame:
@@ -186,9 +218,7 @@ def scored(model, p: Arrays | None, rows: DataFrame, x: str = "x", mask: str | N
 
 def rescored(model, path: str, rows: DataFrame, x: str = "x", mask: str | None = None) -> DataFrame:
     """``rows`` with score by the best network of the state stored at ``path``; nothing is trained."""
-    begun = model.start(np.random.default_rng(0))
-    names = set(getattr(model, "stats", ()))
-    flat, fixed = Flat({k: v for k, v in begun.items() if k not in names}), Flat({k: v for k, v in begun.items() if k in names})
+    flat, fixed = parts(model.start(np.random.default_rng(0)), tuple(getattr(model, "stats", ())))
     s = tables.load_table(rows.sparkSession, path).first()
     kept = np.array(s.kept) if s.best >= 0 else np.concatenate([np.array(s.weights), np.array(s.fixed)])
     return scored(model, flat.unpack(kept[: flat.size]) | fixed.unpack(kept[flat.size :]), rows, x, mask)
