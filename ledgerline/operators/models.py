@@ -1,21 +1,24 @@
 """Models on feature vectors: built-in learners where Spark has them, small numpy ones where not.
 
-Deep sequence and image models are out of scope: windows, masks and scalers are supplied, and
-``score_with`` runs any function of a batch.
+Networks are in ``network``, ``sequence`` and ``sage``, second-order boosting is in ``boosting``; ``score_with`` runs any
+function of a batch.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .training import chances
 
 
 def _vectors(df: DataFrame, features: str, weight: float | None) -> DataFrame:
@@ -116,16 +119,49 @@ def _depths(tree: tuple, x: np.ndarray, at: int = 0) -> np.ndarray:
     return out
 
 
+def forest_samples(train: DataFrame, features: str, key: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, h, k, f): for each tree the ``sample`` rows with the smallest (hash by tree, hash of the key), and few more.
+
+    Rows above a bound that about twice as many pass are left out before anything moves; where a tree gets too few, the
+    bound is doubled, so what is sampled does not depend on it.
+    """
+    ship(train.sparkSession)
+    own = train.select(F.xxhash64(F.lit(seed), key).alias("k"), F.col(features).cast("array<double>").alias("f"))
+    n = own.count()
+    bound = min(1.0, 2 * sample / max(1, n))
+
+    def run(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = chances(b.column(0).to_numpy(), trees, seed)
+                row, tree = np.nonzero(u < bound) if bound < 1 else np.divmod(np.arange(u.size), trees)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(u[row, tree]), b.column(0).take(at), b.column(1).take(at)], names=["tree", "h", "k", "f"])
+
+    while True:
+        met = own.mapInArrow(lambda b, bound=bound: run(b, bound), "tree int, h double, k long, f array<double>")
+        if bound >= 1 or met.groupBy("tree").count().filter(F.col("count") >= min(sample, n)).count() == trees:
+            return met
+        bound = min(1.0, 2 * bound)
+
+
 def isolation_forest(train: DataFrame, rows: DataFrame, features: str = "f", key: str = "row_id", trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
-    """``rows`` with score in (0, 1), higher for outliers. Trees grow on seeded samples of ``sample`` rows each."""
-    pool = train.select(key, features).orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample * 16).collect()
-    x = np.array([r[1] for r in pool], float).reshape(len(pool), -1)
-    rng, size = np.random.default_rng(seed), min(sample, len(pool))
-    forest = [_tree(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size))))) for _ in range(trees)] if len(x) else []
-    norm = _path(size) or 1.0
+    """``rows`` with score in (0, 1), higher for outliers; 1 without training rows.
+
+    Every tree has a sample of its own from all rows and grows in a task of its own; trees alone come to the driver.
+    """
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "k"]).head(sample)
+        x, tree = np.stack(pdf["f"].to_numpy()).astype(float), int(pdf["tree"].iloc[0])
+        grown = _tree(x, np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(2, len(x))))))
+        return pd.DataFrame({"tree": [tree], "size": [len(x)], "grown": [json.dumps(grown)]})
+
+    found = forest_samples(train, features, key, trees, sample, seed).groupBy("tree").applyInPandas(grow, "tree int, size int, grown string").orderBy("tree").collect()
+    forest, norm = [json.loads(r.grown) for r in found], (_path(found[0]["size"]) if found else 1.0) or 1.0
 
     def score(x: np.ndarray) -> np.ndarray:
-        return 2.0 ** (-sum(_depths(t, x) for t in forest) / max(1, len(forest)) / norm)
+        return 2.0 ** (-sum((_depths(t, x) for t in forest), np.zeros(len(x))) / max(1, len(forest)) / norm)
 
     return score_with(rows, score, features)
 

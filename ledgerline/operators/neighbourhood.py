@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCKS, FEATURES, STATS, VALUES
+from . import windows
 from .graph import KEY, arcs
 from .pin import pinned
 
@@ -122,22 +123,27 @@ def features(edges: DataFrame, egos: DataFrame, ball: DataFrame | None = None) -
 def block_order_stats(edges: DataFrame, ball: DataFrame, value: str = "amount_trans") -> DataFrame:
     """(snapshot_id, ego, i, j, min, median, iqr) of the dense blocks that hold an edge.
 
-    Zeros stand between the negative and the other values; percentiles interpolate linearly, and
-    only given values are sorted, in arrays of one block each.
+    Zeros stand between the negative and the other values and are counted, not made; percentiles interpolate
+    linearly. Given values are dealt by ranges of (block, value) and numbered, so that a block may lie in several
+    tasks, and the few ranks that a block asks for are met by their numbers.
     """
+    block = [KEY, "ego", "i", "j"]
     ball = pinned(ball)
-    inside = block_edges(edges, ball).groupBy(KEY, "ego", "i", "j").agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("x"))
-    own = inside.join(sizes(ball), [KEY, "ego"])
-    n = F.element_at(F.array("n0", "n1", "n2"), F.col("i") + 1) * F.element_at(F.array("n0", "n1", "n2"), F.col("j") + 1)
-    own = own.withColumn("n", n).withColumn("zeros", F.col("n") - F.size("x")).withColumn("low", F.size(F.filter("x", lambda v: v < 0)))
-
-    def at(k: Column) -> Column:
-        """The k-th smallest cell, from 0."""
-        return F.when(k < F.col("low"), F.try_element_at("x", (k + 1).cast("int"))).when(k < F.col("low") + F.col("zeros"), F.lit(0.0)).otherwise(F.try_element_at("x", (k - F.col("zeros") + 1).cast("int")))
+    inside = block_edges(edges, ball).select(*block, F.col(value).cast("double").alias("v"))
+    ranged = pinned(inside.repartitionByRange(*block, "v").withColumn("__part", F.spark_partition_id()))
+    numbered = pinned(windows.numbered(ranged, "__part", [*block, "v"]).select(*block, "v", F.col("__n").alias("at")))
+    held = numbered.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("nnz"), F.count_if(F.col("v") < 0).alias("low"))
+    pick = lambda i: F.element_at(F.array("n0", "n1", "n2"), F.col(i) + 1)
+    own = held.join(sizes(ball), [KEY, "ego"]).withColumn("n", pick("i") * pick("j")).withColumn("zeros", F.col("n") - F.col("nnz"))
+    base = lambda p: F.floor((F.col("n") - 1) * F.lit(p))
+    asked = {"min": F.lit(0).cast("long")} | {f"{e}{int(100 * p)}": base(p) if e == "a" else F.least(base(p) + 1, F.col("n") - 1) for p in (0.25, 0.5, 0.75) for e in "ab"}
+    given = lambda k: F.when(k < F.col("low"), F.col("first") + k).when(k >= F.col("low") + F.col("zeros"), F.col("first") + k - F.col("zeros"))
+    ranks = own.select(*block, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), given(k).alias("at")) for name, k in asked.items()])).alias("r")).select(*block, "n", "r.*")
+    met = ranks.filter("at is not null").join(numbered.select("at", "v"), "at").unionByName(ranks.filter("at is null").withColumn("v", F.lit(0.0)))
+    wide = met.groupBy(*block, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in asked])
 
     def quantile(p: float) -> Column:
-        place = (F.col("n") - 1) * F.lit(p)
-        base = F.floor(place)
-        return at(base) + (at(F.least(base + 1, F.col("n") - 1)) - at(base)) * (place - base)
+        low, high = F.col(f"a{int(100 * p)}"), F.col(f"b{int(100 * p)}")
+        return low + (high - low) * ((F.col("n") - 1) * F.lit(p) - base(p))
 
-    return own.select(KEY, "ego", "i", "j", at(F.lit(0)).alias("min"), quantile(0.5).alias("median"), (quantile(0.75) - quantile(0.25)).alias("iqr"))
+    return wide.select(*block, "min", quantile(0.5).alias("median"), (quantile(0.75) - quantile(0.25)).alias("iqr"))

@@ -35,10 +35,10 @@ def node_codes(df: DataFrame, column: str = "node") -> DataFrame:
     sees all nodes.
     """
     ranged = pinned(df.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id()))
-    return _numbered(ranged, "__part", [column]).select(column, F.col("__n").cast("int").alias("node_code"))
+    return numbered(ranged, "__part", [column]).select(column, F.col("__n").cast("int").alias("node_code"))
 
 
-def _numbered(df: DataFrame, part: str, order: list) -> DataFrame:
+def numbered(df: DataFrame, part: str, order: list) -> DataFrame:
     """Adds __n, dense numbers from 0 by (part, order); parts are few and counted first."""
     counts = df.groupBy(part).agg(F.count("*").alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
@@ -52,7 +52,7 @@ def store_rows(labelled: DataFrame, columns: list[str] | None = None) -> DataFra
     f = F.array(*[scrub(F.col(c).cast("float")) for c in columns])
     own = labelled.select(KEY, F.col("node").cast("string").alias("node"), F.col("label").cast("float").alias("label"), f.alias("f"))
     ranged = pinned(own.repartitionByRange(KEY, "node").withColumn("__part", F.spark_partition_id()))  # a snapshot is several tasks
-    return _numbered(ranged, "__part", [KEY, "node"]).select(F.col("__n").alias("row_id"), KEY, "node", "label", "f")
+    return numbered(ranged, "__part", [KEY, "node"]).select(F.col("__n").alias("row_id"), KEY, "node", "label", "f")
 
 
 def offsets(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], stratum: str |
     sizes = ranged.groupBy(*groups).agg(F.count("*").alias("__all")) if groups else ranged.agg(F.count("*").alias("__all"))
     above = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # a row a stratum
     sizes = sizes.withColumn("__from", F.coalesce(F.sum("__all").over(above), F.lit(0)) if groups else F.lit(0))
-    ranked = _numbered(ranged, "__part", [*groups, "__h", key])
+    ranked = numbered(ranged, "__part", [*groups, "__h", key])
     if groups:
         ranked = ranked.join(F.broadcast(sizes.withColumnRenamed(stratum, "__g")), F.col(stratum).eqNullSafe(F.col("__g"))).drop("__g")
     else:
@@ -212,7 +212,7 @@ def appearance_codes(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """(column, code): codes 0.. in the order in which values first appear."""
     first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
     ranged = pinned(first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id()))
-    return _numbered(ranged, "__part", ["__first"]).select(column, F.col("__n").cast("int").alias("code"))
+    return numbered(ranged, "__part", ["__first"]).select(column, F.col("__n").cast("int").alias("code"))
 
 
 def labels_in_order(order: DataFrame, labels: DataFrame, position: str = "position") -> DataFrame:
