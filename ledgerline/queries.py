@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import fx, scalars
-from .operators import community, graph, metrics, models, neighbourhood, network, results, snapshots, windows
+from .operators import boosting, community, graph, metrics, models, neighbourhood, network, results, sage, sequence, snapshots, training, windows
 from .plans import features as plans
 from .schema import BLOCKS, FEATURES, STATS, VALUES
 from .shared import shared_folder
@@ -537,6 +537,11 @@ def ego_styles(spark, sf_dir):
     return graph.ego_styles(_edges(spark, sf_dir), 1)[0]
 
 
+@_query(f"with {E_SQL} select snapshot_id, src, dst, case when src = 1 or dst = 1 then 'magenta' else 'black' end as color from e")
+def ego_edge_styles(spark, sf_dir):
+    return graph.ego_styles(_edges(spark, sf_dir), 1)[1]
+
+
 # --- store, windows, bands, scaling ------------------------------------------------------------------
 
 
@@ -659,13 +664,13 @@ def band_class_ratio(spark, sf_dir):
 _SCALER = f"{_banded_sql(4)}, cell as (select distinct row_id from banded where band = 'train' and row_id >= 0), fit as (select avg(cast(f1 as double)) as m1, greatest(stddev_pop(cast(f1 as double)), 1e-8) as s1, avg(cast(f2 as double)) as m2, greatest(stddev_pop(cast(f2 as double)), 1e-8) as s2 from rows_ join cell using (row_id))"
 
 
-def _fitted(spark, sf_dir):
-    return windows.scaler(_banded(spark, sf_dir).filter("band = 'train'"), _rows(spark, sf_dir), 2)
+def _fitted(rows):
+    return windows.scaler(windows.bands(windows.windows(rows, 4, "nowcast"), 8, 8).filter("band = 'train'"), rows, 2)
 
 
 @_query(f"with {_SCALER} select 0 as feature, round(m1, 4) as mean, round(s1, 4) as std from fit union all select 1, round(m2, 4), round(s2, 4) from fit")
 def scaler_stats(spark, sf_dir):
-    return _rounded(_fitted(spark, sf_dir), 4)
+    return _rounded(_fitted(_rows(spark, sf_dir)), 4)
 
 
 _SCALER90 = f"{_banded_sql(4, _ROWS90)}, cell as (select distinct row_id from banded where band = 'train' and row_id >= 0), fit as (select {', '.join(f'avg(cast({n} as double)) as m{i}, greatest(stddev_pop(cast({n} as double)), 1e-8) as s{i}' for i, n in enumerate(FEATURES))} from rows_ join cell using (row_id))"
@@ -681,7 +686,8 @@ def scaler_stats_90(spark, sf_dir):
 @_query(f"with {_SCALER} select row_id, round((f1 - m1) / s1, 3) as f1, round((f2 - m2) / s2, 3) as f2 from rows_, fit")
 def scaled_rows(spark, sf_dir):
     f = lambda i: F.round(F.col("f")[i].cast("double"), 3).alias(f"f{i + 1}")
-    return windows.scale(_rows(spark, sf_dir), _fitted(spark, sf_dir)).select("row_id", f(0), f(1))
+    rows = _rows(spark, sf_dir)
+    return windows.scale(rows, _fitted(rows)).select("row_id", f(0), f(1))
 
 
 @_query("with n as (select toxic, count(*) as n from labels group by all) select toxic, 'train' as split, cast(round(n * 0.6) as bigint) as n from n union all select toxic, 'val', cast(round(n * 0.8) - round(n * 0.6) as bigint) from n union all select toxic, 'test', cast(n - round(n * 0.8) as bigint) from n")
@@ -707,9 +713,9 @@ def labels_in_order(spark, sf_dir):
     return windows.labels_in_order(order, _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("node"), "toxic"))
 
 
-@_query("select cast((i - 1) // 9 as integer) as channel, round(avg(cast(embedding[i] as double)), 9) as mean, round(stddev_samp(cast(embedding[i] as double)), 9) as std from embeddings, (select unnest(range(1, 64)) as i) group by all")
+@_query("select cast((i - 1) // 8 as integer) as channel, round(avg(cast(embedding[i] as double)), 9) as mean, round(stddev_samp(cast(embedding[i] as double)), 9) as std from embeddings, (select unnest(range(1, 65)) as i) group by all")
 def channel_stats(spark, sf_dir):
-    return _rounded(windows.channel_stats(_table(spark, sf_dir, "embeddings"), "embedding", 7), 9)
+    return _rounded(windows.channel_stats(_table(spark, sf_dir, "embeddings"), "embedding", 8, 8), 9)
 
 
 @_query("select round_even(count(*) filter (toxic = 0) / count(*) filter (toxic = 1), 0) * 0.01::double as weight from labels")
@@ -733,7 +739,7 @@ def name_parts(spark, sf_dir):
 def transfers_in_time(spark, sf_dir):
     """Ordered by time, ties by the other columns; the places are given by ranges."""
     ordered = loaders.in_time(_transfers(spark, sf_dir)).withColumn("__part", F.spark_partition_id())
-    return windows._numbered(windows.pinned(ordered), "__part", ["ts", "src", "dst", "amount", "label"]).select(F.col("__n").alias("position"), "src", "dst", "ts")
+    return windows.numbered(windows.pinned(ordered), "__part", ["ts", "src", "dst", "amount", "label"]).select(F.col("__n").alias("position"), "src", "dst", "ts")
 
 
 @_query()
@@ -941,16 +947,68 @@ def network_scores(spark, sf_dir):
     return network.network(rows.filter(~held_out), rows, 64, val=rows.filter(held_out), dropout=0.1).select("row_id", "y", "score")
 
 
+@_query()
+def boosted_scores(spark, sf_dir):
+    """Second-order trees with class weight and draws, stopped by the held-out band; every row is scored."""
+    rows = _training_rows(spark, sf_dir)
+    held_out = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
+    setting = boosting.Setting(trees=10, depth=3, step=0.3, weight=9.0, rows=0.8, columns=0.5)
+    return boosting.scored(boosting.boost(rows.filter(~held_out), setting, val=rows.filter(held_out)), rows).select("row_id", "y", "score")
+
+
+def _scaled_windows(spark, sf_dir):
+    """(anchor, node, y, x, mask): four steps of the 90 columns, scaled by the train band, absent steps zero."""
+    rows = _rows90(spark, sf_dir)
+    cut = windows.bands(windows.windows(rows, 4, "nowcast"), 8, 8)
+    unit = windows.scale(rows, windows.scaler(cut.filter("band = 'train'"), rows, 90))
+    return windows.dense(windows.with_history(cut.drop("band")), unit, 90).withColumn("x", F.flatten("x")), cut.select("anchor", "node", "band")
+
+
+def _sequence_scores(model) -> Query:
+    def run(spark, sf_dir):
+        rows, bands = _scaled_windows(spark, sf_dir)
+        rows = windows.pinned(rows.join(bands, ["anchor", "node"]))
+        p = training.train(model, rows.filter("band = 'train'"), rows.filter("band = 'val'"), training.Setting(epochs=6, every=3, step=0.02, dropout=0.1), mask="mask")
+        return training.scored(model, p, rows, mask="mask").select("anchor", "node", "y", "score")
+
+    return run
+
+
+for _name, _model in (("recurrent_scores", sequence.Recurrent(4, 90, 16)), ("attention_scores", sequence.Attention(4, 90, 16, 2))):
+    _f = _sequence_scores(_model)
+    _f.__name__ = _name
+    _query()(_f)
+
+
+@_query()
+def convolution_scores(spark, sf_dir):
+    """Over the (10, 3, 3) blocks of every row of the feature store."""
+    rows = _rows90(spark, sf_dir)
+    unit = windows.scale(rows, windows.scaler(windows.windows(rows, 1, "nowcast"), rows, 90)).select("row_id", F.col("label").alias("y"), F.col("f").alias("x"))
+    unit, model = windows.pinned(unit), sequence.Convolution()
+    return training.scored(model, training.train(model, unit, None, training.Setting(epochs=6, step=0.02)), unit).select("row_id", "y", "score")
+
+
+@_query()
+def sage_scores(spark, sf_dir):
+    """Two layers over the day's transfers, trained on the nodes of four fifths, scoring all."""
+    edges, small = windows.pinned(_edges(spark, sf_dir)), _small(spark, sf_dir)
+    x = small.select("snapshot_id", "node", F.array(F.log1p("deg"), F.log1p("amt")).alias("x"))
+    y = small.filter(F.pmod(F.xxhash64("node"), F.lit(5)) != 0).select("snapshot_id", "node", F.col("label").alias("y"))
+    return sage.sage_scores(edges, x, y, training.Setting(epochs=5, step=0.05), hidden=8).select("snapshot_id", "node", "score")
+
+
 @_query()
 def iforest_scores(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
     return models.isolation_forest(rows, rows).select("row_id", "score")
 
 
-@_query("select vec_id, cast(i as integer) as i, case when embedding[i + 1] > 0 then 1 else 0 end as bit from embeddings, (select unnest(range(13)) as i)")
+@_query("select vec_id, cast(i as integer) as i, case when embedding[i % 64 + 1] > 0 then 1 else 0 end as bit from embeddings, (select unnest(range(69)) as i)")
 def bitpack_roundtrip(spark, sf_dir):
-    bits = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 13), lambda x: (x > 0).cast("int")).alias("b"))
-    return models.unpack_bits(models.pack_bits(bits, "b"), "b", 13).select("vec_id", F.posexplode("b").alias("i", "bit"))
+    """All 64 components and the first five again: a length that fills no whole number of bytes."""
+    bits = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.concat("embedding", F.slice("embedding", 1, 5)), lambda x: (x > 0).cast("int")).alias("b"))
+    return models.unpack_bits(models.pack_bits(bits, "b"), "b", 69).select("vec_id", F.posexplode("b").alias("i", "bit"))
 
 
 @_query("with b as (select unnest(range(10)) as c, vec_id, embedding from embeddings) select vec_id, cast(c as integer) as channel, cast(r as integer) as \"row\", cast(k as integer) as col, embedding[(c * 9 + r * 3 + k) % 64 + 1] as v from b, (select unnest(range(3)) as r), (select unnest(range(3)) as k)")
