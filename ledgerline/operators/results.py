@@ -63,17 +63,22 @@ def write_metrics(scores: DataFrame, stem: str, model: str = "model") -> DataFra
     areas = spark.read.parquet(save_table(auc(scores, model), stem))
     pr, roc = (spark.read.parquet(save_table(curve(scores, model), f"{stem}_{name}")) for name, curve in (("pr", pr_curve), ("roc", roc_curve)))
 
-    def ends(df: DataFrame, name: str, columns: list[str], ascending: bool) -> dict[str, list]:
-        """At most seven points of a curve; only the ends of long ones are shown."""
+    def ends(df: DataFrame, columns: list[str], ascending: bool) -> dict:
+        """By model the points that are shown of its curve: the first four and the last three.
+
+        Each end is a limit of its own, which Spark takes within tasks before rows meet by model.
+        """
         down = Window.partitionBy(model).orderBy(F.asc_nulls_last("threshold") if ascending else F.desc("threshold"))
         up = Window.partitionBy(model).orderBy(F.desc_nulls_first("threshold") if ascending else F.asc("threshold"))
-        few = df.withColumn("__a", F.row_number().over(down)).withColumn("__z", F.row_number().over(up)).filter("__a <= 4 or __z <= 3")
-        return {c: [r[c] for r in few.filter(F.col(model).eqNullSafe(F.lit(name))).orderBy("__a").collect()] for c in columns}
-
-    blocks = []
-    for r in areas.orderBy(model).collect():  # a row a model
-        a, b = ends(pr, r[model], ["precision", "recall"], True), ends(roc, r[model], ["fpr", "tpr"], False)
-        blocks.append(metrics_text(r[model], r.auc_pr, r.auc_roc, b["fpr"], b["tpr"], a["precision"], a["recall"]))
+        first = df.withColumn("at", F.row_number().over(down)).filter("at <= 4")
+        last = df.withColumn("at", -F.row_number().over(up)).filter("at >= -3")
+        found: dict = {}
+        for r in sorted(first.unionByName(last).collect(), key=lambda r: (r["at"] < 0, r["at"])):
+            found.setdefault(r[model], {}).setdefault(r.threshold, [r[c] for c in columns])  # a short curve's ends overlap
+        return {name: list(zip(*points.values(), strict=True)) for name, points in found.items()}
+
+    rows, pr, roc = areas.orderBy(model).collect(), ends(pr, ["precision", "recall"], True), ends(roc, ["fpr", "tpr"], False)  # a few points a model
+    blocks = [metrics_text(r[model], r.auc_pr, r.auc_roc, *map(list, roc[r[model]]), *map(list, pr[r[model]])) for r in rows]
     write_text(spark, f"{stem}.txt", "\n".join(blocks))
     return areas
 
