@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCKS, FEATURES, STATS, VALUES
-from . import windows
+from . import hubs, windows
 from .graph import KEY, arcs
 from .pin import pinned
 
@@ -103,12 +103,19 @@ def dense_stat(stat: str, cells: Column, nnz: Column, total: Column, largest: Co
     return F.when((cells > 0) & (nnz > 0), value).otherwise(F.lit(0.0))
 
 
-def features(edges: DataFrame, egos: DataFrame, ball: DataFrame | None = None) -> DataFrame:
-    """(snapshot_id, node, 90 features) of every ego. ``edges`` are the pruned ones."""
-    ball = pinned(members(edges, egos)) if ball is None else ball
-    count = sizes(ball)
+def features(edges: DataFrame, egos: DataFrame, ball: DataFrame | None = None, limit: int = hubs.LIMIT) -> DataFrame:
+    """(snapshot_id, node, 90 features) of every ego. ``edges`` are the pruned ones.
+
+    Where a node has more than ``limit`` neighbours, balls are described by ``hubs``, else by their members.
+    """
+    edges = pinned(edges)
+    if ball is None and not hubs.heavy_nodes(arcs(edges), limit).isEmpty():
+        count, found = hubs.blocks(edges, egos, limit)
+    else:
+        ball = pinned(members(edges, egos)) if ball is None else ball
+        count, found = sizes(ball), block_sums(block_edges(edges, ball))
     pick = lambda i: F.when(F.col(i) == 0, F.col("n0")).when(F.col(i) == 1, F.col("n1")).otherwise(F.col("n2"))
-    sums = block_sums(block_edges(edges, ball)).join(count, [KEY, "ego"]).withColumn("cells", pick("i") * pick("j"))
+    sums = found.join(count, [KEY, "ego"]).withColumn("cells", pick("i") * pick("j"))
     stats = [dense_stat(s, F.col("cells"), F.col("nnz"), *[F.col(f"{v}_{k}") for k in ("sum", "max", "avg", "var")]) for v in VALUES for s in STATS]
     # a block is one short array; nine of them are laid out in the frozen order by one expression
     cells = sums.groupBy(KEY, "ego").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * 3 + F.col("j"), F.array("weight", *stats)))).alias("b"))

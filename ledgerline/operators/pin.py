@@ -10,11 +10,18 @@ from ..shared import shared_folder
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: lineage is cut and later reads see the same rows in the same parts."""
+    """``df`` written to the checkpoint folder: lineage is cut and later reads see the same rows in the same parts.
+
+    A frame that this function returned is returned as it is.
+    """
+    if getattr(df, "_pinned", False):
+        return df
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    held = df.checkpoint()
+    held._pinned = True
+    return held
 
 
 class Pins:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import community, graph, neighbourhood, snapshots, windows
+from ..operators.pin import pinned
 from ..sources import loaders
 from ..sources.tables import exists, some
 
 
 def daily_features(tx: DataFrame, step: float = 1, unit: str = "days", width: float | None = None, echo_days: float | None = None, method: str = "none") -> DataFrame:
     """The 90 features of every node of every snapshot; edges are pruned by community, nodes are all kept."""
-    edges = snapshots.snapshot_edges(tx, snapshots.make_grid(tx, step, unit, width), echo_days)
+    tx = pinned(tx)  # read for the grid and for the edges
+    edges = pinned(snapshots.snapshot_edges(tx, snapshots.make_grid(tx, step, unit, width), echo_days))
     return neighbourhood.features(community.prune(edges, method), graph.nodes(edges))
 
 
@@ -23,7 +25,7 @@ def extract(spark: SparkSession, settings: Settings, folder: str, out: str, meth
     A snapshot's partitions replace those that an earlier run left, so a run that failed between its two
     writes, or within one, is made good by the next.
     """
-    tx = loaders.load(spark, settings.dataset, folder, settings.kind or None)
+    tx = pinned(loaders.load(spark, settings.dataset, folder, settings.kind or None))  # raw files are parsed once
     grid = snapshots.make_grid(tx, settings.step, settings.step_unit, settings.width)
     todo = grid.frame(spark)
     if all(some(spark, f"{out}/{t}/snapshot_id=*") for t in ("features", "labels")):  # partitions appear whole
@@ -32,6 +34,7 @@ def extract(spark: SparkSession, settings: Settings, folder: str, out: str, meth
     ids = [(r.snapshot_id,) for r in todo.select("snapshot_id").collect()]  # a row a snapshot; the tables read are replaced below
     wanted = F.broadcast(spark.createDataFrame(ids, "snapshot_id int"))
     edges = snapshots.snapshot_edges(tx, grid, settings.days_echo if settings.echo else None).join(wanted, "snapshot_id")
+    edges = pinned(edges)
     wide = snapshots.Grid(grid.first, grid.last, grid.step, int(settings.days_echo * 86_400_000_000)) if settings.echo else grid
     labels = snapshots.node_labels(snapshots.assign(tx, wide).join(wanted, "snapshot_id"), "snapshot_id")
     found = neighbourhood.features(community.prune(edges, method), graph.nodes(edges))

@@ -57,7 +57,7 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str, step: float = 1, width: float | None = None, echo: float | None = None) -> DataFrame:
-    tx = _transfers(spark, sf_dir)
+    tx = windows.pinned(_transfers(spark, sf_dir))  # read for the grid and for the edges
     return snapshots.snapshot_edges(tx, snapshots.make_grid(tx, step, "days", width), echo)
 
 
@@ -297,7 +297,7 @@ def snapshot_grid(spark, sf_dir):
 
 def _assigned(width: float, step: float = 1) -> Query:
     def run(spark, sf_dir):
-        tx = _transfers(spark, sf_dir)
+        tx = windows.pinned(_transfers(spark, sf_dir))
         placed = snapshots.assign(tx, snapshots.make_grid(tx, step, "days", width))
         return placed.groupBy("snapshot_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("amount"))
 
@@ -324,7 +324,7 @@ _LAB = "lab as (select snapshot_id, node, max(cast(label as integer)) as label f
 
 
 def _labels(spark, sf_dir):
-    tx = _transfers(spark, sf_dir)
+    tx = windows.pinned(_transfers(spark, sf_dir))
     return snapshots.node_labels(snapshots.assign(tx, snapshots.make_grid(tx, 1, "days")), "snapshot_id")
 
 
@@ -335,7 +335,7 @@ def node_labels(spark, sf_dir):
 
 @_query(f"with {_placed(1, 1)}, {_LAB} select snapshot_id, count(*) as positives from lab where label = 1 group by all")
 def positives_per_window(spark, sf_dir):
-    tx = _transfers(spark, sf_dir)
+    tx = windows.pinned(_transfers(spark, sf_dir))
     return snapshots.positives_per_window(snapshots.assign(tx, snapshots.make_grid(tx, 1, "days")))
 
 
