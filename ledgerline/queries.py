@@ -16,6 +16,7 @@ from .schema import BLOCKS, FEATURES, STATS, VALUES
 from .shared import shared_folder
 from .sources import adapters, loaders, tables
 from .sources.tables import scores_long
+from .streaming import edges as stream_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -320,6 +321,15 @@ def echo_edges(spark, sf_dir):
     return _edges(spark, sf_dir, echo=3).select("snapshot_id", "src", "dst", F.round("weight", 6).alias("weight"), F.round("amount_trans", 4).alias("amount_trans"), "num_trans")
 
 
+@_query(f"with {_placed(1, 3)} select snapshot_id, src, dst, round(max(exp(ln(0.01) / 3 * (((snapshot_id + 1) * {DAY} - o) // 1000000) / 86400.0)), 6) as weight, round(sum(amount), 4) as amount_trans, count(amount) as num_trans from placed group by all")
+def streamed_echo_edges(spark, sf_dir):
+    """The transfers replayed as a stream: the same table, window by window as they close."""
+    tx = windows.pinned(_transfers(spark, sf_dir))
+    grid = snapshots.make_grid(tx, 1, "days")
+    got = stream_edges.replayed(tx, grid, lambda s: stream_edges.streaming_edges(s, DAY, DAY, "0 seconds", grid.first, 3))
+    return got.select("snapshot_id", "src", "dst", F.round("weight", 6).alias("weight"), F.round("amount_trans", 4).alias("amount_trans"), "num_trans")
+
+
 _LAB = "lab as (select snapshot_id, node, max(cast(label as integer)) as label from (select snapshot_id, src as node, label from placed union all select snapshot_id, dst, label from placed) group by all)"
 
 
