@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .graph import KEY, arcs, nodes, within
@@ -13,6 +13,8 @@ from .pin import Pins, pinned
 log = logging.getLogger(__name__)
 #: Rounds without fewer moves after which a level of local moves ends.
 PATIENCE = 6
+#: A level ends when two rounds together move no more than one node in FEW.
+FEW = 100
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -77,13 +79,16 @@ def _settle(pins: Pins, arc: DataFrame, strength: DataFrame, resolution: float,
         turn = F.xxhash64(F.lit(seed), F.lit(sweep), F.col("node")).bitwiseAND(F.lit(1)) == 0
         rest = F.coalesce("stay", -pull * (F.col("mine_tot") - F.col("k")))
         go = F.coalesce(turn & (-F.col("best.loss") > rest + 1e-12), F.lit(False))
-        placed = pins.put(best.select(KEY, "node", "k", "m2", F.when(go, F.col("best.com")).otherwise(F.col("mine")).alias("com"), go.alias("moved")))
+        seen = Observation()
+        placed = best.select(KEY, "node", "k", "m2", F.when(go, F.col("best.com")).otherwise(F.col("mine")).alias("com"), go.alias("moved"))
+        placed = pins.put(placed.observe(seen, F.count_if("moved").alias("moved")))
         totals = placed.groupBy(KEY, "com").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
         after = pins.put(placed.join(totals, [KEY, "com"]).select(KEY, "node", "k", "m2", "com", "tot", "n"))
-        moved = placed.filter("moved").count()
+        moved = seen.get["moved"]
         pins.drop(now, placed)
         now = after
-        if last + moved <= nodes_ // 1000 and sweep:
+        log.debug("louvain: sweep %d moved %d of %d nodes", sweep, moved, nodes_)
+        if last + moved <= nodes_ // FEW and sweep:
             return now
         fewest, since = (moved, 0) if fewest is None or moved < fewest else (fewest, since + 1)
         if since >= PATIENCE:
