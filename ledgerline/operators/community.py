@@ -14,7 +14,7 @@ log = logging.getLogger(__name__)
 #: Rounds without fewer moves after which a level of local moves ends.
 PATIENCE = 6
 #: A level ends when two rounds together move no more than one node in FEW.
-FEW = 100
+FEW = 400
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
