@@ -252,23 +252,30 @@ def with_rates(soft: DataFrame, fit: Fit) -> DataFrame:
     return soft.withColumn("rate", F.aggregate(steps, F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("last")), onward, lambda at: at["w"]))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, sample: int, paths: tuple, whole: bool) -> tuple[DataFrame, list[str], Fit]:
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, sample: int, paths: tuple, scratch: Scratch | None) -> tuple[DataFrame, list[str], Fit]:
     spark = docs.sparkSession
     prepare(spark)
     model = fit_classifier(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
-    soft = Scratch(spark, "mixing").table(posteriors(docs, model, id_col, text_col, paths, whole), "posteriors")
+    soft = posteriors(docs, model, id_col, text_col, paths, scratch is not None)
+    soft = (scratch or Scratch(spark, "mixing")).table(soft, "posteriors")
     fit = fit_rates(soft, model.domains, TARGETS if targets is None else targets)
     return with_rates(soft, fit), model.domains, fit
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> tuple[DataFrame, list[str], Fit]:
     """(doc_id, key, tokens, posterior, rate) per row of ``docs``; the domains; the fit."""
-    return _fitted(docs, labels, targets, id_col, text_col, sample, paths, False)
+    return _fitted(docs, labels, targets, id_col, text_col, sample, paths, None)
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = ()) -> DataFrame:
-    """``docs`` with each row as often as its rate says."""
-    rated, _, _ = _fitted(docs, labels, targets, id_col, text_col, sample, paths, True)
+def mix_documents(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, paths: tuple = (), scratch: Scratch | None = None,
+) -> DataFrame:
+    """``docs`` with each row as often as its rate says.
+
+    The frame reads the table "posteriors" of ``scratch``, which holds the documents; who gives a scratch may
+    free that table once the frame is written.
+    """
+    rated, _, _ = _fitted(docs, labels, targets, id_col, text_col, sample, paths, scratch or Scratch(docs.sparkSession, "mixing"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("key")), 11) / F.lit(float(1 << 53))
     times = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     return rated.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
