@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm import exact_dedup, langid, mixing, ngram_join, packing
 from ledgerline.llm.common import Scratch, read
 
+#: Scratch of mixing, which holds all documents until its result is written.
+_spent: list[Scratch] = []
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter, no text, or none that the network is sure of (score under 0.4)."""
@@ -30,11 +33,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or drop out so that the domains' tokens meet their target weights."""
-    return mixing.mix_documents(docs, read(spark, sf_dir, "labels"))
+    _spent.append(Scratch(spark, "mixing"))
+    return mixing.mix_documents(docs, read(spark, sf_dir, "labels"), scratch=_spent[-1])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Pieces of sequences of 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``docs`` is what mixing returned, written and reread, so the table that mixing kept beside it goes first.
+    """
+    while _spent:
+        _spent.pop().free("posteriors")
     return packing.pack(docs)[1]
 
 
