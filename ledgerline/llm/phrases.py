@@ -27,6 +27,7 @@ gives an empty result; ids and other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ LOAD, CELL_BITS, ROWS, BLOCKS = 16, (16, 27), 2, 64
 LANGUAGES = 1 << 16
 #: Groups of a language's phrases whose best are found first.
 GROUPS = 64
+#: Survivors whose counts a task keeps before it hands them on.
+HELD = 300_000
 #: Bytes of text that a task counts at a time; longer texts are cut between pieces.
 FLUSH = 6 << 20
 UNKNOWN = "und"
@@ -207,8 +210,16 @@ def _survivors(sieve: Sieve, longest: int):
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def drain() -> pa.RecordBatch:
+            langs, sizes, phrases = zip(*held, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "size", "phrase", "f"])
+            held.clear()
+            return out
+
         for lang, ids, words in buffered(batches):
-            sizes, phrases, counts = [0], [""], [int((ids >= 0).sum())]
+            held[lang, 0, ""] += int((ids >= 0).sum())
             text = [w.decode() for w in words]
             gram = ids
             for size, ok, _ in levels(lang, ids, words, sieve, longest):
@@ -218,10 +229,12 @@ def _survivors(sieve: Sieve, longest: int):
                 _, first, same, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 gram = np.zeros(len(ok), np.int64)
                 gram[where] = same
-                sizes += [size] * len(n)
-                counts += n.tolist()
-                phrases += [" ".join([text[i] for i in ids[p : p + size]]) for p in where[first].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sizes)), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "size", "phrase", "f"])
+                for p, k in zip(where[first].tolist(), n.tolist(), strict=True):
+                    held[lang, size, " ".join([text[i] for i in ids[p : p + size]])] += k
+            if len(held) >= HELD:
+                yield drain()
+        if held:
+            yield drain()
 
     return run
 
