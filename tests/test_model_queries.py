@@ -42,6 +42,14 @@ def test_logistic_scores_are_those_of_the_penalised_optimum(spark):
     assert np.allclose([got[r.row_id] for r in rows], want, atol=2e-3)
 
 
+def test_logistic_scores_send_no_model_to_tasks(spark):
+    scored = core.queries()["logreg_scores"](spark, SF)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan, plan
+    one = models.logistic(spark.createDataFrame([(1, [0.5]), (1, [2.0])], "y int, f array<double>"), spark.createDataFrame([(0, [9.0])], "y int, f array<double>")).first()
+    assert one.score == 1.0 and models.logistic(spark.createDataFrame([], "y int, f array<double>"), spark.createDataFrame([(0, [9.0])], "y int, f array<double>")).first().score == 0.5
+
+
 def test_forest_scores_are_those_of_its_trees(spark):
     rows = core._training_rows(spark, SF)
     got = {r.row_id: r.score for r in core.queries()["iforest_scores"](spark, SF).collect()}
