@@ -4,6 +4,7 @@ import sequential
 from pyspark.sql import functions as F
 
 from ledgerline.operators import community, graph, neighbourhood
+from ledgerline.operators.pin import Pins
 from ledgerline.schema import BLOCKS, FEATURES, STATS, VALUES
 
 EDGE = "snapshot_id int, src string, dst string, weight double, amount_trans double, num_trans long"
@@ -194,3 +195,17 @@ def test_louvain_of_self_loops_and_no_edges(spark):
     e = table(spark, [("a", "a", 1.0), ("b", "c", 1.0)])
     assert {(r.node, r.community) for r in community.louvain_communities(e, resolution=1.0).collect()} == {("a", "a"), ("b", "b"), ("c", "b")}
     assert community.louvain_communities(e.limit(0)).count() == 0
+
+
+def test_a_balls_tasks_grow_with_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = {(a, b) for a, b in rng.integers(0, 60, (240, 2)).tolist() if a != b}
+    e = table(spark, [(f"n{a:02d}", f"n{b:02d}", float(a * 3 + b)) for a, b in sorted(pairs)])
+    want = {(r.snapshot_id, r.node): r for r in neighbourhood.features(e, graph.nodes(e), limit=0).collect()}
+    monkeypatch.setattr(neighbourhood, "ROWS", 100)
+    held, tasks = neighbourhood.lists(e, Pins(spark, "test"), "weight")
+    rows = neighbourhood.sent(held, tasks, "weight")
+    assert tasks > 16 and rows.rdd.getNumPartitions() == tasks >= rows.count() / 100
+    for r in neighbourhood.features(e, graph.nodes(e)).collect():
+        for c in FEATURES:
+            assert r[c] == pytest.approx(want[0, r.node][c], rel=1e-9, abs=1e-6), (r.node, c)
