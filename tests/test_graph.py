@@ -206,6 +206,9 @@ def test_a_balls_tasks_grow_with_its_rows(spark, monkeypatch):
     held, tasks = neighbourhood.lists(e, Pins(spark, "test"), "weight")
     rows = neighbourhood.sent(held, tasks, "weight")
     assert tasks > 16 and rows.rdd.getNumPartitions() == tasks >= rows.count() / 100
+    ball, dealt = (neighbourhood.members(e, graph.nodes(e), limit) for limit in (512, 3))
+    assert ball.rdd.getNumPartitions() > 16 and dealt.rdd.getNumPartitions() > 16
+    assert sorted(map(tuple, ball.collect())) == sorted(map(tuple, dealt.collect()))
     for r in neighbourhood.features(e, graph.nodes(e)).collect():
         for c in FEATURES:
             assert r[c] == pytest.approx(want[0, r.node][c], rel=1e-9, abs=1e-6), (r.node, c)
