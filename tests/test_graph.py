@@ -212,3 +212,20 @@ def test_a_balls_tasks_grow_with_its_rows(spark, monkeypatch):
     for r in neighbourhood.features(e, graph.nodes(e)).collect():
         for c in FEATURES:
             assert r[c] == pytest.approx(want[0, r.node][c], rel=1e-9, abs=1e-6), (r.node, c)
+
+
+def test_block_features_exchange_lists_not_third_steps(spark):
+    rng = np.random.default_rng(2)
+    pairs = {(a, b) for a, b in rng.integers(0, 1500, (6000, 2)).tolist() if a != b}
+    e = table(spark, [(f"n{a:04d}", f"n{b:04d}", 1.0) for a, b in sorted(pairs)])
+    context = spark.sparkContext
+
+    def exchanged():
+        none = context._gateway.new_array(context._jvm.double, 0)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = exchanged()
+    neighbourhood.features(e, graph.nodes(e)).write.format("noop").mode("overwrite").save()
+    own = sum(n for k, n in exchanged().items() if k not in before)
+    assert 0 < own < 40 * len(pairs), own  # 66 an edge where edges are looked for from far members
