@@ -229,3 +229,18 @@ def test_block_features_exchange_lists_not_third_steps(spark):
     neighbourhood.features(e, graph.nodes(e)).write.format("noop").mode("overwrite").save()
     own = sum(n for k, n in exchanged().items() if k not in before)
     assert 0 < own < 40 * len(pairs), own  # 66 an edge where edges are looked for from far members
+
+
+def test_louvain_settles_a_block_in_a_task_and_a_large_snapshot_in_many(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    graphs = [planted(rng, 12, 15, 60, 80), planted(rng, 4, 30, 60, 200)]
+    e = spark.createDataFrame([(i, f"n{a:03d}", f"n{b:03d}", w, 0.0, 1) for i, pairs in enumerate(graphs) for a, b, w in pairs], EDGE).repartition(3)
+    put, made = Pins.put, []
+    monkeypatch.setattr(Pins, "put", lambda self, df: made.append(df) or put(self, df))
+    community.louvain_communities(e, resolution=1.0, max_level=1)
+    assert len(made) < 20, len(made)  # one round a level; rounds of single moves make two tables each
+    whole = community.louvain_communities(e, resolution=1.0)
+    monkeypatch.setattr(community, "BLOCK", 150)
+    parted = community.louvain_communities(e, resolution=1.0)
+    a, b = ({r.snapshot_id: r.modularity for r in community.modularity(e, x, 1.0).collect()} for x in (whole, parted))
+    assert all(b[i] >= 0.9 * a[i] > 0 for i in a), (a, b)
