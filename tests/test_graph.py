@@ -244,3 +244,19 @@ def test_louvain_settles_a_block_in_a_task_and_a_large_snapshot_in_many(spark, m
     parted = community.louvain_communities(e, resolution=1.0)
     a, b = ({r.snapshot_id: r.modularity for r in community.modularity(e, x, 1.0).collect()} for x in (whole, parted))
     assert all(b[i] >= 0.9 * a[i] > 0 for i in a), (a, b)
+
+
+def test_block_sums_do_not_depend_on_the_tiles_and_exchange_no_edges_with_balls(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = {(a, b) for a, b in rng.integers(0, 200, (700, 2)).tolist() if a != b}
+    e = table(spark, [(f"n{a:03d}", f"n{b:03d}", float(a * 3 - b * 2)) for a, b in sorted(pairs)])
+    want = {r.node: r for r in neighbourhood.features(e, graph.nodes(e), neighbourhood.members(e, graph.nodes(e))).collect()}
+    for ids, edges, looks in ((8_000_000, 1_000_000, 1 << 21), (2000, 150, 50)):
+        for name, value in (("IDS", ids), ("EDGES", edges), ("LOOKS", looks)):
+            monkeypatch.setattr(neighbourhood, name, value)
+        got = {r.node: r for r in neighbourhood.features(e, graph.nodes(e)).collect()}
+        assert set(got) == set(want)
+        for k, r in want.items():
+            for c in FEATURES:
+                assert got[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-6), (ids, k, c)
+    assert not neighbourhood.crowded(graph.arcs(e), 512) and neighbourhood.crowded(graph.arcs(e), 2)
