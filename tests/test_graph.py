@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import sequential
 from pyspark.sql import functions as F
@@ -260,3 +261,27 @@ def test_block_sums_do_not_depend_on_the_tiles_and_exchange_no_edges_with_balls(
             for c in FEATURES:
                 assert got[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-6), (ids, k, c)
     assert not neighbourhood.crowded(graph.arcs(e), 512) and neighbourhood.crowded(graph.arcs(e), 2)
+
+
+def test_order_stats_by_tiles_are_those_of_the_members_and_meet_across_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(a, b) for a, b in rng.integers(0, 60, (200, 2)).tolist() if a != b}
+    e = table(spark, [(f"n{a:03d}", f"n{b:03d}", float(a * 3 - b * 2)) for a, b in sorted(pairs)])
+    rows = lambda df: {(r.ego, r.i, r.j): (r.min, r.median, r.iqr) for r in df.collect()}
+    want = rows(neighbourhood.block_order_stats(e, neighbourhood.members(e, graph.nodes(e))))
+    for edges in (1_000_000, 60):
+        monkeypatch.setattr(neighbourhood, "EDGES", edges)
+        got = rows(neighbourhood.block_orders(e, graph.nodes(e)))
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    got = rows(neighbourhood.block_orders(e, graph.nodes(e), limit=2))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_members_are_looked_up_in_memory_that_does_not_grow_with_the_names_of_a_snapshot():
+    n = 40_000
+    names = pa.array([f"n{i}" for i in range(n)])
+    turned = pa.array([f"n{(i + 1) % n}" for i in range(n)])
+    left = pa.table({"snapshot_id": pa.array([0] * n, pa.int32()), "ego": names, **{f"t{k}": pa.array([[x] for x in c.to_pylist()]) for k, c in enumerate((names, turned))}, "t2": pa.array([[]] * n, pa.list_(pa.string()))})
+    right = pa.table({"src": names, "dst": turned, "weight": pa.array(np.ones(n))})
+    met = list(neighbourhood._inside(left, right, ["weight"]))
+    assert sum(len(block) for _, _, block, _ in met) == n and len(met) <= 10  # before: a pass for each 209 balls
