@@ -133,3 +133,18 @@ def test_cached_tables_are_built_once(spark, tmp_path):
     for _ in range(2):
         assert windows.cached(spark, str(tmp_path), ("d1_w1", 8, 3, "nowcast"), build).count() == 3
     assert len(calls) == 1
+
+
+def test_row_ids_are_dense_in_order_and_wide_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).selectExpr("cast(id % 7 as int) as snapshot_id", "cast(id as string) as node", "0 as label", "cast(id as double) as a")
+    rows = windows.store_rows(df.mapInArrow(seen, df.schema), ["a"]).collect()
+    want = sorted((i % 7, str(i)) for i in range(1000))
+    assert [(r.snapshot_id, r.node) for r in sorted(rows, key=lambda r: r.row_id)] == want and sorted(r.row_id for r in rows) == list(range(1000))
+    assert made.value == 1000
