@@ -9,8 +9,8 @@ Texts (A-Z in lower case) are cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pie
    ``least``, beyond which they do not matter. What the driver gets and broadcasts is a bit a cell. Words and pairs are
    sketched first, then longer n-grams whose pairs may all be frequent. Sketches only overestimate, so
    no frequent n-gram is lost.
-2. The second pass counts the survivors exactly, by their words: in the task, then by an ordinary
-   shuffle that begins with partial sums.
+2. The second pass counts the survivors exactly, by their words: in the task, then by blocks of phrases, which travel
+   as arrays; a task adds up a few blocks at a time.
 3. Every cut of a candidate into two parts is scored, floor(1000 * a * n / (l * r)), in decimals that
    cannot overflow; the lowest counts. A candidate inside a longer one that occurs ``share`` percent as
    often goes: by monotony of counts only those longer by one word need to be looked at.
@@ -27,11 +27,13 @@ gives an empty result; ids and other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +51,9 @@ LOAD, CELL_BITS, ROWS, BLOCKS = 16, (16, 27), 2, 64
 LANGUAGES = 1 << 16
 #: Groups of a language's phrases whose best are found first.
 GROUPS = 64
-#: Survivors whose counts a task keeps before it hands them on.
-HELD = 300_000
+#: Survivors whose counts a task keeps before it hands them on, and blocks that they are handed on in.
+HELD, PACKS = 300_000, 1024
+COUNTED = ["lang", "size", "phrase", "f"]
 #: Bytes of text that a task counts at a time; longer texts are cut between pieces.
 FLUSH = 6 << 20
 UNKNOWN = "und"
@@ -206,7 +209,10 @@ def add_sketches(rows: DataFrame, sieve: Sieve, sizes: tuple[int, ...], least: i
 
 
 def _survivors(sieve: Sieve, longest: int):
-    """(language, text) -> (lang, size, phrase, f) of survivors, and all words of a language as size 0."""
+    """(language, text) -> (block, lang, size, phrase, f): a task's counts of survivors, and of all words of a language as size 0.
+
+    A row holds those of a block of phrases, in arrays.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +220,13 @@ def _survivors(sieve: Sieve, longest: int):
 
         def drain() -> pa.RecordBatch:
             langs, sizes, phrases = zip(*held, strict=True)
-            out = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "size", "phrase", "f"])
+            block = np.fromiter((zlib.crc32(f"{lang} {phrase}".encode()) % PACKS for lang, phrase in zip(langs, phrases, strict=True)), np.int32, len(langs))
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.diff(block[order], prepend=-1))
+            ends = pa.array(np.append(first, len(order)).astype(np.int32))
+            columns = [pa.array(langs), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(list(held.values()), pa.int64())]
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(block[order][first]), *[pa.ListArray.from_arrays(ends, c.take(pa.array(order))) for c in columns]], names=["block", *COUNTED])
 
         for lang, ids, words in buffered(batches):
             held[lang, 0, ""] += int((ids >= 0).sum())
@@ -239,6 +249,33 @@ def _survivors(sieve: Sieve, longest: int):
     return run
 
 
+def _settled(least: int):
+    """Blocks of counts in order of the block -> (lang, size, phrase, f) that reach ``least``, and size 0."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            sums = pa.concat_tables(held).group_by(COUNTED[:3]).aggregate([("f", "sum")]).rename_columns(COUNTED)
+            held.clear()
+            yield from sums.filter(pc.or_(pc.greater_equal(sums["f"], least), pc.equal(sums["size"], 0))).to_batches()
+
+        last = None
+        for b in batches:
+            block = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            for a, z in zip(starts, np.append(starts[1:], len(block)), strict=True):
+                if block[a] != last and sum(t.num_rows for t in held) >= HELD:
+                    yield from drain()
+                last = block[a]
+                held.append(pa.Table.from_arrays([c.slice(a, z - a).flatten() for c in b.columns[1:]], names=COUNTED))
+        if held:
+            yield from drain()
+
+    return run
+
+
 def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", load: int = LOAD) -> DataFrame:
     """(lang, size, phrase, f): all n-grams of 1 to ``longest`` words that occur ``least`` times, exactly counted; size 0: all words."""
     prepare(docs.sparkSession)
@@ -249,9 +286,9 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int
         if sizes and sizes[0] <= longest:
             add_sketches(rows, sieve, sizes, least)
     known = docs.sparkSession.sparkContext.broadcast(sieve)
-    found = rows.mapInArrow(lambda b: _survivors(known.value, longest)(b), "lang string, size int, phrase string, f long")
-    exact = found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
-    return scratch.table(exact, "frequent")
+    found = rows.mapInArrow(lambda b: _survivors(known.value, longest)(b), "block int, lang array<string>, size array<int>, phrase array<string>, f array<long>")
+    found = found.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    return scratch.table(found.mapInArrow(_settled(least), "lang string, size int, phrase string, f long"), "frequent")
 
 
 def _part(first: str, length: str) -> str:

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,15 @@ def test_scores_beyond_64_bits_are_exact(spark):
     wide = lambda c: f"cast({c} as decimal(17, 0))"
     row = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long")
     assert row.selectExpr(f"(1000 * ({wide('a')} * {wide('n')})) div ({wide('l')} * {wide('r')}) as s").first().s == 1000 * a * n // (left * right)
+
+
+def test_counts_of_a_task_travel_in_blocks_and_meet_whole(monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 2000)
+    text = " ".join(f"w{i}" for i in range(5000))
+    run = phrases._survivors(phrases.Sieve(1 << 16), 3)
+    sent = [b for _ in range(3) for b in run(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])]))]
+    assert sum(b.num_rows for b in sent) <= 3 * phrases.PACKS  # before: a row for each of 44,994 counts
+    rows = pa.Table.from_batches(sent).sort_by("block").to_batches()
+    found = Counter({(r["size"], r["phrase"]): r["f"] for b in phrases._settled(3)(iter(rows)) for r in b.to_pylist()})
+    assert len(found) == 5000 + 4999 + 4998 + 1 and found.pop((0, "")) == 15_000 and set(found.values()) == {3}
+    assert [r["size"] for b in phrases._settled(4)(iter(rows)) for r in b.to_pylist()] == [0]
