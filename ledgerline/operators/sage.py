@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,24 @@ def _matrix(column: pa.Array, n: int, width: int) -> np.ndarray:
     return out
 
 
+def _around(p: Arrays, b: pa.RecordBatch, width: int, hidden: int) -> tuple[np.ndarray, ...]:
+    """near of a batch's nodes; of their neighbours, as rows hold them: the node's place, x, m, the bend of the first layer; their number."""
+    n = b.num_rows
+    near, held = _matrix(b.column("near"), n, hidden), b.column("around")
+    values = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * width) if width else np.zeros((0, 0))
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(held), 0).to_numpy() // max(1, 2 * width))
+    x, m = values[:, :width], values[:, width:]
+    z = m @ p["near0"] + x @ p["root0"] + p["bias0"]
+    count = np.bincount(row, minlength=n)
+    for h in range(hidden):
+        near[:, h] += np.bincount(row, np.maximum(z[:, h], 0), n) / np.maximum(count, 1)
+    return near, row, x, m, z > 0, np.maximum(count, 1)
+
+
+#: Numbers that a node's row holds of its neighbours, at most; nodes with more are met by joins in every epoch.
+AROUND = 2048
+
+
 class Graph:
     """Nodes with features, the means of their neighbours' features, and labels, stored once for all epochs."""
 
@@ -62,7 +81,17 @@ class Graph:
         mean = over_arcs(self.arc, own, "x", self.width).withColumnRenamed("x", "m") if self.width else own.limit(0).withColumnRenamed("x", "m")
         degree = self.arc.groupBy(KEY, F.col("u").alias("node")).agg(F.count("*").cast("double").alias("degree"))
         label = y.select(KEY, "node", F.col("y").cast("double").alias("y"))
-        self.nodes = self.pins.put(own.join(mean, [KEY, "node"], "left").join(degree, [KEY, "node"], "left").join(label, [KEY, "node"], "left").withColumn("h", F.xxhash64(KEY, "node")))
+        met = self.pins.put(own.join(mean, [KEY, "node"], "left"))
+        degree = degree.withColumn("heavy", F.col("degree") * (2 * self.width) > AROUND)
+        crowd = self.pins.put(degree.filter("heavy").select(KEY, F.col("node").alias("u")))
+        self.heavy = None if crowd.isEmpty() else self.pins.put(self.arc.join(crowd, [KEY, "u"], "left_semi").select(KEY, "u", "v"))
+        light = self.arc if self.heavy is None else self.arc.join(crowd, [KEY, "u"], "left_anti")
+        none = F.array_repeat(F.lit(0.0), self.width)
+        sent = met.select(KEY, F.col("node").alias("v"), F.concat("x", F.coalesce("m", none)).alias("xm"))
+        around = light.select(KEY, F.col("u").alias("node"), "v").join(sent, [KEY, "v"]).groupBy(KEY, "node").agg(F.flatten(F.collect_list("xm")).alias("around"))
+        nodes = met.join(degree, [KEY, "node"], "left").join(around, [KEY, "node"], "left").join(label, [KEY, "node"], "left")
+        self.nodes = self.pins.put(nodes.withColumn("h", F.xxhash64(KEY, "node")))
+        self.pins.drop(own, met)
 
     def _first(self, p: Arrays, hidden: int) -> DataFrame:
         """(snapshot_id, node, a): the first layer's output."""
@@ -79,10 +108,10 @@ class Graph:
         return self.nodes.select(KEY, "node", "x", "m").mapInArrow(run, f"{kinds}, a array<double>")
 
     def _met(self, p: Arrays, hidden: int, layers: int) -> DataFrame:
-        """Nodes and, for two layers, near: the mean of their neighbours' first outputs."""
-        if layers == 1:
+        """Nodes and, for two layers, near: the mean of a heavy node's neighbours' first outputs; other rows hold what it takes."""
+        if layers == 1 or self.heavy is None:
             return self.nodes.withColumn("near", F.lit(None).cast("array<double>"))
-        return self.nodes.join(over_arcs(self.arc, self._first(p, hidden), "a", hidden).withColumnRenamed("a", "near"), [KEY, "node"], "left")
+        return self.nodes.join(over_arcs(self.heavy, self._first(p, hidden), "a", hidden).withColumnRenamed("a", "near"), [KEY, "node"], "left")
 
     def gradient(self, p: Arrays, layers: int, weight: float, setting: Setting, i: int = 0) -> tuple[np.ndarray, float]:
         """Gradient of the summed loss of labelled nodes as one flat array, and the loss."""
@@ -97,7 +126,7 @@ class Graph:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """What each node hands down to its own first output and to its neighbours', then the sums."""
             total, lost = np.zeros(flat.size), 0.0
-            names, last = [KEY, "node", "direct", "send", "g"], None
+            names, last = [KEY, "node", "send", "g"], None
             for b in batches:
                 n = b.num_rows
                 if not n:
@@ -106,9 +135,9 @@ class Graph:
                 x, m, z, a = inward(b)
                 y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
                 said, keep = np.isfinite(y), dropout(setting, b.column("h").to_numpy(), i)
-                near = _matrix(b.column("near"), n, hidden)
                 drop0, drop1 = keep("0", hidden), keep("1", hidden)
                 if layers == 2:
+                    near, row, x1, m1, bend1, count = _around(p, b, width, hidden)
                     a = a * drop0
                     z1 = near @ p["near1"] + a @ p["root1"] + p["bias1"]
                     top, bend, drop = np.maximum(z1, 0), z1 > 0, drop1
@@ -120,36 +149,42 @@ class Graph:
                 out |= {"w": (top * drop).T @ dz, "c": np.array([dz.sum()])}
                 if layers == 2:
                     out |= {"near1": near.T @ back, "root1": a.T @ back, "bias1": back.sum(0)}
-                    degree = np.nan_to_num(b.column("degree").to_numpy(zero_copy_only=False).astype(float), nan=1.0)
-                    direct, send = (back @ p["root1"].T) * drop0 * (z > 0), (back @ p["near1"].T) / degree[:, None]
-                    yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("node"), pa.array(list(direct)), pa.array(list(send)), pa.nulls(n, pa.list_(pa.float64()))], names=names)
+                    send, direct = back @ p["near1"].T, (back @ p["root1"].T) * drop0 * (z > 0)
+                    to = (send / count[:, None])[row] * bend1
+                    out |= {"near0": m.T @ direct + m1.T @ to, "root0": x.T @ direct + x1.T @ to, "bias0": direct.sum(0) + to.sum(0)}
+                    heavy = np.flatnonzero(b.column("heavy").fill_null(False).to_numpy(zero_copy_only=False))
+                    if len(heavy):
+                        degree = b.column("degree").to_numpy(zero_copy_only=False).astype(float)[heavy]
+                        who = [b.column(c).take(pa.array(heavy)) for c in (KEY, "node")]
+                        yield pa.RecordBatch.from_arrays([*who, pa.array(list(send[heavy] / degree[:, None])), pa.nulls(len(heavy), pa.list_(pa.float64()))], names=names)
                 else:
                     out |= {"near0": m.T @ back, "root0": x.T @ back, "bias0": back.sum(0)}
                 total, lost = total + flat.pack(out), lost + loss
             if last is not None:
                 empty = pa.nulls(1, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, last.column(KEY).type), pa.nulls(1, last.column("node").type), empty, empty, pa.array([np.append(total, lost)])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, last.column(KEY).type), pa.nulls(1, last.column("node").type), empty, pa.array([np.append(total, lost)])], names=names)
 
         def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(flat.size)
             for b in batches:
                 if b.num_rows:
                     x, m, z, _ = inward(b)
-                    back = _matrix(b.column("direct"), b.num_rows, hidden) + _matrix(b.column("send"), b.num_rows, hidden) * (z > 0)
+                    back = _matrix(b.column("send"), b.num_rows, hidden) * (z > 0)
                     out = {k: np.zeros_like(v) for k, v in p.items()}
                     total += flat.pack(out | {"near0": m.T @ back, "root0": x.T @ back, "bias0": back.sum(0)})
             yield pa.RecordBatch.from_arrays([pa.array([total])], names=["g"])
 
-        handed = self.pins.put(self._met(p, hidden, layers).mapInArrow(run, f"{kinds}, direct array<double>, send array<double>, g array<double>"))
+        handed = self._met(p, hidden, layers).mapInArrow(run, f"{kinds}, send array<double>, g array<double>")
+        if layers == 1 or self.heavy is None:
+            sums = summed(handed, flat.size + 1)
+            return sums[:-1], float(sums[-1])
+        handed = self.pins.put(handed)
         sums = summed(handed.filter("g is not null"), flat.size + 1)
-        out, loss = sums[:-1], float(sums[-1])
-        if layers == 2:
-            rows = handed.filter("g is null")
-            got = over_arcs(self.arc, rows, "send", hidden, F.sum)
-            met = self.nodes.select(KEY, "node", "x", "m").join(rows.select(KEY, "node", "direct"), [KEY, "node"]).join(got, [KEY, "node"], "left")
-            out = out + summed(met.mapInArrow(down, "g array<double>"), flat.size)
+        turned = self.heavy.select(KEY, F.col("v").alias("u"), F.col("u").alias("v"))
+        got = over_arcs(turned, handed.filter("g is null"), "send", hidden, F.sum)
+        out = sums[:-1] + summed(self.nodes.select(KEY, "node", "x", "m").join(got, [KEY, "node"]).mapInArrow(down, "g array<double>"), flat.size)
         self.pins.drop(handed)
-        return out, loss
+        return out, float(sums[-1])
 
     def scores(self, p: Arrays, layers: int) -> DataFrame:
         """(snapshot_id, node, y, score) of all nodes."""
@@ -158,9 +193,10 @@ class Graph:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x, m, near = (_matrix(b.column(c), b.num_rows, k) for c, k in (("x", width), ("m", width), ("near", hidden)))
+                    x, m = (_matrix(b.column(c), b.num_rows, width) for c in ("x", "m"))
                     a = np.maximum(m @ p["near0"] + x @ p["root0"] + p["bias0"], 0)
                     if layers == 2:
+                        near = _around(p, b, width, hidden)[0]
                         a = np.maximum(near @ p["near1"] + a @ p["root1"] + p["bias1"], 0)
                     yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("node"), b.column("y"), pa.array(sigmoid(a @ p["w"] + p["c"][0]))], names=names)
 

@@ -76,3 +76,16 @@ def test_a_label_that_only_neighbours_show_is_learned(spark, tmp_path):
     got = {r.node: r.score for r in out.collect()}
     assert len(got) == n and np.mean([(got[r.node] > 0.5) == (r.y > 0) for r in held.collect()]) > 0.8
     assert [r.score for r in sage.sage_scores(edges, nodes, train.limit(0), Setting()).limit(2).collect()] == [0.5, 0.5]
+
+
+def test_heavy_nodes_go_by_joins_and_others_exchange_nothing(spark, monkeypatch):
+    edges, x, _ = drawn(spark)
+    p, found = sage.started(3, 4, 2, np.random.default_rng(5)), []
+    for around in (2048, 12, 0):
+        monkeypatch.setattr(sage, "AROUND", around)
+        g = sage.Graph(edges, x, x.filter("y is not null"))
+        assert (g.heavy is None) == (around == 2048)  # before: every epoch joined all arcs
+        flat, loss = g.gradient(p, 2, 2.0, Setting())
+        found.append((flat.tolist(), loss, {(r.snapshot_id, r.node): r.score for r in g.scores(p, 2).collect()}))
+    for flat, loss, scores in found[1:]:
+        assert flat == pytest.approx(found[0][0], abs=1e-9) and loss == pytest.approx(found[0][1]) and scores == pytest.approx(found[0][2])
