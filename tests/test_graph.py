@@ -285,3 +285,16 @@ def test_members_are_looked_up_in_memory_that_does_not_grow_with_the_names_of_a_
     right = pa.table({"src": names, "dst": turned, "weight": pa.array(np.ones(n))})
     met = list(neighbourhood._inside(left, right, ["weight"]))
     assert sum(len(block) for _, _, block, _ in met) == n and len(met) <= 10  # before: a pass for each 209 balls
+
+
+def test_sums_of_several_tiles_merge_to_those_of_all_their_values(spark):
+    x = {"amount_trans": ([1.0, 5.0, 9.0], [2.0]), "num_trans": ([1.0, 2.0, 3.0], [7.0])}
+    part = lambda k: {"i": 0, "j": 1, "nnz": len(x["num_trans"][k]), "weight": 1.0, **{f"{v}_{n}": float(f(x[v][k])) for v in VALUES for n, f in (("sum", np.sum), ("max", np.max), ("avg", np.mean), ("var", np.var))}}
+    entry = "i: int, j: int, nnz: bigint, " + ", ".join(f"{c}: double" for c in neighbourhood.NAMES[1:])
+    ball = spark.createDataFrame([(0, "a", 1, 4, 0)], "snapshot_id int, ego string, n0 long, n1 long, n2 long")
+    tiles = spark.createDataFrame([(0, "a", [part(k)]) for k in range(2)], f"snapshot_id int, ego string, blocks array<struct<{entry}>>")
+    got = neighbourhood._merged(ball, tiles).first().blocks[0].asDict()
+    assert got["nnz"] == 4 and got["weight"] == 2.0
+    for v in VALUES:
+        every = x[v][0] + x[v][1]
+        assert [got[f"{v}_{n}"] for n in ("sum", "max", "avg", "var")] == pytest.approx([sum(every), max(every), np.mean(every), np.var(every)])
