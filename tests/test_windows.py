@@ -148,3 +148,12 @@ def test_row_ids_are_dense_in_order_and_wide_rows_are_made_once(spark):
     want = sorted((i % 7, str(i)) for i in range(1000))
     assert [(r.snapshot_id, r.node) for r in sorted(rows, key=lambda r: r.row_id)] == want and sorted(r.row_id for r in rows) == list(range(1000))
     assert made.value == 1000
+
+
+def test_the_last_steps_of_a_nowcast_are_those_of_dense_windows_and_nothing_is_exchanged(spark):
+    store = rows(spark)
+    got = windows.last_steps(store, 3)
+    want = windows.flatten(windows.dense(windows.windows(store, 3, "nowcast"), store, 2), "nowcast")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan.split("InMemoryRelation")[0] for x in ("Join", "Window", "Aggregate")), plan
