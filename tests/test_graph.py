@@ -298,3 +298,15 @@ def test_sums_of_several_tiles_merge_to_those_of_all_their_values(spark):
     for v in VALUES:
         every = x[v][0] + x[v][1]
         assert [got[f"{v}_{n}"] for n in ("sum", "max", "avg", "var")] == pytest.approx([sum(every), max(every), np.mean(every), np.var(every)])
+
+
+def test_louvain_takes_a_snapshot_through_its_levels_in_one_task_with_few_tables(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    e = spark.createDataFrame([(0, f"n{a:03d}", f"n{b:03d}", w, 0.0, 1) for a, b, w in planted(rng, 12, 15, 60, 80)], EDGE)
+    put, made = Pins.put, []
+    monkeypatch.setattr(Pins, "put", lambda self, df: made.append(df) or put(self, df))
+    four = community.louvain_communities(e, resolution=1.0)
+    assert len(made) <= 3, len(made)  # before: eight tables a level and more
+    monkeypatch.setattr(community, "MANY", 0)
+    a, b = (community.modularity(e, x, 1.0).first().modularity for x in (four, community.louvain_communities(e, resolution=1.0)))
+    assert a >= b >= 0.9 * a > 0
