@@ -310,3 +310,24 @@ def test_louvain_takes_a_snapshot_through_its_levels_in_one_task_with_few_tables
     monkeypatch.setattr(community, "MANY", 0)
     a, b = (community.modularity(e, x, 1.0).first().modularity for x in (four, community.louvain_communities(e, resolution=1.0)))
     assert a >= b >= 0.9 * a > 0
+
+
+def test_thick_balls_are_found_beside_the_edges_and_members_are_not_exchanged(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = {(a, b) for a, b in zip(rng.integers(0, 150, 900).tolist(), rng.integers(0, 12, 900).tolist(), strict=True) if a != b}
+    e = table(spark, [(f"n{a:03d}", f"n{b:03d}", float(a * 3 - b * 2)) for a, b in sorted(pairs)])
+    egos = graph.nodes(e).unionByName(spark.createDataFrame([(0, "alone"), (1, "elsewhere")], "snapshot_id int, node string"))
+    want = {(r.snapshot_id, r.node): r for r in neighbourhood.features(e, egos, neighbourhood.members(e, egos)).collect()}
+    monkeypatch.setattr(neighbourhood, "balls", lambda *_: pytest.fail("lists of members were made"))
+    monkeypatch.setattr(neighbourhood, "PATHS", 1000)
+    for mean, limit, work in ((4, 512, 10**9), (4, 5, 30_000)):
+        monkeypatch.setattr(neighbourhood, "MEAN", mean)
+        monkeypatch.setattr(neighbourhood, "WORK", work)
+        assert neighbourhood.thick(e, limit)
+        got = {(r.snapshot_id, r.node): r for r in neighbourhood.features(e, egos, limit=limit).collect()}
+        assert set(got) == set(want)
+        for k, r in want.items():
+            for c in FEATURES:
+                assert got[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-6), (k, c)
+    star = table(spark, [("hub", f"n{i:03d}", 1.0) for i in range(600)])
+    assert not neighbourhood.thick(star, 256)  # one signature: ``hubs`` has less to do
